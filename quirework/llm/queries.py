@@ -8,16 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import bpe, mpeg
+from quirework.llm import bpe, mpeg, pii, toxicity
 from quirework.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = pii.detect(documents, pii.fit(documents))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.base)
+    of_kind = lambda kind: F.filter("spans", lambda s: s.base & (s.kind == kind))
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mpeg.read(mpeg.store(table(spark, sf_dir, "documents")))
     seek = F.sha2(F.array_join(F.col("seek_offsets").cast("array<string>"), ","), 256)
