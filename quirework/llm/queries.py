@@ -8,10 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import bpe, jaccard, mpeg, packing, pii, quality, toxicity, vectors
+from quirework.llm import bpe, chat, jaccard, mpeg, packing, pii, quality, toxicity, urls, vectors
 from quirework.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose id ends its path: bad if of low quality or toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(urls.path_of(F.col("url")), "([0-9]+)[^/0-9]*/?$", 1)
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document"), F.coalesce(bad, F.lit(0)).alias("bad"))
+    labels = pages.select("page_id", number.try_cast("long").alias("document")).join(marks, "document").select("page_id", "bad")
+    return urls.judge(pages, labels)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
@@ -39,6 +49,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, labels, quality.fit(documents, labels))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -75,4 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Models, searches, tokenizers and stored media have no SQL form; their tests compare with brute force."""
+    return {"op1_url_filters": urls.oracle_sql(), "op6_chat": chat.oracle_sql()}
