@@ -1,0 +1 @@
+"""Queries, each on the library's operators."""
