@@ -66,7 +66,7 @@ def size(number: Column) -> Column:
     """Bytes with one decimal in the largest unit that they fill."""
     out = F.format_string("%d B", number.cast("long"))
     for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = F.when(number >= 1024**power, F.format_string(f"%.1f {unit}", number / 1024**power)).otherwise(out)
+        out = F.when(number >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(number / 1024**power, 1))).otherwise(out)
     return out
 
 
