@@ -95,7 +95,8 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    return np.array([b[2] / b[0] for b in blocks]), np.array([(b[1] + 0.5) / (b[0] + 1) for b in blocks])
+    # Half rows weigh more in small blocks, so the rates are made to rise once more.
+    return np.array([b[2] / b[0] for b in blocks]), np.maximum.accumulate([(b[1] + 0.5) / (b[0] + 1) for b in blocks])
 
 
 def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, trees: int = 60, depth: int = 3) -> Model:
