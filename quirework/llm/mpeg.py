@@ -177,11 +177,19 @@ def _read_tag(data: bytes, at: int, tags: dict[str, str]) -> int:
     return end + (10 if flags & 0x10 else 0)
 
 
-def _resync(data: bytes, at: int, end: int) -> int:
+def _of_stream(h: Header | None, kind: tuple | None) -> bool:
+    """Whether a header fits the stream, whose version, layer and rate never change."""
+    return h is not None and (kind is None or (h.version, h.layer, h.rate) == kind)
+
+
+def _resync(data: bytes, at: int, end: int, kind: tuple | None) -> int:
     """The next place with a header whose frame another header, or the end, follows; end if there is none."""
     while 0 <= (at := data.find(b"\xff", at, end)):
-        if (h := header(data[at : at + 4])) and (at + h.size == end or (at + h.size < end and header(data[at + h.size : at + h.size + 4]))):
-            return at
+        h = header(data[at : at + 4])
+        if _of_stream(h, kind):
+            after = at + h.size
+            if after == end or (after < end and _of_stream(header(data[after : after + 4]), (h.version, h.layer, h.rate))):
+                return at
         at += 1
     return end
 
@@ -193,14 +201,18 @@ def probe(data: bytes) -> Probe:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         out.tags.setdefault("title", data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1"))
         end -= 128
-    first = True
+    first, kind = True, None
+    if (found := _resync(data, at, end, None)) > at:
+        out.skipped += found - at
+        at = found
     while at < end:
         h = header(data[at : at + 4])
-        if h is None or at + h.size > end:
-            found = _resync(data, at + 1, end)
+        if not _of_stream(h, kind) or at + h.size > end:
+            found = _resync(data, at + 1, end, kind)
             out.skipped += found - at
             at = found
             continue
+        kind = kind or (h.version, h.layer, h.rate)
         frame = data[at : at + h.size]
         body = 4 + 2 * h.protected + h.side
         if first:
