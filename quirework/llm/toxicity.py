@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import boost
-from quirework.llm.chunks import Properties
+from quirework.llm.chunks import CHUNKS_KEPT, Properties
 from quirework.llm.common import id_and_text, map_batches, texts_of
 
 #: Labelled rows that the model is fitted on: those with the smallest hash of their id.
@@ -35,6 +35,8 @@ LEET = str.maketrans("0134578@$€", "oieastbase")
 #: Evidence in nats that an entry of the lexicon needs, and the least share of toxic texts among those that hold it.
 LEAST_EVIDENCE, LEAST_SHARE = 12.0, 0.6
 LEXICON_SIZE = 3000
+#: Parts of the sample; each has its features from a lexicon of the others.
+FOLDS = 4
 PARTS = (4, 5, 6)
 NEAR = 5
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¿¡…–—"
@@ -61,31 +63,35 @@ def parts(word: str) -> list[str]:
     return out
 
 
+def properties(chunk: str, lexicon: dict[str, float]) -> tuple[float, ...]:
+    word = plain(chunk)
+    score = max((lexicon.get(p, 0.0) for p in parts(word)), default=0.0) if word else 0.0
+    letters = sum(c.isalpha() for c in chunk)
+    upper = sum(c.isupper() for c in chunk)
+    marks = sum(unicodedata.category(c)[0] in "PS" for c in chunk)
+    return (
+        score,
+        float(score > 0),
+        float(word in SEED_WORDS),
+        float(word in SECOND_PERSON),
+        float(upper == letters and letters > 1),
+        float(upper),
+        float(letters),
+        float(chunk.count("!")),
+        float(marks),
+        float(INNER.search(chunk) is not None),
+        float(RUN.search(chunk) is not None),
+        float(chunk.isdigit()),
+    )
+
+
 @dataclass
 class Toxicity:
     lexicon: dict[str, float]
-    model: boost.Model | None = None
-
-    def properties(self, chunk: str) -> tuple[float, ...]:
-        word = plain(chunk)
-        score = max((self.lexicon.get(p, 0.0) for p in parts(word)), default=0.0) if word else 0.0
-        letters = sum(c.isalpha() for c in chunk)
-        upper = sum(c.isupper() for c in chunk)
-        marks = sum(unicodedata.category(c)[0] in "PS" for c in chunk)
-        return (
-            score,
-            float(score > 0),
-            float(word in SEED_WORDS),
-            float(word in SECOND_PERSON),
-            float(upper == letters and letters > 1),
-            float(upper),
-            float(letters),
-            float(chunk.count("!")),
-            float(marks),
-            float(INNER.search(chunk) is not None),
-            float(RUN.search(chunk) is not None),
-            float(chunk.isdigit()),
-        )
+    model: boost.Model
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return self.model.probability(_matrix(texts, self.lexicon))
 
 
 def features(rows: np.ndarray) -> np.ndarray:
@@ -109,14 +115,14 @@ def features(rows: np.ndarray) -> np.ndarray:
 
 N_FEATURES = 17
 
-_PROPERTIES: dict[int, tuple[Toxicity, Properties]] = {}
+_PROPERTIES: dict[int, tuple[dict[str, float], Properties]] = {}
 
 
-def _matrix(texts: list[str], toxicity: Toxicity) -> np.ndarray:
-    """Features of each text. A worker keeps the properties for the last model that it saw."""
-    kept = _PROPERTIES.get(0)
-    if kept is None or kept[0].lexicon != toxicity.lexicon:
-        kept = _PROPERTIES[0] = (toxicity, Properties(12, toxicity.properties))
+def _matrix(texts: list[str], lexicon: dict[str, float], slot: int = 0) -> np.ndarray:
+    """Features of each text. A worker keeps the properties for the last lexicon that it saw in a slot."""
+    kept = _PROPERTIES.get(slot)
+    if kept is None or kept[0] != lexicon:
+        kept = _PROPERTIES[slot] = (lexicon, Properties(12, lambda chunk: properties(chunk, lexicon), CHUNKS_KEPT // (1 if slot == 0 else FOLDS)))
     return np.stack([features(kept[1](t.split())) for t in texts])
 
 
@@ -125,33 +131,47 @@ def held_out(id_column: str = "doc_id") -> F.Column:
 
 
 def _sample(documents: DataFrame, labels: DataFrame, label: str, fit_rows: int) -> DataFrame:
-    """(doc_id, text, y) of the bounded sample of labelled rows that may be learned from."""
+    """(doc_id, text, y, fold) of the bounded sample of labelled rows that may be learned from; equal texts share a fold."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return id_and_text(documents).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = id_and_text(documents).join(F.broadcast(chosen), "doc_id")
+    return rows.select("doc_id", "text", "y", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Words and parts of words by their log odds; each text counts once for each."""
+def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
+    """Words and parts of words by their log odds; each text counts once for each.
+
+    The first lexicon is of the whole sample. Then comes one for each fold, from the other folds, so
+    that a model is fitted on features of texts that their lexicon has not seen.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, y in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        seen: Counter = Counter()
+        for text, y, fold in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             words = {w for c in set(text.split()) if (w := plain(c))}
-            seen[y > 0].update({p for w in words for p in parts(w)})
-        keys = list(seen[0] | seen[1])
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["part", "toxic", "other"])
-
-    totals = sample.agg(F.sum((F.col("y") > 0).cast("int")).alias("toxic"), F.count("*").alias("n")).first()
-    rate = (totals.toxic or 0) / totals.n if totals.n else 0.0
-    if not 0 < rate < 1:
-        return {}
-    counts = map_batches(sample, run, "part string, toxic long, other long").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    n, share = F.col("toxic") + F.col("other"), F.col("toxic") / (F.col("toxic") + F.col("other"))
-    log_ratio = F.when(share >= 1, 0.0).otherwise((n - F.col("toxic")) * F.log((1 - share) / (1 - rate)))
-    found = counts.where(share >= LEAST_SHARE).withColumn("evidence", F.col("toxic") * F.log(share / rate) + log_ratio).where(F.col("evidence") >= LEAST_EVIDENCE)
-    best = found.orderBy(F.desc("evidence"), "part").limit(LEXICON_SIZE).collect()
-    return {r.part: math.log((r.toxic + 0.5) / (r.other + 0.5) * (1 - rate) / rate) for r in best}
+            seen.update((p, fold, y > 0) for p in {p for w in words for p in parts(w)})
+        columns = list(zip(*((p, fold, n if toxic else 0, 0 if toxic else n) for (p, fold, toxic), n in seen.items()), strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["part", "fold", "toxic", "other"])
+
+    sums = lambda c: [F.sum(c), *(F.coalesce(F.sum(F.when(F.col("fold") != f, F.col(c))), F.lit(0)) for f in range(FOLDS))]
+    totals = sample.select((F.col("y") > 0).cast("int").alias("toxic"), (F.col("y") <= 0).cast("int").alias("other"), "fold").agg(*(c.alias(f"{n}{k}") for n in ("toxic", "other") for k, c in enumerate(sums(n)))).first()
+    counts = map_batches(sample, run, "part string, fold int, toxic long, other long").groupBy("part").agg(*(c.alias(f"{n}{k}") for n in ("toxic", "other") for k, c in enumerate(sums(n))))
+    counts = counts.where(F.col("toxic0") >= LEAST_SHARE * (F.col("toxic0") + F.col("other0")) * 0.9).cache()
+    out = []
+    for k in range(FOLDS + 1):
+        toxic, other = totals[f"toxic{k}"] or 0, totals[f"other{k}"] or 0
+        if not toxic or not other:
+            out.append({})
+            continue
+        rate = toxic / (toxic + other)
+        a, b = F.col(f"toxic{k}"), F.col(f"other{k}")
+        share = F.try_divide(a, a + b)
+        evidence = a * F.log(share / rate) + F.when(b > 0, b * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+        found = counts.where(share >= LEAST_SHARE).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE)
+        best = found.orderBy(F.desc("evidence"), "part").limit(LEXICON_SIZE).select("part", a.alias("a"), b.alias("b")).collect()
+        out.append({r.part: math.log((r.a + 0.5) / (r.b + 0.5) * (1 - rate) / rate) for r in best})
+    counts.unpersist()
+    return out
 
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicity:
@@ -161,16 +181,18 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> To
     kinds the model gives every text the share of toxic rows (with half a row of either kind added).
     """
     sample = _sample(documents, labels, "toxic", fit_rows)
-    toxicity = Toxicity(learn_lexicon(sample))
+    lexicon, *others = learn_lexicons(sample)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _matrix(texts_of(batch.column(1)), toxicity)
+        folds, texts = batch.column(3).to_numpy(), np.array(texts_of(batch.column(1)), object)
+        x = np.zeros((len(texts), N_FEATURES))
+        for f in np.unique(folds).tolist():
+            x[folds == f] = _matrix(texts[folds == f].tolist(), others[f], f + 1)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = sorted(tuple(r) for r in map_batches(sample, run, "doc_id long, y int, x array<double>").limit(2 * fit_rows).collect())
     x = np.array([r[2] for r in rows]).reshape(-1, N_FEATURES)
-    toxicity.model = boost.fit(x, np.array([r[1] for r in rows], int), np.arange(len(rows)) % 4 == 3)
-    return toxicity
+    return Toxicity(lexicon, boost.fit(x, np.array([r[1] for r in rows], int), np.arange(len(rows)) % 4 == 3))
 
 
 def score(documents: DataFrame, toxicity: Toxicity) -> DataFrame:
@@ -180,7 +202,7 @@ def score(documents: DataFrame, toxicity: Toxicity) -> DataFrame:
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = toxicity.model.probability(_matrix(texts_of(batch.column(1)), toxicity))
+        p = toxicity.scores(texts_of(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return map_batches(id_and_text(documents), run, "doc_id long, score double, predicted int")
@@ -191,7 +213,7 @@ def keep_clean(documents: DataFrame, toxicity: Toxicity) -> DataFrame:
     at_text = documents.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = toxicity.model.probability(_matrix(texts_of(batch.column(at_text)), toxicity))
+        p = toxicity.scores(texts_of(batch.column(at_text)))
         return batch.filter(pa.array(p < THRESHOLD))
 
     return map_batches(documents, run, documents.schema)
