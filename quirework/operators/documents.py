@@ -53,7 +53,7 @@ def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def line_kind(line: Column) -> Column:
-    """The kind of block that a line begins, by the first that fits."""
+    """The kind of block that a line begins, by the first that fits. The signs of the kinds are fixed values."""
     return (
         F.when(line.rlike(r"^#{1,6}[ \t]+.+"), "heading")
         .when(line.startswith("|"), "table")
@@ -171,6 +171,7 @@ def nearly_equal(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & (F.size(off) <= 1) & fits
 
 
+# How an alternative is marked.
 ALTERNATIVE = r"(?<!\S)(?:\(([A-Za-z])\)|([A-Za-z])\))"
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirework.functions.text import canonical
 from quirework.operators.documents import alternatives
 
 # Titles of collections, without accents and in lower case.
@@ -16,6 +17,12 @@ QUESTIONS = r"^(?:questoes(?: de (?:concurso|prova)s?)?|exercicios)(?:\s*\([^)]*
 ANSWERS = r"^(?:gabarito(?:s)?(?: comentado(?:s)?)?|respostas comentadas)$"
 
 
+def collection_kind(title: Column) -> Column:
+    """"questions" or "answers" for the title of a collection, whatever its number, case and accents; else null."""
+    text = F.regexp_replace(canonical(title), r"^\d+(?:\.\d+)*\.?\s*", "")
+    return F.when(text.rlike(QUESTIONS), "questions").when(text.rlike(ANSWERS), "answers")
+
+
 def exam_index(sections: DataFrame) -> DataFrame:
     """(doc_id, number, stem, labels, problem, answer) of sections of (doc_id, title, kind, body), kind being "questions", "answers" or null.
 

@@ -135,3 +135,20 @@ def reserve_names(batch: DataFrame, stem: str, order: str, taken: DataFrame | No
 def kept_copies(copies: DataFrame, key: str, order: str, keep: int = 5) -> DataFrame:
     """The newest copies of each key."""
     return copies.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= keep).drop("_n")
+
+
+def removed(catalogue: DataFrame, keys: DataFrame, key: str = "file_path") -> DataFrame:
+    """The catalogue after a soft delete of some keys; the rows stay."""
+    gone = keys.select(key).distinct().withColumn("_gone", F.lit(True))
+    status = F.when(F.col("_gone"), REMOVED).otherwise(F.col("availability_status"))
+    return catalogue.join(gone, key, "left").withColumn("availability_status", status).drop("_gone")
+
+
+def relocated(catalogue: DataFrame, moves: DataFrame, key: str = "file_path") -> DataFrame:
+    """The catalogue with keys changed as moves of (key, target) say; a target that is taken already is refused.
+
+    Of several moves of a key, or to a target, the one with the smallest other end holds.
+    """
+    taken = catalogue.select(F.col(key).alias("target"))
+    wanted = moves.groupBy(key).agg(F.min("target").alias("target")).groupBy("target").agg(F.min(key).alias(key)).join(taken, "target", "left_anti")
+    return catalogue.join(wanted, key, "left").withColumn(key, F.coalesce("target", key)).drop("target")

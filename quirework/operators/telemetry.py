@@ -163,3 +163,20 @@ LIMITS = {"pages": 1000, "bytes": 512 << 20, "images": 25_000, "seconds": 1800,
 def over_limits(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds exceeded, the names of the limits that a row breaks."""
     return rows.withColumn("exceeded", F.filter(F.array(*(F.when(F.col(c) > LIMITS[name], name) for name, c in columns.items())), lambda x: x.isNotNull()))
+
+
+def waits(base: float, factor: float, attempts: int, deadline: Column) -> Column:
+    """The seconds waited before each attempt after the first, as long as all waits together stay within the deadline."""
+    steps = [base * factor**k for k in range(attempts - 1)]
+    sums = [sum(steps[: k + 1]) for k in range(len(steps))]
+    each = F.array(*(F.struct(F.lit(w).alias("wait"), F.lit(s).alias("sum")) for w, s in zip(steps, sums, strict=True))).cast("array<struct<wait:double,sum:double>>")
+    return F.transform(F.filter(each, lambda x: x["sum"] <= deadline), lambda x: x["wait"])
+
+
+def batch_state(states: Column) -> Column:
+    """A batch's state from an array of its active files': paused only if all are, the worst of the others else."""
+    order = ("failed", "cancelling", "running", "queued")
+    out = F.lit("idle")
+    for name in reversed(order):
+        out = F.when(F.array_contains(states, name), name).otherwise(out)
+    return F.when((F.size(states) > 0) & F.forall(states, lambda x: x == "paused"), "paused").otherwise(out)

@@ -193,3 +193,12 @@ def ingress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_custkey, upper(substr(sha256(c_name), 1, 4) || '-' || substr(sha256(c_name), 5, 4) || '-' || substr(sha256(c_name), 9, 4) || '-' || substr(sha256(c_name), 13, 4)) as machine from customer")
 def machine_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", fingerprint(F.col("c_name")).alias("machine"))
+
+
+@query("select case when doc_id % 4 = 0 and doc_id % 3 <> 0 then doc_id + 10000000 else doc_id end as file_path, source as file_name, case when doc_id % 6 = 0 or doc_id % 10 = 0 then 'user_removed' else 'available' end as status from documents where doc_id % 2 = 0")
+def library_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soft deletes of every third file, then moves; a move onto a path that is taken is refused."""
+    files, _ = _files(spark, sf_dir)
+    files = B.removed(files, files.where("file_path % 3 = 0").select("file_path"))
+    moves = files.where("file_path % 4 = 0").select("file_path", F.when(F.col("file_path") % 3 == 0, F.col("file_path")).otherwise(F.col("file_path") + 10000000).alias("target"))
+    return B.relocated(files, moves).select("file_path", "file_name", F.col("availability_status").alias("status"))

@@ -96,3 +96,8 @@ def test_corpus_gate(spark):
     rows = [("a", 1, 0.9, 0.75, True, True), ("a", 2, None, 0.75, True, True), ("b", 1, 0.7, 0.75, True, True), ("c", 1, None, 0.65, True, True), ("d", 1, 0.9, 0.65, True, False)]
     got = {r.id: r.status for r in exams.corpus_gate(spark.createDataFrame(rows, "id string, page long, score double, minimum double, status_ok boolean, anchors_ok boolean")).collect()}
     assert got == {"a": "passed", "b": "failed", "c": "inconclusive", "d": "failed"}
+
+
+def test_collections(spark):
+    titles = spark.createDataFrame([("12.3. QUESTÕES DE CONCURSOS (2024)", "questions"), ("Exercícios", "questions"), ("Gabarito comentado", "answers"), ("1. Questões de fato", None), ("", None)], "t string, kind string")
+    assert titles.where(~exams.collection_kind(F.col("t")).eqNullSafe(F.col("kind"))).count() == 0

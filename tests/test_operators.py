@@ -229,3 +229,11 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "chunks")).first().text == "see ](../images/a.png)"
     listed = spark.createDataFrame([("src/a.py",), (".git/x.py",), ("node_modules/y.py",), ("b.txt",)], "p string")
     assert [r.p for r in listed.where(files.included(F.col("p"), ("node_modules",), (".py",))).collect()] == ["src/a.py"]
+
+
+def test_batch_control(spark):
+    assert one(spark, M.waits(1.0, 2.0, 5, F.lit(6.9))) == [1.0, 2.0] and one(spark, M.waits(1.0, 2.0, 1, F.lit(9.0))) == []
+    state = lambda *x: one(spark, M.batch_state(F.array(*map(F.lit, x)).cast("array<string>")))
+    assert (state("paused", "paused"), state("paused", "running"), state("running", "failed"), state()) == ("paused", "running", "failed", "idle")
+    assert [one(spark, M.percent(F.lit(a), F.lit(b))) for a, b in ((1, 3), (0, 0), (5, 5))] == [33, 0, 100]
+    assert one(spark, M.workers(F.lit(9), F.lit(8), F.lit(3 << 30))) == 3
