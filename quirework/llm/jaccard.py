@@ -22,10 +22,12 @@ from quirework.llm.shingles import mixed, shingles
 
 #: Segments beyond those that a pair at the threshold may differ in, as a share of these: so many
 #: segments agree at least, and a text with fewer shared segments needs no join.
-SPARE = 0.25
+SPARE = 0.2
 #: Sizes of one band differ by this factor at most.
 GROWTH = 1.5
 BANDS = 60
+#: Low bits of a segment's key that hold its band.
+BAND_BITS = 6
 #: Shingles that one verification task and one block of a cluster hold, on average.
 TASK_SHINGLES, BLOCK_SHINGLES = 1_000_000, 500_000
 #: Ids that are broadcast at most (8 MB); more are joined by a shuffle.
@@ -69,7 +71,8 @@ def sketch_keys(shingle_set: np.ndarray, percent: int) -> Iterator[tuple[int, np
         place = (mixed(shingle_set + seed) % np.uint64(count)).astype(np.int64)
         parity = np.zeros(count, np.uint64)
         np.bitwise_xor.at(parity, place, mixed(shingle_set ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        yield band, mixed(mixed(parity) + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed)
+        key = mixed(mixed(parity) + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed)
+        yield band, (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(band)
 
 
 _STARTS = np.array(band_starts())
@@ -123,27 +126,26 @@ def links(ids: list[int], sets: list[np.ndarray], first: np.ndarray, same: bool,
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, class, band): the segments of each text's sketches; class is the first half of the set's hash."""
+    """(key, class): the segments of each text's sketches; class is the first half of the set's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, classes, bands = [], [], []
+            keys, classes = [], []
             for text in texts_of(batch.column(1)):
                 s = shingles(text, width)
                 own = set_hash(s)[0]
                 if not len(s) or own in seen:
                     continue
                 seen.add(own)
-                for band, key in sketch_keys(s, percent):
+                for _, key in sketch_keys(s, percent):
                     keys.append(key.view(np.int64))
                     classes.append(np.full(len(key), own, np.int64))
-                    bands.append(np.full(len(key), band, np.int8))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, classes, bands)], ["key", "class", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, classes)], ["key", "class"])
 
     tune(docs.sparkSession)
-    return docs.mapInArrow(run, "key long, class long, band byte")
+    return docs.mapInArrow(run, "key long, class long")
 
 
 def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -154,8 +156,9 @@ def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     keys = _keys(docs, width, percent)
     shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("freq")).where("low <> high").select("key", "freq")
-    rows = keys.join(shared, "key").groupBy("key", "class", "band").agg(F.max("freq").alias("freq"))
-    spare = F.element_at(F.array(*(F.lit(segments(b, percent)[1]) for b in range(BANDS - 1))), F.col("band").cast("int") + 1)
+    rows = keys.join(shared, "key").groupBy("key", "class").agg(F.max("freq").alias("freq"))
+    rows = rows.withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int"))
+    spare = F.element_at(F.array(*(F.lit(segments(b, percent)[1]) for b in range(BANDS - 1))), F.col("band") + 1)
     own = Window.partitionBy("class", "band")
     ranked = rows.withColumn("rank", F.row_number().over(own.orderBy("freq", "key"))).withColumn("n", F.count("*").over(own))
     rare = checkpointed(ranked.where(F.col("rank") <= F.col("n") - spare).select("key", "class"))
@@ -243,8 +246,16 @@ def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     Rows that repeat such a doc_id are near copies too if they have the same text, so one of them stays.
     Rows without an id stay.
     """
-    gone = classes(documents, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    names = documents.columns
-    left = documents.join(gone, "doc_id", "left_anti")
-    once = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(left.where("doc_id is null")).select(*names)
+    found = checkpointed(classes(documents, width, percent))
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    left = documents.join(_small(gone), "doc_id", "left_anti")
+    repeated = _small(repeated)
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").select(*documents.columns).unionByName(once.select(*documents.columns))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids for a join: broadcast if they are few, so that texts stay where they are; else joined by a shuffle."""
+    ids = checkpointed(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
