@@ -9,6 +9,7 @@ get new entries. Documents are then joined with their words' ids.
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 from array import array
 
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame
 from quirework.llm.common import id_and_text, map_batches, texts_of
 
 #: Distinct words whose ids a worker keeps; beyond that it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
+#: Pairs of tokens whose ranks a worker keeps when it starts anew.
+PAIRS_KEPT = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,6 +44,7 @@ class Merges:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.bytes_ids = [ranks[bytes((b,))] for b in range(256)]
+        self.byte_pairs = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
         self.pairs: dict[int, int] = {}
 
     def pair(self, a: int, b: int) -> int:
@@ -49,69 +53,87 @@ class Merges:
         found = self.pairs.get(key)
         if found is None:
             found = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
         return found
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, by merges in rank order over all words at once."""
-        ids = self.bytes_ids
+        """The ids of each word, by merges in rank order over all words at once.
+
+        The look-ups of pairs stand in the loops themselves, since they are most of the work.
+        """
+        ids, first_pairs, pairs, pair = self.bytes_ids, self.byte_pairs, self.pairs, self.pair
         token: list[int] = []
         after: list[int] = []
         before: list[int] = []
         starts: list[int] = []
         index: dict[int, list[int]] = {}
-        pair = self.pair
         for word in words:
             n, base = len(word), len(token)
             starts.append(base)
             token += [ids[b] for b in word]
             before += [-1, *range(base, base + n - 1)]
             after += [*range(base + 1, base + n), -1]
-            for p in range(base, base + n - 1):
-                if (rank := pair(token[p], token[p + 1])) >= 0:
-                    index.setdefault(rank, []).append(p)
-        word_of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            for p, (x, y) in enumerate(zip(word, word[1:], strict=False), base):  # noqa: RUF007
+                if (rank := first_pairs[x << 8 | y]) >= 0:
+                    if rank in index:
+                        index[rank].append(p)
+                    else:
+                        index[rank] = [p]
+        ends = starts[1:] + [len(token)]
         queue = list(index)
         heapq.heapify(queue)
+        push, pop = heapq.heappush, heapq.heappop
         while queue:
-            rank = heapq.heappop(queue)
+            rank = pop(queue)
             places = index.pop(rank, None)
             if not places:
                 continue
-            places.sort()
+            if len(places) > 1:
+                places.sort()
             waiting: list[int] = []
-            held = -1  # the word in which a lower rank came up: its other places wait for that
+            held = -1  # the end of a word in which a lower rank came up: its other places wait for that
             for p in places:
-                if held >= 0 and word_of[p] == held:
+                if p < held:
                     waiting.append(p)
                     continue
-                held = -1
                 q = after[p]
-                if token[p] < 0 or q < 0 or pair(token[p], token[q]) != rank:
+                left = token[p]
+                if left < 0 or q < 0:
+                    continue
+                found = pairs.get(left << 32 | token[q])
+                if (pair(left, token[q]) if found is None else found) != rank:
                     continue
                 token[p], token[q] = rank, -1
                 r = after[p] = after[q]
+                lower = False
                 if r >= 0:
                     before[r] = p
-                    if (new := pair(rank, token[r])) >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(queue, new)
-                        index[new].append(p)
-                        if new < rank:
-                            held = word_of[p]
+                    new = pairs.get(rank << 32 | token[r])
+                    if new is None:
+                        new = pair(rank, token[r])
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            push(queue, new)
+                        lower = new < rank
                 o = before[p]
-                if o >= 0 and (new := pair(token[o], rank)) >= 0:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(queue, new)
-                    index[new].append(o)
-                    if new < rank:
-                        held = word_of[p]
+                if o >= 0:
+                    new = pairs.get(token[o] << 32 | rank)
+                    if new is None:
+                        new = pair(token[o], rank)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(o)
+                        else:
+                            index[new] = [o]
+                            push(queue, new)
+                        lower = lower or new < rank
+                if lower:
+                    held = ends[bisect.bisect_right(starts, p) - 1]
             if waiting:
                 index[rank] = waiting
-                heapq.heappush(queue, rank)
+                push(queue, rank)
         out = []
         for start in starts:
             word_ids, p = [], start
@@ -140,6 +162,8 @@ class Merges:
         split = [self.split(t) for t in texts]
         if len(self.known) > self.words_kept:
             self.known.clear()
+            if len(self.pairs) > PAIRS_KEPT:
+                self.pairs.clear()
         known = self.known
         if new := {w for words in split for w in words if w not in known}:
             self.learn(new)
