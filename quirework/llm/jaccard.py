@@ -22,9 +22,9 @@ from quirework.llm.shingles import mixed, shingles
 
 #: Segments beyond those that a pair at the threshold may differ in, as a share of these: so many
 #: segments agree at least, and a text with fewer shared segments needs no join.
-SPARE = 0.2
+SPARE = 0.15
 #: Sizes of one band differ by this factor at most.
-GROWTH = 1.5
+GROWTH = 1.7
 BANDS = 60
 #: Low bits of a segment's key that hold its band.
 BAND_BITS = 6
