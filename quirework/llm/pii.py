@@ -10,6 +10,7 @@ number that is written once in full and once in another way is one entity in bot
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -173,33 +174,52 @@ def default_field() -> Field:
 
 
 def edges_of(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from, to, whether it is a skip edge). Mentions with one key are linked in a row, so a key with many has no quadratic cost."""
+    """(from, to, whether it is a skip edge).
+
+    An unknown mention is linked with the known mentions of its key, wherever they stand, and with the
+    unknown one of its key before it. Known mentions of one key and label are alike, so one edge to the
+    first of them stands for all: marginals() takes it as many times as there are such mentions, and a
+    key with many has no quadratic cost.
+    """
     a, b, skip = [], [], []
+    first: dict[str, dict[int, int]] = {}
+    for k, node in enumerate(nodes):
+        if node.label >= 0:
+            first.setdefault(node.key, {}).setdefault(node.label, k)
     last: dict[str, int] = {}
     for k, node in enumerate(nodes):
         if k and node.start - nodes[k - 1].end <= CHAIN_REACH:
             a.append(k - 1), b.append(k), skip.append(False)
-        if node.key in last:
-            a.append(last[node.key]), b.append(k), skip.append(True)
-        last[node.key] = k
+        if node.label < 0:
+            for other in [*first.get(node.key, {}).values(), *([last[node.key]] if node.key in last else [])]:
+                a.append(min(other, k)), b.append(max(other, k)), skip.append(True)
+            last[node.key] = k
     return np.array(a, int), np.array(b, int), np.array(skip, bool)
 
 
 def marginals(nodes: list[Node], field: Field) -> np.ndarray:
     """Loopy sum-product in logarithms; a row of label probabilities for each node."""
-    n, width = len(nodes), len(LABELS)
+    width = len(LABELS)
     local = np.stack([x.features for x in nodes]) @ field.weights
     local = np.clip(local - local[:, :1], -FEATURES_AT_MOST, FEATURES_AT_MOST) - PASSED_OVER
     local[:, 0] = 0.0
-    for k, node in enumerate(nodes):
-        if node.label >= 0:
-            local[k] = -50.0
-            local[k, node.label] = 0.0
+    label = np.array([x.label for x in nodes])
     a, b, skip = edges_of(nodes)
+    alike = Counter((x.key, x.label) for x in nodes if x.label >= 0)
+    strength = np.where(skip, field.skip, field.chain)
+    # A known label is fixed, so its edges only add to the other end, and no number of repeats outvotes it.
+    for end, other in ((a, b), (b, a)):
+        one = np.flatnonzero((label[end] >= 0) & (label[other] < 0))
+        times = [alike[nodes[i].key, nodes[i].label] if s else 1 for i, s in zip(end[one], skip[one], strict=True)]
+        np.add.at(local, (other[one], label[end[one]]), strength[one] * times)
+    local[label >= 0] = -np.inf
+    local[np.flatnonzero(label >= 0), label[label >= 0]] = 0.0
+    free = (label[a] < 0) & (label[b] < 0)
+    a, b, strength = a[free], b[free], strength[free]
     if len(a):
         tail, head = np.concatenate([a, b]), np.concatenate([b, a])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        same = np.exp(np.tile(np.where(skip, field.skip, field.chain), 2))[:, None]
+        same = np.exp(np.tile(strength, 2))[:, None]
         message = np.zeros((len(tail), width))
         for _ in range(ROUNDS):
             belief = local.copy()

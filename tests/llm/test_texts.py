@@ -155,6 +155,40 @@ def test_similar_mentions_share_a_label():
     assert not any(x for found in pii.find(clean, field) for x in found.values())
 
 
+@pytest.mark.parametrize("repeats", [2, 5, 100])
+@pytest.mark.parametrize("gap", [" ", " and then some more words of the story that nobody else had told them "])
+@pytest.mark.parametrize("chain", [0.0, 0.2])
+def test_every_repeat_of_a_known_mention_shares_its_label(repeats, gap, chain):
+    fields = [pii.Field(pii.default_field().weights, 7.0, chain), pii.Field(np.zeros((pii.N_FEATURES, 5)), 7.0, chain)]
+    fields[0].weights[0, 0] = 2.5  # the most that features may speak against it
+    for field in fields:
+        other = gap.join(["0171-2345678;"] * repeats)
+        for text in (f"+49 171 2345678;{gap}{other}", f"{other}{gap}+49 171 2345678;", f"{other}{gap}+49 171 2345678;{gap}{other}"):
+            base, added = pii.find(text, field)
+            assert base == plain_spans(text)
+            assert {text[s:e] for s, e in added["phone"]} == {"0171-2345678"} and len(added["phone"]) == text.count("0171-")
+            assert not added["email"] and not added["ip"] and not added["card"]
+        clean = other.replace("0171", "0172")
+        assert not any(x for found in pii.find(clean, field) for x in found.values())
+
+
+def test_known_mentions_of_one_key_are_counted():
+    """Against the sum over all labellings, with an edge for every pair with a known mention."""
+    field = pii.Field(np.zeros((pii.N_FEATURES, 5)), 1.3, 0.0)
+    nodes = [pii.Node(s, s + 9, label, "d12345678", np.zeros(pii.N_FEATURES)) for s, label in ((0, 4), (100, 4), (200, 3), (300, -1))]
+    weight = np.exp(np.array([0, -4, -4, -4 + 1.3, -4 + 2.6]))
+    assert np.abs(pii.marginals(nodes, field)[3] - weight / weight.sum()).max() < 1e-9
+    assert {int(k) for k in pii.marginals(nodes, field)[:3].argmax(axis=1)} == {3, 4}
+
+
+def test_many_mentions_of_one_key_are_linear():
+    text = "+49 171 2345678; 0171-2345678; " * 5_000
+    nodes = pii.nodes_of(text, pii.base_spans(text))
+    assert len(nodes) == 10_000 and len(pii.edges_of(nodes)[0]) < 30_000
+    _, added = pii.find(text, pii.default_field())
+    assert len(added["phone"]) == 5_000
+
+
 def test_message_passing_is_exact_on_a_tree():
     """Against the sum over all labellings of a chain of three mentions."""
     rng = np.random.default_rng(2)
