@@ -258,47 +258,51 @@ def fit(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Field:
 
     The matches' kinds are the labels of a multinomial regression on the mentions' features, with
     mentions that no base pattern matches as "none". Pairs of labelled mentions with one key, and
-    pairs of neighbours, give the two factors for equal labels. An empty sample gives fixed weights.
+    pairs of neighbours, give the two factors for equal labels. All mentions of the sample count; the
+    executors count them by features and label. An empty sample gives fixed weights.
     """
     docs = id_and_text(documents)
     ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents).distinct()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple[int, int, str, list[float], int]] = []
-        for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            rows += [(doc, x.start, x.key, x.features.tolist(), x.label) for x in nodes_of(text, base_spans(text))[:64]]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32())
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "key", "features", "label"])
+        counts: Counter[tuple[str, tuple[float, ...], int]] = Counter()
+        for text in texts_of(batch.column(1)):
+            nodes = nodes_of(text, base_spans(text))
+            counts.update(("mention", tuple(x.features.tolist()), max(0, x.label)) for x in nodes)
+            last: dict[str, int] = {}
+            before = None
+            for x in sorted((x for x in nodes if x.label >= 0), key=lambda x: (x.start, x.label)):
+                if x.key in last:
+                    counts["similar", (), int(last[x.key] == x.label)] += 1
+                if before and x.start - before.start <= 2 * CHAIN_REACH:
+                    counts["near", (), int(before.label == x.label)] += 1
+                last[x.key], before = x.label, x
+        kinds = (pa.string(), pa.list_(pa.float64()), pa.int32(), pa.int64())
+        columns = list(zip(*((what, list(f), label, n) for (what, f, label), n in counts.items()), strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["what", "features", "label", "n"])
 
     sample = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text")
-    rows = map_batches(sample, run, "doc_id long, start long, key string, features array<double>, label int").orderBy("doc_id", "start", "label").limit(16 * fit_documents).collect()
-    if not any(r.label >= 0 for r in rows):
+    counted = map_batches(sample, run, "what string, features array<double>, label int, n long").groupBy("what", "features", "label").agg(F.sum("n").alias("n"))
+    # Features are 0 or 1, so the counts are a few thousand rows at most, whatever the number of mentions.
+    rows = sorted(counted.collect())
+    mentions = [r for r in rows if r.what == "mention"]
+    if not any(r.label for r in mentions):
         return default_field()
-    x = np.array([r.features for r in rows])
-    y = np.array([max(0, r.label) for r in rows])
-    weights, target = np.zeros((N_FEATURES, len(LABELS))), np.eye(len(LABELS))[y]
+    x = np.array([r.features for r in mentions])
+    n = np.array([[r.n] for r in mentions], float)
+    weights, target = np.zeros((N_FEATURES, len(LABELS))), np.eye(len(LABELS))[[r.label for r in mentions]]
     for _ in range(400):
         p = x @ weights
         p = np.exp(p - p.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        weights -= 0.5 * (x.T @ (p - target) / len(x) + 2e-2 * weights)
-
-    def factor(pairs: list[tuple[int, int]], most: float) -> float:
-        agree = sum(a == b for a, b in pairs)
-        return float(np.clip(np.log((agree + 1) * (len(LABELS) - 1) / (len(pairs) - agree + 1)), 0.1, most))
-
-    known = [r for r in rows if r.label >= 0]
-    last: dict[tuple[int, str], int] = {}
-    similar, near = [], []
-    for k, r in enumerate(known):
-        if (other := last.get((r.doc_id, r.key))) is not None:
-            similar.append((other, r.label))
-        last[r.doc_id, r.key] = r.label
-        if k and known[k - 1].doc_id == r.doc_id and r.start - known[k - 1].start <= 2 * CHAIN_REACH:
-            near.append((known[k - 1].label, r.label))
+        weights -= 0.5 * (x.T @ (n * (p - target)) / n.sum() + 2e-2 * weights)
+
+    def factor(what: str, most: float) -> float:
+        of = {r.label: r.n for r in rows if r.what == what}
+        return float(np.clip(np.log((of.get(1, 0) + 1) * (len(LABELS) - 1) / (of.get(0, 0) + 1)), 0.1, most))
+
     # Equal forms always get equal labels from the patterns, so their factor has a floor even in small samples.
-    return Field(weights, max(7.0, factor(similar, 9.0)), factor(near, 0.5))
+    return Field(weights, max(7.0, factor("similar", 9.0)), factor("near", 0.5))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"

@@ -224,6 +224,23 @@ def test_pii_rows(spark, odd):
     assert pii.redact(empty, pii.fit(empty)).count() == 0
 
 
+def test_fit_counts_all_mentions_of_the_sample(spark):
+    numbers = ", then ".join(str(1000000 + k) for k in range(100))
+    late = numbers + ". Call +49 171 2345678, call +49 171 2345678"
+    frame = lambda *texts: spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    none = pii.default_field()
+    fields = [pii.fit(frame(late)), pii.fit(frame(numbers, numbers, late), 3)]
+    for field, copies in zip(fields, (1, 3), strict=True):
+        assert not np.array_equal(field.weights, none.weights) and field.chain == 0.5
+        nodes = pii.nodes_of(text := late, pii.base_spans(text)) + (copies - 1) * pii.nodes_of(numbers, pii.base_spans(numbers))
+        x, target = np.stack([n.features for n in nodes]), np.eye(5)[[max(0, n.label) for n in nodes]]
+        weights = np.zeros((pii.N_FEATURES, 5))
+        for _ in range(400):
+            p = np.exp(x @ weights)
+            weights -= 0.5 * (x.T @ (p / p.sum(axis=1, keepdims=True) - target) / len(x) + 2e-2 * weights)
+        assert np.allclose(field.weights, weights)
+
+
 def test_word_ids_equal_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     library, own, random_ = Tokenizer.from_file(path), WordBpe(path), random.Random(5)
