@@ -216,21 +216,39 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     member = components(near)
     roots = member.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     cluster = member.unionByName(roots).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    chosen = checkpointed(own.join(cluster, "class").select("cluster", "doc_id", "n_shingles"))
+    chosen = checkpointed(own.join(cluster, "class").select("class", "more", "cluster", "doc_id", "n_shingles"))
     sizes = chosen.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    chosen = chosen.join(sizes, "cluster").select("cluster", "doc_id", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    chosen = chosen.join(sizes, "cluster").select("class", "more", "cluster", "doc_id", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     totals = checkpointed(chosen)
     work = totals.agg(F.count("*").alias("n")).first().n
     if work:
-        weight = rows.join(totals.select("doc_id", "blocks"), "doc_id").agg(F.sum(F.col("n_shingles") * F.col("blocks"))).first()[0]
-        small = totals.dropDuplicates(["doc_id"])
-        picked = docs.join(F.broadcast(small) if work <= BROADCAST_IDS else small, "doc_id").select("doc_id", "text", "cluster", "blocks", "block")
+        # An id that stands for several classes has a text for each; those are told apart by the set itself.
+        several = _small(totals.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+        repeated = bool(several.limit(1).count())
+        small = totals.join(several, "doc_id", "left_anti") if repeated else totals
+        ids = ["class", "more", "doc_id"]
+        weights = rows.join(small.select("doc_id", "blocks"), "doc_id").select("n_shingles", "blocks")
+        if repeated:
+            weights = weights.unionByName(rows.join(totals.join(several, "doc_id", "left_semi").select(*ids, "blocks"), ids).select("n_shingles", "blocks"))
+        weight = weights.agg(F.sum(F.col("n_shingles") * F.col("blocks"))).first()[0]
+        placed = small.select("doc_id", "cluster", "blocks", "block")
+        picked = docs.join(F.broadcast(placed) if work <= BROADCAST_IDS else placed, "doc_id").select("doc_id", "text", "cluster", "blocks", "block")
 
         def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = pa.array([shingles(t, width).tobytes() for t in texts_of(batch.column(1))], pa.binary())
             return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], sets], ["doc_id", "cluster", "blocks", "block", "shingles"])
 
+        def pack_by_set(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingles(t, width) for t in texts_of(batch.column(1))]
+            hashes = [set_hash(s) for s in found]
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in found], pa.binary())], [*ids[2:], *ids[:2], "shingles"]
+            )
+
         sets = map_batches(picked, pack, "doc_id long, cluster long, blocks int, block int, shingles binary")
+        if repeated:
+            own_sets = map_batches(docs.join(several, "doc_id", "left_semi").select("doc_id", "text"), pack_by_set, "doc_id long, class long, more long, shingles binary")
+            sets = sets.unionByName(own_sets.join(totals.join(several, "doc_id", "left_semi"), ids).select(*sets.columns))
         part = components(_verify(sets, percent, max(12, -(-weight // TASK_SHINGLES)))).select(F.col("node").alias("doc_id"), "component")
         own = own.join(part, "doc_id", "left").select("class", "more", F.coalesce("component", "doc_id").alias("component"))
     else:

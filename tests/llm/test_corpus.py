@@ -125,6 +125,20 @@ def test_repeated_ids_and_missing_ids(spark):
     assert sorted((r.doc_id for r in jaccard.keep_one(docs).collect()), key=repr) == sorted([2, 9, None], key=repr)
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_one_id_with_several_texts(spark, monkeypatch, shuffled):
+    if shuffled:
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    random_ = random.Random(4)
+    texts = [" ".join("".join(random_.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(6)]
+    rows = [(5, texts[0]), (5, texts[1]), (7, texts[0] + " end"), (9, texts[1] + " end"), (11, texts[2]), (12, texts[2] + " end")]
+    rows += [(20, texts[3]), (20, texts[3] + " end"), (21, texts[3] + " end here"), (30, texts[4]), (30, texts[4]), (31, texts[4] + " end"), (40, texts[5])]
+    got = {(r.doc_id, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11), (12, 11), (20, 20), (21, 20), (30, 30), (31, 30), (40, 40)}
+    kept = jaccard.keep_one(spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({r for r in rows if r[0] in (5, 11, 20, 30, 40)})
+
+
 def brute_vectors(rows, threshold):
     units = {}
     for i, v in rows:
