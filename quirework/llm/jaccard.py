@@ -2,8 +2,10 @@
 
 Each shingle is XOR-ed into one of the segments of a text's sketch. Two sketches differ in at most as
 many segments as the two sets have shingles in only one of them, so a pair that reaches the threshold
-shares a known number of segments. Those are joined by size band, with the rarest segments of each
-text first; what comes together is verified with whole sets.
+shares a known number of segments, and by the pigeonhole principle at least one. Segments are joined by
+size band, the rarest of each text only. What comes together is first compared with the smallest text
+of its segment; only where that leaves a segment's texts in several components are they compared with
+each other. A second sketch, of parities by bit, comes before whole sets in every comparison.
 """
 
 from __future__ import annotations
@@ -14,26 +16,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quirework.llm.common import checkpointed, id_and_text, map_batches, texts_of, tune
 from quirework.llm.graph import components
 from quirework.llm.shingles import mixed, shingles
 
-#: Segments beyond those that a pair at the threshold may differ in, as a share of these: so many
-#: segments agree at least, and a text with fewer shared segments needs no join.
-SPARE = 0.15
+#: Segments beyond those that a pair at the threshold may differ in, as a share of these.
+SPARE = 0.05
 #: Sizes of one band differ by this factor at most.
 GROWTH = 1.7
 BANDS = 60
 #: Low bits of a segment's key that hold its band.
 BAND_BITS = 6
-#: Shingles that one verification task and one block of a cluster hold, on average.
-TASK_SHINGLES, BLOCK_SHINGLES = 1_000_000, 500_000
-#: Ids that are broadcast at most (8 MB); more are joined by a shuffle.
+#: Keys that a map task holds before it writes them out, and those of one part of the join on average.
+HELD_KEYS, PART_KEYS = 2_000_000, 4_000_000
+#: Texts whose keys are looked at beforehand, and how many of them make a key a frequent one. Keys of that
+#: kind are dealt over all parts and counted by partial sums; it decides the plan, never the result.
+PROBED, FREQUENT = 8192, 8
+#: Texts in one block of a segment's texts, and rows in a task that compares blocks, on average.
+BLOCK_ROWS, TASK_ROWS = 8192, 50_000
+#: Possible partners of one text in one block that are verified in the first round; each further round has so many times more.
+PARTNERS = 8
+#: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Bits of the sketch that verification compares first.
-BITS = 4096
+
+#: A column beside those of the documents, in between only.
+_SET = "quirework: hash of the set"
+
+#: A stretch of keys that belong to one text and band.
+RUN = np.dtype([("class", "<i8"), ("n", "<i4"), ("spare", "<i4")])
 
 
 def band_starts(growth: float = GROWTH) -> list[int]:
@@ -44,38 +57,45 @@ def band_starts(growth: float = GROWTH) -> list[int]:
     return out
 
 
+_STARTS = np.array(band_starts())
+
+
 def differences(size_sum: int, percent: int) -> int:
     """How many shingles two sets of so many together may hold alone, if their Jaccard similarity is at least percent / 100."""
     return (100 - percent) * size_sum // (100 + percent)
 
 
-def segments(band: int, percent: int) -> tuple[int, int]:
-    """How many segments the band's sketches have, and how many of them agree in every linked pair, less one."""
-    most = differences(2 * (band_starts()[band + 1] - 1), percent)
-    spare = -int(-(most + 1) * SPARE // 1)
-    return most + 1 + spare, spare
+def segments(band: int, percent: int) -> int:
+    """How many segments the sketches of a band have: more than any two of its linked sets differ in."""
+    most = differences(2 * (int(_STARTS[band + 1]) - 1), percent)
+    return most + 1 - int(-(most + 1) * SPARE // 1)
+
 
+def sketch_keys(shingle_set: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(band, keys of segments, spare) for each band whose larger sets this one may be linked with.
 
-def sketch_keys(shingle_set: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(band, a key for each segment) for each band whose larger sets this one may be linked with."""
-    starts = _STARTS
+    The set shares more than spare of these keys with every linked set of the band. Segments without
+    shingles, which most sets of a band have in common, are left out as far as the spare ones allow.
+    """
     n = len(shingle_set)
-    own = int(np.searchsorted(starts, n, "right")) - 1
+    own = int(np.searchsorted(_STARTS, n, "right")) - 1
     for band in (own, own + 1):
-        if band > own and 100 * n < percent * starts[band]:
+        if band > own and 100 * n < percent * _STARTS[band]:
             continue
-        count, spare = segments(band, percent)
-        if count == 1 + spare:
-            continue  # no difference is allowed: only equal sets are linked
+        largest = min(int(_STARTS[band + 1]) - 1, 100 * n // percent)
+        most = differences(n + largest, percent)
+        if not most:
+            continue  # only equal sets are linked
+        count = segments(band, percent)
+        spare = count - most - 1
         seed = np.uint64(band * 0x51ED270B)
         place = (mixed(shingle_set + seed) % np.uint64(count)).astype(np.int64)
         parity = np.zeros(count, np.uint64)
         np.bitwise_xor.at(parity, place, mixed(shingle_set ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
         key = mixed(mixed(parity) + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed)
-        yield band, (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(band)
-
-
-_STARTS = np.array(band_starts())
+        key = (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(band)
+        empty = np.flatnonzero(np.bincount(place, minlength=count) == 0)[:spare]
+        yield band, np.delete(key, empty), spare - len(empty)
 
 
 def set_hash(shingle_set: np.ndarray) -> tuple[int, int]:
@@ -85,110 +105,308 @@ def set_hash(shingle_set: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def bits(shingle_set: np.ndarray) -> np.ndarray:
-    """Parities of the shingles by bit, in words of 64. Two sets differ in at least as many shingles as bits."""
-    parity = (np.bincount((shingle_set % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.uint64)
+def identity(shingle_set: np.ndarray, clashes: frozenset[int]) -> tuple[int, int]:
+    """(class, more): the two halves of the set's hash; class alone tells sets apart.
 
+    clashes are the first halves that several sets share; their class is made of both halves.
+    """
+    a, b = set_hash(shingle_set)
+    if a in clashes:
+        a = int(mixed(np.array([a, b], np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+    return a, b
 
-def links(ids: list[int], sets: list[np.ndarray], first: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Edges from the smallest member to the others of each component that links between the two blocks form.
 
-    first marks the sets of the first block; same says that there is one block only. Pairs that are
-    connected already aren't compared again.
-    """
-    size = np.array([len(s) for s in sets])
-    sketch = np.stack([bits(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    left = order if same else order[first[order]]
-    right = order if same else order[~first[order]]
-    root = np.arange(len(sets))
-    right_size, right_sketch = size[right], sketch[right]
-    for at, i in enumerate(left.tolist()):
-        n = size[i]
-        low = at + 1 if same else int(np.searchsorted(right_size * 100, percent * n, "left"))
-        high = int(np.searchsorted(right_size * percent, 100 * n, "right"))
-        if low >= high:
-            continue
-        near = np.bitwise_count(right_sketch[low:high] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        may = (near <= (100 - percent) * (right_size[low:high] + n) // (100 + percent)) & (root[right[low:high]] != root[i])
-        for j in right[low:high][may].tolist():
-            if root[i] == root[j]:
-                continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= percent * (n + size[j] - shared):
-                a, b = root[i], root[j]
-                root[root == b] = a
-    smallest: dict[int, int] = {}
-    for k, r in enumerate(root.tolist()):
-        smallest[r] = min(ids[k], smallest.get(r, ids[k]))
-    return [(ids[k], smallest[r]) for k, r in enumerate(root.tolist()) if ids[k] != smallest[r]]
+def bits(shingle_set: np.ndarray) -> bytes:
+    """Parities of the shingles by bit, two bits or more for each shingle. Two sets differ in at least as many shingles as bits."""
+    size = 32
+    while size < 2 * len(shingle_set):
+        size *= 2
+    parity = (np.bincount((shingle_set % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(parity).tobytes()
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bytes as those that a sketch of so many bytes has."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def may_link(a: bytes, b: bytes, size_sum: int, percent: int) -> bool:
+    """Whether two sets of so many shingles together may be linked, by their parities."""
+    width = min(len(a), len(b))
+    x, y = (folded(np.frombuffer(s, np.uint8)[None, :], width) for s in (a, b))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= differences(size_sum, percent)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, class): the segments of each text's sketches; class is the first half of the set's hash."""
+def _describe(docs: DataFrame, width: int, percent: int, rate: float, clashes: frozenset[int]) -> DataFrame:
+    """(doc_id, n_shingles, class, more, sketch, probe) of each row; probe has the keys of a share of the classes."""
+    most = int(rate * 2**64)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, width) for t in texts_of(batch.column(1))]
+        found = [identity(s, clashes) for s in sets]
+        probes = [np.concatenate([k for _, k, _ in sketch_keys(s, percent)] or [s[:0]]).view(np.int64) if len(s) and f[1] % 2**64 < most else None for s, f in zip(sets, found, strict=True)]
+        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([bits(s) for s in sets], pa.binary()), pa.array(probes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "more", "sketch", "probe"])
+
+    return map_batches(docs, run, "doc_id long, n_shingles long, class long, more long, sketch binary, probe array<long>")
+
+
+def _keys(docs: DataFrame, width: int, percent: int, parts: int, frequent: np.ndarray, clashes: frozenset[int]) -> DataFrame:
+    """(part, keys, runs): the keys of all texts, dealt over parts by key, many to a row.
+
+    Frequent keys are dealt by class over as many further parts.
+    """
+
+    def pack(keys: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+        run = np.repeat(np.arange(len(runs)), runs["n"])
+        part = ((keys >> np.uint64(BAND_BITS)) % np.uint64(parts)).astype(np.int64)
+        if len(frequent):
+            often = frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
+            part[often] = parts + runs["class"][run[often]] % parts
+        order = np.argsort(part, kind="stable")
+        keys, part, run = keys[order], part[order], run[order]
+        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (run[1:] != run[:-1])]))
+        stretches = runs[run[first]]
+        stretches["n"] = np.diff(np.append(first, len(keys)))
+        names, start = np.unique(part, return_index=True)
+        at = np.searchsorted(first, start)
+        ends, at_ends = [*start[1:].tolist(), len(keys)], [*at[1:].tolist(), len(first)]
+        packed = [[keys[s:e].tobytes() for s, e in zip(start.tolist(), ends, strict=True)], [stretches[s:e].tobytes() for s, e in zip(at.tolist(), at_ends, strict=True)]]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "keys", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        keys: list[np.ndarray] = []
+        runs: list[tuple[int, int, int]] = []
+        held = 0
         for batch in batches:
-            keys, classes = [], []
             for text in texts_of(batch.column(1)):
                 s = shingles(text, width)
-                own = set_hash(s)[0]
+                own = identity(s, clashes)
                 if not len(s) or own in seen:
                     continue
+                if len(seen) >= HELD_KEYS:
+                    seen.clear()
                 seen.add(own)
-                for _, key in sketch_keys(s, percent):
-                    keys.append(key.view(np.int64))
-                    classes.append(np.full(len(key), own, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, classes)], ["key", "class"])
+                for _, key, spare in sketch_keys(s, percent):
+                    keys.append(key)
+                    runs.append((own[0], len(key), spare))
+                    held += len(key)
+                if held >= HELD_KEYS:
+                    yield pack(np.concatenate(keys), np.array(runs, RUN))
+                    keys, runs, held = [], [], 0
+        if held:
+            yield pack(np.concatenate(keys), np.array(runs, RUN))
 
     tune(docs.sparkSession)
-    return docs.mapInArrow(run, "key long, class long")
+    return docs.mapInArrow(run, "part long, keys binary, runs binary")
 
 
-def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) of classes: every linked pair of different sets is connected by them.
+def _shared(packed: DataFrame, parts: int) -> DataFrame:
+    """(key, class, spare, freq) of the keys that several classes have; freq is null for the frequent keys."""
 
-    A pair at the threshold shares more segments than the band's spare. With the segments of each class
-    ordered by frequency, such a pair also shares one among all but the last spare ones of either class.
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+        runs = np.frombuffer(b"".join(table["runs"].to_pylist()), RUN)
+        order = np.argsort(keys)
+        twice = keys[order[1:]] == keys[order[:-1]]
+        often = table["part"][0].as_py() >= parts
+        some = order if often else order[np.concatenate([[False], twice]) | np.concatenate([twice, [False]])] if len(order) else order
+        own = np.repeat(np.arange(len(runs)), runs["n"])[some]
+        keys, classes, spare = keys[some], runs["class"][own], runs["spare"][own]
+        order = np.lexsort((classes, keys))
+        keys, classes, spare = keys[order], classes[order], spare[order]
+        once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])])[: len(keys)]
+        keys, classes, spare = keys[once], classes[once], spare[once]
+        _, at, freq = np.unique(keys, return_inverse=True, return_counts=True)
+        freq = freq[at] if len(keys) else np.zeros(0, np.int64)
+        if not often:
+            several = freq > 1
+            keys, classes, spare, freq = keys[several], classes[several], spare[several], freq[several]
+        counts = pa.nulls(len(keys), pa.int64()) if often else pa.array(freq, pa.int64())
+        return pa.table({"key": pa.array(keys.view(np.int64)), "class": pa.array(classes), "spare": pa.array(spare), "freq": counts})
+
+    return packed.groupBy("part").applyInArrow(run, "key long, class long, spare int, freq long")
+
+
+def candidates(docs: DataFrame, width: int, percent: int, parts: int, frequent: np.ndarray, clashes: frozenset[int]) -> DataFrame:
+    """(key, class): the segments of which every linked pair of different sets shares one.
+
+    Such a pair shares more segments than either class has to spare. With a class's segments ordered
+    by frequency, the rarest shared one is therefore among all but the last spare ones of both.
     """
-    keys = _keys(docs, width, percent)
-    shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("freq")).where("low <> high").select("key", "freq")
-    rows = keys.join(shared, "key").groupBy("key", "class").agg(F.max("freq").alias("freq"))
-    rows = rows.withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int"))
-    spare = F.element_at(F.array(*(F.lit(segments(b, percent)[1]) for b in range(BANDS - 1))), F.col("band") + 1)
+    found = checkpointed(_shared(_keys(docs, width, percent, parts, frequent, clashes), parts))
+    if len(frequent):
+        often = found.where("freq is null").drop("freq")
+        # One row for each frequent key, of which there are at most PROBED / FREQUENT times a text's keys.
+        counts = often.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
+        found = found.where("freq is not null").unionByName(often.join(F.broadcast(counts), "key"))
     own = Window.partitionBy("class", "band")
-    ranked = rows.withColumn("rank", F.row_number().over(own.orderBy("freq", "key"))).withColumn("n", F.count("*").over(own))
-    rare = checkpointed(ranked.where(F.col("rank") <= F.col("n") - spare).select("key", "class"))
-    first = rare.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", F.col("low").alias("b"))
-    return rare.join(first, "key").select(F.col("class").alias("a"), "b")
+    ranked = found.withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)))
+    ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy("freq", "key"))).withColumn("n", F.count("*").over(own))
+    return checkpointed(ranked.where(F.col("rank") <= F.col("n") - F.col("spare")).select("key", "class"))
 
 
-def _verify(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Edges (a, b) between linked texts of (cluster, blocks, block, doc_id, shingles)."""
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("cluster", "x", "y"), F.lit(tasks)))
+def _stars(rare: DataFrame) -> DataFrame:
+    """(a, b): each class of a segment with the segment's smallest one."""
+    first = rare.groupBy("key").agg(F.min("class").alias("b"), F.max("class").alias("high")).where("b <> high").select("key", "b")
+    return rare.join(first, "key").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["cluster", "x", "y", "block", "doc_id", "shingles"]).to_pylist()
-        rows.sort(key=lambda r: (r["cluster"], r["x"], r["y"], r["doc_id"]))
-        edges: list[tuple[int, int]] = []
-        start = 0
-        for k in range(1, len(rows) + 1):
-            if k < len(rows) and all(rows[k][c] == rows[start][c] for c in ("cluster", "x", "y")):
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that the parities let through."""
+    of = lambda end: sketches.select(F.col("class").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"))
+    both = pairs.join(of("a"), "a").where(F.col("n_a") > 0).join(of("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, n, x, y = (c.to_pylist() for c in batch.columns)
+        keep = [may_link(s, t, total, percent) for total, s, t in zip(n, x, y, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    return map_batches(both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "s_a", "s_b"), run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, percent: int, clashes: frozenset[int]) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are linked. Only the texts of these classes are read again."""
+    pairs = checkpointed(pairs)
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = _small(ends.join(texts, "class").select("class", "doc_id"))
+
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # An id may stand for several texts; only the class that was asked for counts.
+        found = [(c, s.tobytes()) for c, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True) if identity(s := shingles(t, width), clashes)[0] == c]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["class", "shingles"])
+
+    sets = map_batches(docs.join(wanted, "doc_id").select("class", "text"), sets_of, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    of = lambda end: sets.select(F.col("class").alias(end), F.col("shingles").alias(f"s_{end}"))
+
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    return checkpointed(map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b"), check, "a long, b long"))
+
+
+def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: list[bytes], first: np.ndarray, same: bool, percent: int, partners: int) -> list[tuple[int, int, bool]]:
+    """(a, b, more) of two blocks' classes in different parts that the parities let through.
+
+    first marks the classes of the first block; same says that there is one block only. Of each class
+    the nearest partners are given, and more says that it has others.
+    """
+    order = np.argsort(sizes, kind="stable")
+    width = np.array([len(s) for s in sketches])
+    by_width = {w: folded(np.frombuffer(b"".join(sketches[k] for k in np.flatnonzero(width == w)), np.uint8).reshape(-1, w), w) for w in np.unique(width).tolist()}
+    at_width = {w: np.flatnonzero(width == w) for w in by_width}
+    row = np.zeros(len(sizes), np.int64)
+    for rows in at_width.values():
+        row[rows] = np.arange(len(rows))
+    out = []
+    right = order if same else order[~first[order]]
+    of_width = {w: right[width[right] == w] for w in by_width}
+    rows_of = {w: by_width[w][row[r]] for w, r in of_width.items()}
+    for i in order if same else order[first[order]]:
+        n, near, apart = sizes[i], [], []
+        for w, others in of_width.items():
+            # In one block each pair is looked at from its smaller set, or from either if they are equal.
+            low = int(np.searchsorted(sizes[others] * 100, 100 * n if same else percent * n, "left"))
+            high = int(np.searchsorted(sizes[others] * percent, 100 * n, "right"))
+            if low >= high:
                 continue
-            part = rows[start:k]
-            start = k
-            x, y = part[0]["x"], part[0]["y"]
-            first = np.array([r["block"] == x for r in part])
-            if len(part) > 1 and (x == y or not first.all()):
-                edges += links([r["doc_id"] for r in part], [np.frombuffer(r["shingles"], np.uint64) for r in part], first, x == y, percent)
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+            narrow = min(w, width[i])
+            own = folded(by_width[width[i]][row[i]][None, :], narrow)
+            some = others[low:high]
+            difference = np.bitwise_count(folded(rows_of[w][low:high], narrow) ^ own).sum(axis=1, dtype=np.int64)
+            may = (difference <= (100 - percent) * (sizes[some] + n) // (100 + percent)) & (parts[some] != parts[i])
+            near.append(some[may])
+            apart.append(difference[may] / (sizes[some[may]] + n))
+        if near and len(found := np.concatenate(near)):
+            found = found[np.argsort(np.concatenate(apart), kind="stable")]
+            out += [(int(classes[i]), int(classes[j]), len(found) > partners) for j in found[:partners]]
+    return out
 
-    return dealt.select("task", "cluster", "x", "y", "block", "doc_id", "shingles").groupBy("task").applyInArrow(run, "a long, b long")
+
+def _residual(rare: DataFrame, member: DataFrame, sketches: DataFrame, percent: int, partners: int) -> DataFrame:
+    """(a, b, more): pairs that may be linked, of the segments whose classes are in several components.
+
+    Segments of two classes were compared as stars, and of segments with the same classes one stands for
+    all. A segment of many classes is compared block by block; no pair is written that the parities exclude.
+    """
+    rows = rare.join(member.select(F.col("node").alias("class"), "component"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("part"))
+    alike = [F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y"), F.count("*").alias("n")]
+    apart = rows.groupBy("key").agg(*alike, F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low <> high")
+    apart = apart.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = checkpointed(rows.join(apart, "key"))
+    tasks = max(12, -(-(rows.agg(F.sum("blocks")).first()[0] or 0) // TASK_ROWS))
+    rows = rows.join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).withColumn("task", F.pmod(F.xxhash64("key", "x", "y"), F.lit(tasks)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        key, x, y, block, classes, parts, sizes = (table[c].to_numpy() for c in ("key", "x", "y", "block", "class", "part", "n_shingles"))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        sketches = table["sketch"].to_pylist()
+        out: list[tuple[int, int, bool]] = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+            own = slice(s, e)
+            out += near_in_block(classes[own], parts[own], sizes[own], sketches[own], block[own] == x[s], x[s] == y[s], percent, partners)
+        a, b, more = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+
+    return checkpointed(dealt.select("task", "key", "x", "y", "block", "class", "part", "n_shingles", "sketch").groupBy("task").applyInArrow(run, "a long, b long, more boolean"))
+
+
+def _grouped(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, class, more, component_id) of each row of (doc_id, text), as classes() says."""
+    docs = id_and_text(documents)
+    n = docs.count()
+    rate, clashes = min(1.0, PROBED / max(1, n)), frozenset()
+    while True:
+        rows = checkpointed(_describe(docs, width, percent, rate, clashes))
+        texts = rows.where("doc_id is not null and n_shingles > 0").groupBy("class", "more").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        # Two of n sets share a first half once in 2^64 / n^2 cases: none to a few, whatever the corpus.
+        more = texts.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class").collect()
+        if not more:
+            break
+        clashes |= {r["class"] for r in more}
+    texts = checkpointed(texts.select("class", "doc_id", "n_shingles", "sketch"))
+    probed = rows.where("probe is not null and doc_id is not null").dropDuplicates(["class"]).select(F.explode("probe").alias("key"))
+    frequent = np.array(sorted(r.key % 2**64 for r in probed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("key").collect()), np.uint64)
+    total = texts.agg(F.sum("n_shingles")).first()[0] or 0
+    keys = total * 4 * (100 - percent) // (100 + percent)
+    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys // PART_KEYS))
+    rare = candidates(docs.where("doc_id is not null"), width, percent, parts, frequent, clashes)
+    sketches = texts.select("class", "n_shingles", "sketch")
+    of_class = texts.select("class", "doc_id")
+    links = _verified(_sketched(_stars(rare), sketches, percent), of_class, docs, width, percent, clashes)
+    member = checkpointed(components(links))
+    partners = PARTNERS
+    while True:
+        near = _residual(rare, member, sketches, percent, partners)
+        if not near.limit(1).count():
+            break
+        more_links = _verified(near.select("a", "b").distinct(), of_class, docs, width, percent, clashes)
+        if more_links.limit(1).count():
+            links = links.unionByName(more_links)
+            member = checkpointed(components(links))
+        if not near.where("more").limit(1).count():
+            break
+        partners *= PARTNERS
+    placed = of_class.join(member.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
+    placed = placed.join(least, "component").select("class", "least")
+    out = rows.select("doc_id", "n_shingles", "class", "more").join(placed, "class", "left")
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", "class", "more", component.alias("component_id"))
 
 
 def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -198,79 +416,39 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     their sets is at least percent / 100, and component_id is the smallest doc_id reachable over
     links. A null or wordless text has no shingles and is linked with nothing; a text with fewer words than a
     shingle has its whole sequence as one. Rows that repeat a doc_id stay, and are linked like any
-    others. A row without an id keeps its size, has a null component and links with nothing. Other
-    columns are not read.
+    others, each by its own text. A row without an id keeps its size, has a null component and links with
+    nothing. An empty table gives no rows. Other columns are not read.
     """
-    docs = id_and_text(documents)
-
-    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in texts_of(batch.column(1))]
-        hashes = [set_hash(s) for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())], ["doc_id", "n_shingles", "class", "more"]
-        )
-
-    rows = checkpointed(map_batches(docs, describe, "doc_id long, n_shingles long, class long, more long"))
-    own = rows.where("doc_id is not null and n_shingles > 0").groupBy("class", "more").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    near = candidates(docs.where("doc_id is not null"), width, percent)
-    member = components(near)
-    roots = member.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
-    cluster = member.unionByName(roots).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    chosen = checkpointed(own.join(cluster, "class").select("class", "more", "cluster", "doc_id", "n_shingles"))
-    sizes = chosen.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    chosen = chosen.join(sizes, "cluster").select("class", "more", "cluster", "doc_id", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    totals = checkpointed(chosen)
-    work = totals.agg(F.count("*").alias("n")).first().n
-    if work:
-        # An id that stands for several classes has a text for each; those are told apart by the set itself.
-        several = _small(totals.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-        repeated = bool(several.limit(1).count())
-        small = totals.join(several, "doc_id", "left_anti") if repeated else totals
-        ids = ["class", "more", "doc_id"]
-        weights = rows.join(small.select("doc_id", "blocks"), "doc_id").select("n_shingles", "blocks")
-        if repeated:
-            weights = weights.unionByName(rows.join(totals.join(several, "doc_id", "left_semi").select(*ids, "blocks"), ids).select("n_shingles", "blocks"))
-        weight = weights.agg(F.sum(F.col("n_shingles") * F.col("blocks"))).first()[0]
-        placed = small.select("doc_id", "cluster", "blocks", "block")
-        picked = docs.join(F.broadcast(placed) if work <= BROADCAST_IDS else placed, "doc_id").select("doc_id", "text", "cluster", "blocks", "block")
-
-        def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = pa.array([shingles(t, width).tobytes() for t in texts_of(batch.column(1))], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], sets], ["doc_id", "cluster", "blocks", "block", "shingles"])
-
-        def pack_by_set(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingles(t, width) for t in texts_of(batch.column(1))]
-            hashes = [set_hash(s) for s in found]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in found], pa.binary())], [*ids[2:], *ids[:2], "shingles"]
-            )
-
-        sets = map_batches(picked, pack, "doc_id long, cluster long, blocks int, block int, shingles binary")
-        if repeated:
-            own_sets = map_batches(docs.join(several, "doc_id", "left_semi").select("doc_id", "text"), pack_by_set, "doc_id long, class long, more long, shingles binary")
-            sets = sets.unionByName(own_sets.join(totals.join(several, "doc_id", "left_semi"), ids).select(*sets.columns))
-        part = components(_verify(sets, percent, max(12, -(-weight // TASK_SHINGLES)))).select(F.col("node").alias("doc_id"), "component")
-        own = own.join(part, "doc_id", "left").select("class", "more", F.coalesce("component", "doc_id").alias("component"))
-    else:
-        own = own.select("class", "more", F.col("doc_id").alias("component"))
-    out = rows.join(own, ["class", "more"], "left")
-    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return _grouped(documents, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays.
 
-    Rows that repeat such a doc_id are near copies too if they have the same text, so one of them stays.
-    Rows without an id stay.
+    Where rows repeat a doc_id, each is judged by its own text; of those that repeat a doc_id and its
+    text one stays. Rows without an id and rows without words stay. All columns pass through, whatever
+    their names; an empty table gives no rows.
     """
-    found = checkpointed(classes(documents, width, percent))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    left = documents.join(_small(gone), "doc_id", "left_anti")
-    repeated = _small(repeated)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").select(*documents.columns).unionByName(once.select(*documents.columns))
+    found = checkpointed(_grouped(documents, width, percent))
+    counted = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") != F.col("doc_id")).alias("goes"))
+    gone = _small(counted.where("n = 1 and goes").select("doc_id"))
+    repeated = _small(counted.where("n > 1").select("doc_id"))
+    names = documents.columns
+    own_id = documents["doc_id"].cast("long")
+    left = documents.join(gone, own_id == gone["doc_id"], "left_anti").join(repeated, own_id == repeated["doc_id"], "left_anti")
+    if not repeated.limit(1).count():
+        return left.select(*names)
+    at_text = names.index("text")
+    several = documents.join(repeated, own_id == repeated["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+
+    def tell(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [set_hash(shingles(t, width))[1] for t in texts_of(batch.column(at_text))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, _SET])
+
+    told = map_batches(several, tell, T.StructType([*several.schema.fields, T.StructField(_SET, T.LongType())]))
+    stay = found.join(repeated.select("doc_id"), "doc_id", "left_semi").where("component_id = doc_id").select("doc_id", "more").distinct()
+    mine = told.join(stay, (told["doc_id"].cast("long") == stay["doc_id"]) & (told[_SET] == stay["more"]), "left_semi")
+    return left.select(*names).unionByName(mine.select(*names))
 
 
 def _small(ids: DataFrame) -> DataFrame:

@@ -87,8 +87,9 @@ def test_classes_equal_brute_force(spark, width, percent, seed):
 
 
 def test_classes_in_several_blocks_and_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
-    monkeypatch.setattr(jaccard, "TASK_SHINGLES", 500)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 8)
+    monkeypatch.setattr(jaccard, "HELD_KEYS", 50)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     random_ = random.Random(9)
     words = [random_.choice(WORDS) for _ in range(100)]
@@ -98,6 +99,42 @@ def test_classes_in_several_blocks_and_by_shuffle(spark, monkeypatch):
     assert got == brute_classes(texts, 3, 90)[0]
 
 
+@pytest.mark.parametrize(("partners", "frequent"), [(1, 10**9), (2, 2)])
+def test_chains_of_near_copies(spark, monkeypatch, partners, frequent):
+    """Texts that are linked with their neighbours only, so that no segment's smallest text is linked with most of it."""
+    monkeypatch.setattr(jaccard, "PARTNERS", partners)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 10)
+    random_ = random.Random(6)
+    words = [f"c{k}" for k in range(400)]
+    texts = {}
+    order = list(range(48))
+    random_.shuffle(order)
+    for at, doc in enumerate(order):
+        texts[doc] = " ".join(words[3 * at : 3 * at + 60])
+    for k in range(40):
+        texts[100 + k] = " ".join([*words[:30], *(f"o{k}-{j}" for j in range(30))])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(frame, 5, 80).collect()}
+    expected, links = brute_classes(texts, 5, 80)
+    assert got == expected and len({v[1] for k, v in expected.items() if k < 100}) < 4 < len(links)
+
+
+def test_equal_first_halves_are_told_apart():
+    sets = [np.unique(np.random.default_rng(k).integers(0, 2**63, 30).astype(np.uint64)) for k in range(3)]
+    clash = frozenset([jaccard.set_hash(sets[0])[0]])
+    assert jaccard.identity(sets[1], clash) == jaccard.set_hash(sets[1])
+    assert jaccard.identity(sets[0], clash)[0] not in clash and jaccard.identity(sets[0], clash)[1] == jaccard.set_hash(sets[0])[1]
+
+
+def test_unique_texts_of_a_repeated_id_stay(spark):
+    random_ = random.Random(8)
+    a, b = (" ".join("".join(random_.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(2))
+    docs = spark.createDataFrame([(5, a, "en", "s", 1, "p"), (5, b, "en", "s", 1, "q"), (3, a + " end", "en", "s", 1, "r"), (None, a, "en", "s", 1, None)], DOCS + ", class string")
+    assert sorted((r.text, r["class"]) for r in jaccard.keep_one(docs).where("doc_id is not null").collect()) == sorted([(a + " end", "r"), (b, "q")])
+    assert jaccard.keep_one(docs.where("false")).columns == docs.columns and jaccard.keep_one(docs.where("false")).count() == 0
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -107,13 +144,14 @@ def test_sketches_bound_the_difference():
         b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, drop + 1))).astype(np.uint64)]))
         shared = len(np.intersect1d(a, b))
         apart = len(a) + len(b) - 2 * shared
-        assert int(np.bitwise_count(jaccard.bits(a) ^ jaccard.bits(b)).sum()) <= apart
+        x, y = (np.frombuffer(jaccard.bits(s), np.uint8)[None, :] for s in (a, b))
+        x, y = (jaccard.folded(s, min(x.shape[1], y.shape[1])) for s in (x, y))
+        assert int(np.bitwise_count(x ^ y).sum()) <= apart
         if 100 * shared >= 90 * (len(a) + len(b) - shared):
-            of_a, of_b = dict(jaccard.sketch_keys(a, 90)), dict(jaccard.sketch_keys(b, 90))
+            of_a, of_b = ({band: (key, spare) for band, key, spare in jaccard.sketch_keys(s, 90)} for s in (a, b))
             band = max(int(np.searchsorted(jaccard._STARTS, max(len(a), len(b)), "right")) - 1, 0)
-            if band in of_a:
-                spare = jaccard.segments(band, 90)[1]
-                assert np.count_nonzero(of_a[band] == of_b[band]) > spare
+            if band in of_a and apart:
+                assert len(np.intersect1d(of_a[band][0], of_b[band][0])) > max(of_a[band][1], of_b[band][1])
 
 
 def test_repeated_ids_and_missing_ids(spark):
