@@ -12,6 +12,7 @@ import base64
 import bisect
 import heapq
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,15 @@ from pyspark.sql import DataFrame
 
 from quirework.llm.common import id_and_text, map_batches, texts_of
 
-#: Distinct words whose ids a worker keeps; beyond that it starts anew.
+#: Distinct words whose ids a worker keeps as the recent ones; as many older ones stay until these are full.
 WORDS_KEPT = 600_000
-#: Pairs of tokens whose ranks a worker keeps when it starts anew.
+#: Pairs of tokens whose ranks a worker keeps; beyond that it starts anew.
 PAIRS_KEPT = 1_000_000
+#: Tokens that are decoded at once.
+DECODED = 500_000
+#: Texts whose pattern gives runs of letters with at most one space before them as single words can be cut at
+#: spaces first; this is the test text for that, with the words it must give.
+SPACED, SPACED_WORDS = "ab cd'x é1 ,y", ["ab", " cd", "'", "x", " é", "1", " ,", "y"]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,11 +44,17 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int], pattern: str, words_kept: int = WORDS_KEPT):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        self.spaced = self.split(SPACED) == SPACED_WORDS
         self.words_kept = words_kept
-        self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.lengths = np.array([len(t) for t in self.tokens])
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.length_of = self.lengths.tolist()
         self.bytes_ids = [ranks[bytes((b,))] for b in range(256)]
         self.byte_pairs = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
         self.pairs: dict[int, int] = {}
@@ -60,7 +72,7 @@ class Merges:
 
         The look-ups of pairs stand in the loops themselves, since they are most of the work.
         """
-        ids, first_pairs, pairs, pair = self.bytes_ids, self.byte_pairs, self.pairs, self.pair
+        ids, first_pairs, pairs, pair, length_of = self.bytes_ids, self.byte_pairs, self.pairs, self.pair, self.length_of
         token: list[int] = []
         after: list[int] = []
         before: list[int] = []
@@ -89,6 +101,8 @@ class Merges:
                 continue
             if len(places) > 1:
                 places.sort()
+            # What stood at a place when it was indexed had the token's bytes; it still has if the lengths fit.
+            whole = length_of[rank]
             waiting: list[int] = []
             held = -1  # the end of a word in which a lower rank came up: its other places wait for that
             for p in places:
@@ -97,10 +111,7 @@ class Merges:
                     continue
                 q = after[p]
                 left = token[p]
-                if left < 0 or q < 0:
-                    continue
-                found = pairs.get(left << 32 | token[q])
-                if (pair(left, token[q]) if found is None else found) != rank:
+                if left < 0 or q < 0 or length_of[left] + length_of[token[q]] != whole:
                     continue
                 token[p], token[q] = rank, -1
                 r = after[p] = after[q]
@@ -143,35 +154,83 @@ class Merges:
             out.append(word_ids)
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of these words among the known ones."""
-        known = self.known
-        rest, spelled = [], []
-        for word in words:
-            data = word.encode("utf-8")
+    def _known(self, keys: Iterable[str]) -> dict[str, bytes]:
+        """The ids of those words that are known."""
+        recent, older, found = self.recent, self.older, {}
+        for k in keys:
+            if (ids := recent.get(k)) is None and (ids := older.get(k)) is not None:
+                recent[k] = ids
+            if ids is not None:
+                found[k] = ids
+        return found
+
+    def _keep(self, words: dict[str, bytes]) -> None:
+        if len(self.recent) + len(words) > self.words_kept:
+            self.older, self.recent = self.recent, {}
+        self.recent.update(words)
+
+    def ids_of_words(self, keys: set[str]) -> dict[str, bytes]:
+        """The ids of words, each by its key_of()."""
+        found = self._known(keys)
+        new, rest, spelled = {}, [], []
+        for key in keys - found.keys():
+            data = (key[1:] if key[0] == " " else " " + key).encode("utf-8")
             if (whole := self.ranks.get(data)) is not None:
-                known[word] = array("I", (whole,)).tobytes()
+                new[key] = array("I", (whole,)).tobytes()
             else:
-                rest.append(word)
+                rest.append(key)
                 spelled.append(data)
-        for word, ids in zip(rest, self.replay(spelled), strict=True):
-            known[word] = array("I", ids).tobytes()
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs.clear()
+        new.update((key, array("I", ids).tobytes()) for key, ids in zip(rest, self.replay(spelled), strict=True))
+        self._keep(new)
+        return found | new
+
+    def ids_of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks, each with a space before it; those that are empty or have white space at an end are left out.
+
+        Words of the pattern end before a space that stands between two characters other than white
+        space. A word that begins with a space is a chunk too, with the same key.
+        """
+        found = self._known(chunks)
+        new = [c for c in chunks if c not in found and c and not c[0].isspace() and not c[-1].isspace()]
+        parts = {c: [key_of(w) for w in self.split(" " + c)] for c in new if not c.isalpha()}
+        of = self.ids_of_words({k for p in parts.values() for k in p}.union(c for c in new if c not in parts))
+        joined = {c: b"".join([of[k] for k in p]) for c, p in parts.items() if len(p) > 1}
+        self._keep(joined)
+        found.update((c, of[c]) for c in new if c not in joined)
+        return found | joined
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split(t) for t in texts]
-        if len(self.known) > self.words_kept:
-            self.known.clear()
-            if len(self.pairs) > PAIRS_KEPT:
-                self.pairs.clear()
-        known = self.known
-        if new := {w for words in split for w in words if w not in known}:
-            self.learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        cut = [t.split(" ") if self.spaced else [""] for t in texts]
+        heads = [c[0] if self.spaced else t for c, t in zip(cut, texts, strict=True)]
+        for c in cut:
+            del c[0]
+        distinct = set().union(*cut)
+        of = self.ids_of_chunks(distinct)
+        if odd := distinct - of.keys():
+            for k, c in enumerate(cut):
+                if not odd.isdisjoint(c):
+                    cut[k], heads[k] = [], texts[k]  # by the pattern alone
+        words = [[key_of(w) for w in self.split(t)] for t in heads]
+        get_word, get = self.ids_of_words(set().union(*words)).__getitem__, of.__getitem__
+        return [b"".join([*map(get_word, w), *map(get, c)]) for w, c in zip(words, cut, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of ids that are little-endian unsigned 32-bit integers."""
+        out, all_ids = [], np.frombuffer(ids, "<u4")
+        for k in range(0, len(all_ids), DECODED):
+            part = all_ids[k : k + DECODED]
+            lengths = self.lengths[part]
+            ends = np.cumsum(lengths)
+            out.append(self.flat[np.repeat(self.places[part] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+
+def key_of(word: str) -> str:
+    """A word's key: what follows the space before it, or a space and the word if it has none or is white space."""
+    return word[1:] if word[0] == " " and not word.isspace() else " " + word
 
 
 _MERGES: dict[tuple[str, str], Merges] = {}
@@ -206,3 +265,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
+
+
+def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded) of each row of (doc_id, text): decode() of encode() in one pass, with the same rows."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = merges(path, pattern)
+        ids = own.encode(texts_of(batch.column(1)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return map_batches(id_and_text(documents), run, "doc_id long, ids binary, decoded binary")

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts may be long, and a worker holds a few batches at once.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch. Texts may be long, and a worker holds a few batches at once.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 #: Columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for tables of long texts."""
+    """Keeps Arrow batches small enough for tables of long texts; a single longer text is a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
