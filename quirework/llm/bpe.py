@@ -9,10 +9,9 @@ get new entries. Documents are then joined with their words' ids.
 from __future__ import annotations
 
 import base64
-import bisect
 import heapq
-from array import array
 from collections.abc import Iterable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,8 @@ from quirework.llm.common import id_and_text, map_batches, texts_of
 
 #: Distinct words whose ids a worker keeps as the recent ones; as many older ones stay until these are full.
 WORDS_KEPT = 600_000
-#: Pairs of tokens whose ranks a worker keeps; beyond that it starts anew.
-PAIRS_KEPT = 1_000_000
+#: Rows of a block, whose new words are replayed together.
+BLOCK_ROWS = 2048
 #: Tokens that are decoded at once.
 DECODED = 500_000
 #: Texts whose pattern gives runs of letters with at most one space before them as single words can be cut at
@@ -54,105 +53,93 @@ class Merges:
         self.lengths = np.array([len(t) for t in self.tokens])
         self.places = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.length_of = self.lengths.tolist()
-        self.bytes_ids = [ranks[bytes((b,))] for b in range(256)]
-        self.byte_pairs = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
-        self.pairs: dict[int, int] = {}
-
-    def pair(self, a: int, b: int) -> int:
-        """The rank of two tokens that stand side by side, or -1."""
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return found
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
+        self.byte_ids = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
+        self.byte_pairs = np.array([ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)], np.int64)
+        halves = ((ranks.get(t[:k]), ranks.get(t[k:]), rank) for t, rank in ranks.items() for k in range(1, len(t)))
+        pairs = np.array([(a << 32 | b, rank) for a, b, rank in halves if a is not None and b is not None], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pair_keys, self.pair_ranks = np.append(pairs[:, 0], np.iinfo(np.int64).max), np.append(pairs[:, 1], -1)
+
+    def _ranks_of(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
+        """The ranks of tokens that stand side by side, or -1."""
+        key = np.asarray(left, np.int64) << 32 | np.asarray(right, np.int64)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, by merges in rank order over all words at once.
 
-        The look-ups of pairs stand in the loops themselves, since they are most of the work.
+        A word whose merge makes a pair of lower rank waits with its other places until that is merged.
         """
-        ids, first_pairs, pairs, pair, length_of = self.bytes_ids, self.byte_pairs, self.pairs, self.pair, self.length_of
-        token: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        index: dict[int, list[int]] = {}
-        for word in words:
-            n, base = len(word), len(token)
-            starts.append(base)
-            token += [ids[b] for b in word]
-            before += [-1, *range(base, base + n - 1)]
-            after += [*range(base + 1, base + n), -1]
-            for p, (x, y) in enumerate(zip(word, word[1:], strict=False), base):  # noqa: RUF007
-                if (rank := first_pairs[x << 8 | y]) >= 0:
-                    if rank in index:
-                        index[rank].append(p)
-                    else:
-                        index[rank] = [p]
-        ends = starts[1:] + [len(token)]
-        queue = list(index)
-        heapq.heapify(queue)
-        push, pop = heapq.heappush, heapq.heappop
+        data = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size)
+        starts = ends - size
+        token = self.byte_ids[data]
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends - 1], before[starts] = -1, -1
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def add(places: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            firsts = [0, *cuts.tolist()]
+            for rank, s, e in zip(ranks[firsts].tolist(), firsts, [*firsts[1:], len(ranks)], strict=True):
+                if rank in index:
+                    index[rank].append(places[s:e])
+                else:
+                    index[rank] = [places[s:e]]
+                    heapq.heappush(queue, rank)
+
+        first = np.flatnonzero(after >= 0)
+        ranks = self.byte_pairs[data[first].astype(np.int64) << 8 | data[np.minimum(first + 1, len(data) - 1)]]
+        if (ranks >= 0).any():
+            add(first[ranks >= 0], ranks[ranks >= 0])
         while queue:
-            rank = pop(queue)
-            places = index.pop(rank, None)
-            if not places:
-                continue
-            if len(places) > 1:
-                places.sort()
+            rank = heapq.heappop(queue)
+            p = np.unique(np.concatenate(index.pop(rank)))
             # What stood at a place when it was indexed had the token's bytes; it still has if the lengths fit.
-            whole = length_of[rank]
-            waiting: list[int] = []
-            held = -1  # the end of a word in which a lower rank came up: its other places wait for that
-            for p in places:
-                if p < held:
-                    waiting.append(p)
-                    continue
-                q = after[p]
-                left = token[p]
-                if left < 0 or q < 0 or length_of[left] + length_of[token[q]] != whole:
-                    continue
-                token[p], token[q] = rank, -1
-                r = after[p] = after[q]
-                lower = False
-                if r >= 0:
-                    before[r] = p
-                    new = pairs.get(rank << 32 | token[r])
-                    if new is None:
-                        new = pair(rank, token[r])
-                    if new >= 0:
-                        if new in index:
-                            index[new].append(p)
-                        else:
-                            index[new] = [p]
-                            push(queue, new)
-                        lower = new < rank
-                o = before[p]
-                if o >= 0:
-                    new = pairs.get(token[o] << 32 | rank)
-                    if new is None:
-                        new = pair(token[o], rank)
-                    if new >= 0:
-                        if new in index:
-                            index[new].append(o)
-                        else:
-                            index[new] = [o]
-                            push(queue, new)
-                        lower = lower or new < rank
-                if lower:
-                    held = ends[bisect.bisect_right(starts, p) - 1]
-            if waiting:
-                index[rank] = waiting
-                push(queue, rank)
-        out = []
-        for start in starts:
-            word_ids, p = [], start
-            while p >= 0:
-                word_ids.append(token[p])
-                p = after[p]
-            out.append(word_ids)
-        return out
+            q = after[p]
+            live = (token[p] >= 0) & (q >= 0)
+            p, q = p[live], q[live]
+            live = self.lengths[token[p]] + self.lengths[token[q]] == self.lengths[rank]
+            p, q = p[live], q[live]
+            if not len(p):
+                continue
+            chained = q[:-1] == p[1:]
+            if chained.any():  # of places that overlap in a row, every second one is gone when its turn comes
+                at = np.arange(len(p))
+                head = np.maximum.accumulate(np.where(np.concatenate([[True], ~chained]), at, 0))
+                p, q = p[(at - head) % 2 == 0], q[(at - head) % 2 == 0]
+            r, o = after[q], before[p]
+            left = token[o]
+            joined = np.concatenate([[False], o[1:] == q[:-1]])  # the left neighbour is merged at the same time
+            o[joined], left[joined] = p[:-1][joined[1:]], rank
+            right_rank = np.where(r >= 0, self._ranks_of(rank, token[r]), -1)
+            left_rank = np.where(o >= 0, self._ranks_of(left, rank), -1)
+            lower = ((right_rank >= 0) & (right_rank < rank)) | ((left_rank >= 0) & (left_rank < rank))
+            if lower.any():
+                word, at = np.searchsorted(starts, p, "right"), np.flatnonzero(lower)
+                held, which = np.unique(word[at], return_index=True)
+                place = np.minimum(np.searchsorted(held, word), len(held) - 1)
+                waits = (held[place] == word) & (np.arange(len(p)) > at[which][place])
+                if waits.any():
+                    add(p[waits], np.full(int(waits.sum()), rank))
+                    p, q, r, o, right_rank, left_rank = (x[~waits] for x in (p, q, r, o, right_rank, left_rank))
+            token[p], token[q], after[p] = rank, -1, r
+            inner = r >= 0
+            before[r[inner]] = p[inner]
+            right_rank[:-1][r[:-1] == p[1:]] = -1  # that pair is the left one of the next place
+            places, ranks = np.concatenate([p, o]), np.concatenate([right_rank, left_rank])
+            if (new := ranks >= 0).any():
+                add(places[new], ranks[new])
+        live = token >= 0
+        kept = np.cumsum(live)
+        cuts = [0, *(kept[ends - 1] * 4).tolist()] if len(words) else [0]
+        out = token[live].astype("<u4").tobytes()
+        return [out[s:e] for s, e in pairwise(cuts)]
 
     def _known(self, keys: Iterable[str]) -> dict[str, bytes]:
         """The ids of those words that are known."""
@@ -176,13 +163,11 @@ class Merges:
         for key in keys - found.keys():
             data = (key[1:] if key[0] == " " else " " + key).encode("utf-8")
             if (whole := self.ranks.get(data)) is not None:
-                new[key] = array("I", (whole,)).tobytes()
+                new[key] = whole.to_bytes(4, "little")
             else:
                 rest.append(key)
                 spelled.append(data)
-        if len(self.pairs) > PAIRS_KEPT:
-            self.pairs.clear()
-        new.update((key, array("I", ids).tobytes()) for key, ids in zip(rest, self.replay(spelled), strict=True))
+        new.update(zip(rest, self.replay(spelled), strict=True))
         self._keep(new)
         return found | new
 
@@ -253,7 +238,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(merges(path, pattern).encode(texts_of(batch.column(1))), pa.binary())], ["doc_id", "ids"])
 
-    return map_batches(id_and_text(documents), run, "doc_id long, ids binary")
+    return map_batches(id_and_text(documents), run, "doc_id long, ids binary", BLOCK_ROWS)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -275,4 +260,4 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         ids = own.encode(texts_of(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return map_batches(id_and_text(documents), run, "doc_id long, ids binary, decoded binary")
+    return map_batches(id_and_text(documents), run, "doc_id long, ids binary, decoded binary", BLOCK_ROWS)
