@@ -6,8 +6,6 @@ packed pieces. Every stage reads all rows its predecessor kept.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,12 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quirework.llm import jaccard, packing, pii, quality, toxicity
 from quirework.llm.common import table
+from quirework.session import shared_folder
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; it learns from the labels of the documents given."""
+    """Documents that the quality classifier keeps; it learns from the labels of the documents given.
+
+    Here as in every stage rows that repeat an id are judged each by itself, rows without an id stay, a null text
+    counts as empty, columns of any further names pass through, and an empty table gives no rows.
+    """
     labels = table(spark, sf_dir, "labels")
-    return quality.keep_good(docs, labels, quality.fit(docs, labels))
+    return quality.keep_good(docs, labels, quality.fit(docs, labels), quality.sites_of(table(spark, sf_dir, "pages")))
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Each stage's rows are written as Parquet in the checkpoint folder and read again."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
