@@ -25,8 +25,12 @@ ANNOUNCES = r"^(On .+ wrote|Am .+ schrieb .+|Le .+ a écrit|El .+ escribió)[ ]?
 
 
 def _lines(messages: DataFrame) -> DataFrame:
-    """A row for each line: (conv_id, turn, role, text, pos, level, body); announcements of quotations have level -1."""
-    each = messages.select("conv_id", "turn", "role", "text", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    """A row for each line: (conv_id, turn, message, pos, level, normal); announcements of quotations have level -1.
+
+    message is a hash of the role and the text, so that no line carries its whole message along.
+    """
+    message = F.xxhash64("role", "text")
+    each = messages.select("conv_id", "turn", message.alias("message"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     marks = F.expr(f"transform(lines, x -> regexp_extract(x, r'{QUOTE}', 1))")
     each = each.withColumn("marks", marks)
     parsed = F.transform(
@@ -37,7 +41,8 @@ def _lines(messages: DataFrame) -> DataFrame:
             F.substring(x, F.length(F.get("marks", k)) + 1, F.length(x)).alias("body"),
         ),
     )
-    return each.select("conv_id", "turn", "role", "text", F.explode(parsed).alias("line")).select("conv_id", "turn", "role", "text", "line.*")
+    lines = each.select("conv_id", "turn", "message", F.explode(parsed).alias("line")).select("conv_id", "turn", "message", "line.*")
+    return lines.withColumn("normal", F.expr(_normal("body"))).drop("body")
 
 
 def _normal(body: str) -> str:
@@ -47,11 +52,11 @@ def _normal(body: str) -> str:
 
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, hash, chars) of each passage: a run of lines of one level up to an empty line, or one line."""
-    lines = _lines(messages).where("level >= 0").withColumn("normal", F.expr(_normal("body")))
-    message = Window.partitionBy("conv_id", "turn", "role", "text").orderBy("pos")
+    lines = _lines(messages).where("level >= 0")
+    message = Window.partitionBy("conv_id", "turn", "message").orderBy("pos")
     starts = (F.col("level") != F.coalesce(F.lag("level").over(message), F.lit(-9))) | (F.col("normal") == "") | (F.coalesce(F.lag("normal").over(message), F.lit("")) == "")
     runs = lines.withColumn("run", F.sum(starts.cast("int")).over(message.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = runs.groupBy("conv_id", "turn", "role", "text", "run", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "normal"))), lambda x: x.normal), "").alias("normal"))
+    grouped = runs.groupBy("conv_id", "turn", "message", "run", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "normal"))), lambda x: x.normal), "").alias("normal"))
     both = lines.select("conv_id", "turn", "level", "normal").unionByName(grouped.select("conv_id", "turn", "level", "normal"))
     return both.where(F.length("normal") >= LEAST_CHARS).distinct().select("conv_id", "turn", "level", F.md5("normal").alias("hash"), F.length("normal").alias("chars"))
 

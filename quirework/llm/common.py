@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.session import shared_top
+
 #: Rows and bytes in one Arrow batch. Texts may be long, and a worker holds a few batches at once.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
+#: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 #: Columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,16 +35,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the reliable checkpoint folder and read from there.
 
     The folder is the one that the cluster names in spark.checkpoint.dir. Where nothing names
-    one, as in tests, a temporary folder of this machine serves.
+    one, as in tests, a temporary folder of this machine serves, if it is the only one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_top(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """Ids for a join: broadcast if they are few, so that texts stay where they are; else joined by a shuffle."""
+    ids = checkpointed(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """One output batch for each input batch, in Arrow form; no shuffle."""
 

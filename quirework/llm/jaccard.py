@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quirework.llm.common import checkpointed, id_and_text, map_batches, texts_of, tune
+from quirework.llm.common import checkpointed, id_and_text, map_batches, small, texts_of, tune
 from quirework.llm.graph import components
 from quirework.llm.shingles import mixed, shingles
 
@@ -39,8 +39,6 @@ PROBED, FREQUENT = 8192, 8
 BLOCK_ROWS, TASK_ROWS = 8192, 50_000
 #: Possible partners of one text in one block that are verified in the first round; each further round has so many times more.
 PARTNERS = 8
-#: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 #: A column beside those of the documents, in between only.
 _SET = "quirework: hash of the set"
@@ -278,7 +276,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, p
     """The pairs (a, b) of classes whose whole sets are linked. Only the texts of these classes are read again."""
     pairs = checkpointed(pairs)
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = _small(ends.join(texts, "class").select("class", "doc_id"))
+    wanted = small(ends.join(texts, "class").select("class", "doc_id"))
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         # An id may stand for several texts; only the class that was asked for counts.
@@ -431,8 +429,8 @@ def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     """
     found = checkpointed(_grouped(documents, width, percent))
     counted = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") != F.col("doc_id")).alias("goes"))
-    gone = _small(counted.where("n = 1 and goes").select("doc_id"))
-    repeated = _small(counted.where("n > 1").select("doc_id"))
+    gone = small(counted.where("n = 1 and goes").select("doc_id"))
+    repeated = small(counted.where("n > 1").select("doc_id"))
     names = documents.columns
     own_id = documents["doc_id"].cast("long")
     left = documents.join(gone, own_id == gone["doc_id"], "left_anti").join(repeated, own_id == repeated["doc_id"], "left_anti")
@@ -449,9 +447,3 @@ def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     stay = found.join(repeated.select("doc_id"), "doc_id", "left_semi").where("component_id = doc_id").select("doc_id", "more").distinct()
     mine = told.join(stay, (told["doc_id"].cast("long") == stay["doc_id"]) & (told[_SET] == stay["more"]), "left_semi")
     return left.select(*names).unionByName(mine.select(*names))
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    """Ids for a join: broadcast if they are few, so that texts stay where they are; else joined by a shuffle."""
-    ids = checkpointed(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from quirework.llm import boost
 from quirework.llm.chunks import Properties
-from quirework.llm.common import checkpointed, id_and_text, map_batches, texts_of
+from quirework.llm.common import checkpointed, id_and_text, map_batches, small, texts_of
+from quirework.llm.toxicity import held_out
+from quirework.llm.urls import host_of, path_of
 
 #: Labelled rows that the document classifier is fitted on: those with the smallest hash of their id.
 FIT_ROWS = 12_000
@@ -86,31 +88,58 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> boost.Model:
-    """The document classifier, from labels.quality of a bounded sample of rows.
+    """The document classifier, from labels.quality of a bounded sample of rows, none of them held out.
 
-    Without labels of both kinds it gives every text the share of good rows.
+    Of rows that repeat an id one is learned from. Without labels of both kinds it gives every text
+    the share of good rows.
     """
-    chosen = _labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    chosen = _labels(labels).where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     sample = id_and_text(documents).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _matrix(texts_of(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = sorted(tuple(r) for r in map_batches(sample, run, "doc_id long, y int, x array<double>").limit(2 * fit_rows).collect())
+    one = map_batches(sample, run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("row"))
+    rows = sorted(tuple(r) for r in one.select("doc_id", "row.*").collect())
     x = np.array([r[2] for r in rows]).reshape(-1, N_FEATURES)
     return boost.fit(x, np.array([r[1] for r in rows], int), np.arange(len(rows)) % 4 == 3)
 
 
-def classify(documents: DataFrame, model: boost.Model) -> DataFrame:
-    """(doc_id, host, path, p_doc) of each row; host is the source, path the language within it; nulls stay."""
+def sites_of(pages: DataFrame) -> DataFrame:
+    """(doc_id, host, path) of the documents that the urls of (url) name by the number that ends their path.
+
+    path is the first segment of the url's path. Of several pages the first by host and path counts.
+    """
+    path = path_of(F.col("url"))
+    number = F.regexp_extract(path, "([0-9]+)[^/0-9]*/?$", 1).try_cast("long")
+    named = pages.select(number.alias("doc_id"), F.struct(host_of(F.col("url")).alias("host"), F.regexp_extract(path, "^/([^/]+)/", 1).alias("path")).alias("site")).where("doc_id is not null")
+    return named.groupBy("doc_id").agg(F.min("site").alias("site")).select("doc_id", "site.*")
+
+
+def classify(documents: DataFrame, model: boost.Model, sites: DataFrame | None = None) -> DataFrame:
+    """(doc_id, host, path, p_doc, mark) of each row; mark is a hash of what the row is judged by.
+
+    Host and path are those of sites, (doc_id, host, path), and where it has none the source and the
+    language within it; nulls stay.
+    """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", "host", "path", _mark("text", "host", "path").alias("mark"), "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = np.clip(model.probability(_matrix(texts_of(batch.column(3)))), 1 - SUREST, SUREST)
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p, pa.float64())], ["doc_id", "host", "path", "p_doc"])
+        p = np.clip(model.probability(_matrix(texts_of(batch.column(4)))), 1 - SUREST, SUREST)
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(p, pa.float64())], ["doc_id", "host", "path", "mark", "p_doc"])
+
+    out = map_batches(rows, run, "doc_id long, host string, path string, mark long, p_doc double")
+    if sites is None:
+        return out
+    named = sites.select("doc_id", F.struct("host", "path").alias("site"))
+    at = F.coalesce("site", F.struct("host", "path"))
+    return out.join(named, "doc_id", "left").select("doc_id", at["host"].alias("host"), at["path"].alias("path"), "mark", "p_doc")
+
 
-    return map_batches(rows, run, "doc_id long, host string, path string, p_doc double")
+def _mark(*columns: str) -> F.Column:
+    return F.xxhash64(*(F.struct(F.col(c).cast("string")) for c in columns))
 
 
 @dataclass(frozen=True)
@@ -130,15 +159,19 @@ def _strength(rate: float, within: float | None, between: float | None) -> float
     return min(STRENGTHS[1], max(STRENGTHS[0], rate * (1 - rate) / excess - 1))
 
 
-def posteriors(classified: DataFrame, labels: DataFrame) -> tuple[DataFrame, Prior]:
-    """(host, path, p_host, p_path) of each site, and the prior they were shrunk with.
+def _evidence() -> tuple[F.Column, F.Column]:
+    """What a row of (y, p_doc) counts in its site, and how much of it is good."""
+    weight = F.when(F.col("y").isNotNull(), 1.0).otherwise(SOFT_WEIGHT)
+    return weight, F.coalesce(F.col("y").cast("double"), F.col("p_doc")) * weight
+
+
+def posteriors(rows: DataFrame) -> tuple[DataFrame, Prior]:
+    """(host, path, n, good, n_host, good_host, p_host, p_path) of each site of (host, path, y, p_doc), and the prior they were shrunk with.
 
     Sums are partial before any shuffle, so a source with a third of all rows is one row a task.
     """
-    rows = classified.join(_labels(labels), "doc_id", "left")
-    weight = F.when(F.col("y").isNotNull(), 1.0).otherwise(SOFT_WEIGHT)
-    good = F.sum(F.coalesce(F.col("y").cast("double"), F.col("p_doc")) * weight)
-    paths = checkpointed(rows.groupBy("host", "path").agg(F.sum(weight).alias("n"), good.alias("good")))
+    weight, good = _evidence()
+    paths = checkpointed(rows.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(good).alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n_host"), F.sum("good").alias("good_host"))
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = (total.good + 1) / (total.n + 2) if total.n else 0.5
@@ -153,27 +186,44 @@ def posteriors(classified: DataFrame, labels: DataFrame) -> tuple[DataFrame, Pri
     sites = paths.join(hosts, paths.host.eqNullSafe(hosts.host)).drop(hosts.host)
     of_path = _strength(rate, *moments(sites, "n", "good", F.col("p_host")))
     sites = sites.withColumn("p_path", (F.col("good") + of_path * F.col("p_host")) / (F.col("n") + of_path))
-    return sites.select("host", "path", "p_host", "p_path"), Prior(rate, of_host, of_path)
+    return sites.select("host", "path", "n", "good", "n_host", "good_host", "p_host", "p_path"), Prior(rate, of_host, of_path)
+
+
+def _scored(documents: DataFrame, labels: DataFrame, model: boost.Model, sites: DataFrame | None) -> DataFrame:
+    classified = checkpointed(classify(documents, model, sites).join(_labels(labels), "doc_id", "left"))
+    found, prior = posteriors(classified)
+    rows = classified.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)).cast("int"))
+    found = found.drop("p_host", "p_path").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"host": "of_host", "path": "of_path"})
+    near = F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")) & (rows.salt == found.salt)
+    weight, good = _evidence()
+    out = rows.join(found, near).withColumn("own", weight).withColumn("own_good", good)
+    # What the row itself counts in its site is taken off, so that no label speaks for its own row.
+    out = out.withColumn("p_host", (F.greatest(F.lit(0.0), F.col("good_host") - F.col("own_good")) + prior.host * prior.rate) / (F.greatest(F.lit(0.0), F.col("n_host") - F.col("own")) + prior.host))
+    out = out.withColumn("p_path", (F.greatest(F.lit(0.0), F.col("good") - F.col("own_good")) + prior.path * F.col("p_host")) / (F.greatest(F.lit(0.0), F.col("n") - F.col("own")) + prior.path))
+    odds = lambda p: F.log(p / (1 - p))
+    sure = F.least(F.greatest(F.col("p_path"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    log_odds = odds(F.col("p_doc")) + SITE_WEIGHT * (odds(sure) - math.log(prior.rate / (1 - prior.rate)))
+    return out.withColumn("score", 1 / (1 + F.exp(-log_odds))).withColumn("keep", F.col("score") >= THRESHOLD)
 
 
-def score(documents: DataFrame, labels: DataFrame, model: boost.Model) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, model: boost.Model, sites: DataFrame | None = None) -> DataFrame:
     """(doc_id, host, path, p_doc, p_host, p_path, score, keep) of each row of the documents.
 
-    A null or empty text is judged by its (zero) features, a null source or language is a site of its
-    own. Rows stay as they are, repeated ones too; other columns are not read.
+    sites gives hosts and paths by doc_id; elsewhere the source is the host and the language the path.
+    p_host and p_path leave out the row's own label. A null or empty text is judged by its (zero)
+    features, a null host or path is a site of its own. Rows stay as they are, repeated ones too; an
+    empty table gives no rows; other columns are not read.
     """
-    classified = checkpointed(classify(documents, model))
-    sites, prior = posteriors(classified, labels)
-    rows = classified.withColumn("salt", F.pmod(F.xxhash64("doc_id", "p_doc"), F.lit(SALTS)).cast("int"))
-    sites = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"host": "of_host", "path": "of_path"})
-    near = F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")) & (rows.salt == sites.salt)
-    odds = lambda p: F.log(p / (1 - p))
-    log_odds = odds(F.col("p_doc")) + SITE_WEIGHT * (odds(F.col("p_path")) - math.log(prior.rate / (1 - prior.rate)))
-    out = rows.join(sites, near).withColumn("score", 1 / (1 + F.exp(-log_odds)))
-    return out.select("doc_id", "host", "path", "p_doc", "p_host", "p_path", "score", (F.col("score") >= THRESHOLD).alias("keep"))
+    return _scored(documents, labels, model, sites).select("doc_id", "host", "path", "p_doc", "p_host", "p_path", "score", "keep")
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, model: boost.Model) -> DataFrame:
-    """The documents that the score keeps, with their columns; rows without an id stay."""
-    gone = score(documents, labels, model).where("not keep").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+def keep_good(documents: DataFrame, labels: DataFrame, model: boost.Model, sites: DataFrame | None = None) -> DataFrame:
+    """The documents that the score keeps, with all their columns, whatever their names.
+
+    Rows that repeat an id are each judged by their own text and site; rows without an id stay; an
+    empty table gives no rows.
+    """
+    gone = small(_scored(documents, labels, model, sites).where("not keep and doc_id is not null").select("doc_id", "mark").distinct())
+    own = [documents[c].cast("string") for c in ("text", "source", "lang")]
+    mark = F.xxhash64(*(F.struct(c) for c in own))
+    return documents.join(gone, (documents["doc_id"].cast("long") == gone["doc_id"]) & (mark == gone["mark"]), "left_anti").select(*documents.columns)

@@ -46,7 +46,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.score(documents, labels, quality.fit(documents, labels))
+    return quality.score(documents, labels, quality.fit(documents, labels), quality.sites_of(table(spark, sf_dir, "pages")))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,8 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> To
             x[folds == f] = _matrix(texts[folds == f].tolist(), others[f], f + 1)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = sorted(tuple(r) for r in map_batches(sample, run, "doc_id long, y int, x array<double>").limit(2 * fit_rows).collect())
+    one = map_batches(sample, run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("row"))
+    rows = sorted(tuple(r) for r in one.select("doc_id", "row.*").collect())
     x = np.array([r[2] for r in rows]).reshape(-1, N_FEATURES)
     return Toxicity(lexicon, boost.fit(x, np.array([r[1] for r in rows], int), np.arange(len(rows)) % 4 == 3))
 
@@ -209,7 +210,11 @@ def score(documents: DataFrame, toxicity: Toxicity) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, toxicity: Toxicity) -> DataFrame:
-    """The documents whose score stays under the threshold, with their columns as they are."""
+    """The documents whose score stays under the threshold, with all their columns, whatever their names.
+
+    Each row is judged by its own text alone, rows that repeat an id and those without one too. A null text
+    counts as empty. An empty table gives no rows.
+    """
     at_text = documents.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

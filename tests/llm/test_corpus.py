@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quirework.llm import boost, chat, graph, jaccard, packing, quality, toxicity, urls, vectors
+from quirework.llm import boost, chat, common, graph, jaccard, packing, quality, toxicity, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{k}" for k in range(300)]
@@ -90,7 +90,7 @@ def test_classes_in_several_blocks_and_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
     monkeypatch.setattr(jaccard, "TASK_ROWS", 8)
     monkeypatch.setattr(jaccard, "HELD_KEYS", 50)
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     random_ = random.Random(9)
     words = [random_.choice(WORDS) for _ in range(100)]
     texts = {k: " ".join(words[:50] + [f"u{k}"] + words[50:]) for k in range(30)} | {k: " ".join([*words, *(f"v{k}-{j}" for j in range(k))]) for k in range(30, 60)}
@@ -166,7 +166,7 @@ def test_repeated_ids_and_missing_ids(spark):
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_one_id_with_several_texts(spark, monkeypatch, shuffled):
     if shuffled:
-        monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     random_ = random.Random(4)
     texts = [" ".join("".join(random_.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(6)]
     rows = [(5, texts[0]), (5, texts[1]), (7, texts[0] + " end"), (9, texts[1] + " end"), (11, texts[2]), (12, texts[2] + " end")]
@@ -334,9 +334,28 @@ def test_quality_keeps_good_texts(spark):
     assert any(r.doc_id is None for r in quality.keep_good(odd, labels, model).collect())
 
 
+def test_quality_judges_each_row_and_never_by_its_own_label(spark):
+    docs, labels, _, good = labelled(spark, 5)
+    model = quality.fit(docs, labels)
+    bad = next(r.text for r in docs.collect() if not good[r.doc_id])
+    fine = next(r.text for r in docs.collect() if good[r.doc_id])
+    twice = spark.createDataFrame([(8000, bad, "en", "src0", 1), (8000, fine, "en", "src0", 1), (8000, fine, "en", "src0", 1)], DOCS).withColumn("mark", quality.F.lit("x"))
+    kept = quality.keep_good(docs.withColumn("mark", quality.F.lit("y")).unionByName(twice), labels, model).where("doc_id = 8000").collect()
+    assert [r.text for r in kept] == [fine, fine] and {r.mark for r in kept} == {"x"}
+    flipped = labels.withColumn("quality", quality.F.when(labels.doc_id == 0, 1 - labels.quality).otherwise(labels.quality))
+    before, after = ({r.doc_id: r.p_path for r in quality.score(docs, each, model).collect()} for each in (labels, flipped))
+    assert abs(before[0] - after[0]) < 0.02 < max(abs(before[d] - after[d]) for d in before if d != 0) + 0.02
+    held = quality.F.when(quality.held_out(), 1 - labels.quality).otherwise(labels.quality)
+    assert quality.fit(docs, labels.withColumn("quality", held)).probability(np.zeros((1, quality.N_FEATURES))) == model.probability(np.zeros((1, quality.N_FEATURES)))
+    sites = quality.sites_of(spark.createDataFrame([("http://A.x/en/3?q",), ("http://a.x/de/3",), ("http://b.y/7",), ("nothing/9",), (None,)], "url string"))
+    assert sorted(map(tuple, sites.collect())) == [(3, "a.x", "de"), (7, "b.y", "")]
+    scored = {r.doc_id: (r.host, r.path) for r in quality.score(docs, labels, model, sites).collect()}
+    assert scored[3] == ("a.x", "de") and scored[7] == ("b.y", "") and scored[4] == ("src4", "en")
+
+
 def test_sparse_sites_stay_near_the_prior(spark):
     rows = [(k, "big", "p", 0.9) for k in range(500)] + [(1000 + k, "bad", "p", 0.1) for k in range(500)] + [(5000, "tiny", "p", 0.05)]
-    sites, prior = quality.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, p_doc double"), spark.createDataFrame([], "doc_id long, quality int"))
+    sites, prior = quality.posteriors(spark.createDataFrame([(*r, None) for r in rows], "doc_id long, host string, path string, p_doc double, y int"))
     p = {r.host: r.p_path for r in sites.collect()}
     assert p["big"] > 0.85 and p["bad"] < 0.15 and 0.25 < p["tiny"] < prior.rate
 
@@ -441,6 +460,7 @@ def test_pipeline_stages(spark, tmp_path):
     copies = docs.where("doc_id % 10 = 3").withColumn("doc_id", docs.doc_id + 10_000)
     docs.unionByName(copies).write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(k, f"http://h{k % 5}.net/en/{3 * k}") for k in range(100)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, kept, str(tmp_path))
@@ -452,3 +472,5 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any(d >= 10_000 for d in ids) and len(ids & clean) > 0.97 * len(clean) and len(ids - clean) < 0.05 * len(ids)
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(packed.doc_id) == ids
+    nothing = kept.where("false")
+    assert all(stage(spark, nothing, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
