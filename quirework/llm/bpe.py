@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quirework.llm.common import id_and_text, map_batches, texts_of
+from quirework.llm.common import id_and_text, map_batches, only_cache, texts_of
 
 #: Distinct words whose ids a worker keeps as the recent ones; as many older ones stay until these are full.
 WORDS_KEPT = 600_000
@@ -223,6 +223,7 @@ _MERGES: dict[tuple[str, str], Merges] = {}
 
 def merges(path: str, pattern: str) -> Merges:
     """One object for each vocabulary in each worker."""
+    only_cache("bpe", _MERGES.clear)
     if (path, pattern) not in _MERGES:
         _MERGES[path, pattern] = Merges(read_ranks(path), pattern)
     return _MERGES[path, pattern]

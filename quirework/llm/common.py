@@ -70,6 +70,20 @@ def id_and_text(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(name: str, clear: Callable[[], None]) -> None:
+    """Frees what other operators keep in this worker, so that a worker that serves several holds one's memory.
+
+    clear empties the cache of this name when its turn comes.
+    """
+    if len(_HELD) != 1 or name not in _HELD:
+        for other in [n for n in _HELD if n != name]:
+            _HELD.pop(other)()
+        _HELD[name] = clear
+
+
 def quiet_threads() -> None:
     """Native libraries use one thread in each worker; Spark's tasks are the parallelism."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -31,7 +31,7 @@ BANDS = 60
 #: Low bits of a segment's key that hold its band.
 BAND_BITS = 6
 #: Keys that a map task holds before it writes them out, and those of one part of the join on average.
-HELD_KEYS, PART_KEYS = 2_000_000, 4_000_000
+HELD_KEYS, PART_KEYS = 1_000_000, 4_000_000
 #: Texts whose keys are looked at beforehand, and how many of them make a key a frequent one. Keys of that
 #: kind are dealt over all parts and counted by partial sums; it decides the plan, never the result.
 PROBED, FREQUENT = 8192, 8

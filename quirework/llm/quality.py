@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm import boost
 from quirework.llm.chunks import Properties
-from quirework.llm.common import checkpointed, id_and_text, map_batches, small, texts_of
+from quirework.llm.common import checkpointed, id_and_text, map_batches, only_cache, small, texts_of
 from quirework.llm.toxicity import held_out
 from quirework.llm.urls import host_of, path_of
 
@@ -78,6 +78,7 @@ def features(text: str) -> np.ndarray:
 
 
 def _matrix(texts: list[str]) -> np.ndarray:
+    only_cache("quality", _PROPERTIES.clear)
     return np.stack([features(t) for t in texts])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from quirework.llm.common import only_cache
+
 WORDS_KEPT = 400_000
 
 
@@ -26,6 +28,7 @@ _HASHES = _Hashes()
 
 def word_hashes(text: str) -> np.ndarray:
     """One hash for each word in order. Words are runs of anything but ASCII white space, A-Z in lower case."""
+    only_cache("shingles", _HASHES.clear)
     words = text.encode("utf-8").lower().split()
     if len(_HASHES) > WORDS_KEPT:
         _HASHES.clear()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm import boost
 from quirework.llm.chunks import CHUNKS_KEPT, Properties
-from quirework.llm.common import id_and_text, map_batches, texts_of
+from quirework.llm.common import id_and_text, map_batches, only_cache, texts_of
 
 #: Labelled rows that the model is fitted on: those with the smallest hash of their id.
 FIT_ROWS = 12_000
@@ -120,6 +120,7 @@ _PROPERTIES: dict[int, tuple[dict[str, float], Properties]] = {}
 
 def _matrix(texts: list[str], lexicon: dict[str, float], slot: int = 0) -> np.ndarray:
     """Features of each text. A worker keeps the properties for the last lexicon that it saw in a slot."""
+    only_cache("toxicity", _PROPERTIES.clear)
     kept = _PROPERTIES.get(slot)
     if kept is None or kept[0] != lexicon:
         kept = _PROPERTIES[slot] = (lexicon, Properties(12, lambda chunk: properties(chunk, lexicon), CHUNKS_KEPT // (1 if slot == 0 else FOLDS)))

@@ -10,10 +10,10 @@ from itertools import pairwise
 import numpy as np
 import regex
 
-from quirework.llm.common import quiet_threads
+from quirework.llm.common import only_cache, quiet_threads
 
 #: Distinct chunks whose ids a worker keeps as the recent ones; as many older ones stay until these are full.
-CHUNKS_KEPT = 600_000
+CHUNKS_KEPT = 300_000
 
 #: What a file says whose chunks between white space can be encoded one by one.
 SEPARABLE = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
@@ -105,8 +105,14 @@ class WordBpe:
 _MADE: dict[str, WordBpe] = {}
 
 
+def _forget() -> None:
+    for made in _MADE.values():
+        made.recent, made.older = {}, {}
+
+
 def word_bpe(path: str) -> WordBpe:
     """One object for each file in each worker."""
+    only_cache("word_bpe", _forget)
     if path not in _MADE:
         _MADE[path] = WordBpe(path)
     return _MADE[path]
