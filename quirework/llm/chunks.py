@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Distinct chunks whose properties a worker keeps; beyond that it starts anew.
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 200_000
 
 
 class Properties:

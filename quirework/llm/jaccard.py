@@ -31,13 +31,13 @@ BANDS = 60
 #: Low bits of a segment's key that hold its band.
 BAND_BITS = 6
 #: Keys that a map task holds before it writes them out, and those of one part of the join on average.
-HELD_KEYS, PART_KEYS = 1_000_000, 4_000_000
+HELD_KEYS, PART_KEYS = 500_000, 4_000_000
 #: Texts whose keys are looked at beforehand, and how many of them make a key a frequent one. Keys of that
 #: kind are dealt over all parts and counted by partial sums; it decides the plan, never the result.
 PROBED, FREQUENT = 8192, 8
 #: Texts in one block of a segment's texts, and rows in a task that compares blocks, on average.
 BLOCK_ROWS, TASK_ROWS = 8192, 50_000
-#: Possible partners of one text in one block that are verified in the first round; each further round has so many times more.
+#: Nearest partners of one text in one block that the first round chooses from; each further round has so many times more.
 PARTNERS = 8
 
 #: A column beside those of the documents, in between only.
@@ -297,8 +297,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, p
 def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: list[bytes], first: np.ndarray, same: bool, percent: int, partners: int) -> list[tuple[int, int, bool]]:
     """(a, b, more) of two blocks' classes in different parts that the parities let through.
 
-    first marks the classes of the first block; same says that there is one block only. Of each class
-    the nearest partners are given, and more says that it has others.
+    first marks the classes of the first block; same says that there is one block only. Of the nearest
+    partners of each class only those are given that connect parts, nearest first: one forest over the
+    parts, and further ones as partners grows. more says that pairs were left out, for a later round.
     """
     order = np.argsort(sizes, kind="stable")
     width = np.array([len(s) for s in sketches])
@@ -307,7 +308,8 @@ def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, ske
     row = np.zeros(len(sizes), np.int64)
     for rows in at_width.values():
         row[rows] = np.arange(len(rows))
-    out = []
+    pairs: list[tuple[float, int, int]] = []
+    left_out = False
     right = order if same else order[~first[order]]
     of_width = {w: right[width[right] == w] for w in by_width}
     rows_of = {w: by_width[w][row[r]] for w, r in of_width.items()}
@@ -327,9 +329,32 @@ def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, ske
             near.append(some[may])
             apart.append(difference[may] / (sizes[some[may]] + n))
         if near and len(found := np.concatenate(near)):
-            found = found[np.argsort(np.concatenate(apart), kind="stable")]
-            out += [(int(classes[i]), int(classes[j]), len(found) > partners) for j in found[:partners]]
-    return out
+            distance = np.concatenate(apart)
+            nearest = np.argsort(distance, kind="stable")[:partners]
+            left_out = left_out or len(found) > partners
+            pairs += [(float(distance[k]), int(i), int(found[k])) for k in nearest]
+    pairs.sort()
+    out, forests = [], max(1, partners // PARTNERS)
+    while pairs and forests:
+        forests -= 1
+        root: dict[int, int] = {}
+        rest = []
+        for pair in pairs:
+            x, y = (_root(root, int(parts[k])) for k in pair[1:])
+            if x == y:
+                rest.append(pair)
+            else:
+                root[max(x, y)] = min(x, y)
+                out.append(pair)
+        pairs = rest
+    return [(int(classes[i]), int(classes[j]), left_out or bool(pairs)) for _, i, j in out]
+
+
+def _root(root: dict[int, int], x: int) -> int:
+    while (up := root.get(x, x)) != x:
+        root[x] = root.get(up, up)
+        x = up
+    return x
 
 
 def _residual(rare: DataFrame, member: DataFrame, sketches: DataFrame, percent: int, partners: int) -> DataFrame:

@@ -7,7 +7,7 @@ import xxhash
 
 from quirework.llm.common import only_cache
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

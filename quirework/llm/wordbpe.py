@@ -13,7 +13,7 @@ import regex
 from quirework.llm.common import only_cache, quiet_threads
 
 #: Distinct chunks whose ids a worker keeps as the recent ones; as many older ones stay until these are full.
-CHUNKS_KEPT = 300_000
+CHUNKS_KEPT = 150_000
 
 #: What a file says whose chunks between white space can be encoded one by one.
 SEPARABLE = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
