@@ -121,15 +121,19 @@ def reserve_names(batch: DataFrame, stem: str, order: str, taken: DataFrame | No
 
     Names that differ in case only are equal. taken holds lower-case names that are in use.
     """
-    lower = F.lower(stem)
-    place = F.row_number().over(Window.partitionBy(lower).orderBy(order))
+    own = Window.partitionBy("_lower")
+    rows = batch.withColumn("_lower", F.lower(stem)).withColumn("_place", F.row_number().over(Window.partitionBy("_lower").orderBy(order)))
     if taken is not None:
-        used = taken.select(F.regexp_extract("name", r"^(.*?)(?: \((\d+)\))?$", 1).alias("_lower"), F.coalesce(F.nullif(F.regexp_extract("name", r"^(.*?)(?: \((\d+)\))?$", 2), F.lit("")).try_cast("int"), F.lit(1)).alias("_n"))
-        most = used.groupBy("_lower").agg(F.max("_n").alias("_most"))
-        batch = batch.withColumn("_lower", lower).join(most, "_lower", "left")
-        place = F.row_number().over(Window.partitionBy("_lower").orderBy(order)) + F.coalesce("_most", F.lit(0))
+        parts = r"^(.*?)(?: \(([0-9]+)\))?$"
+        number = F.when(F.regexp_extract("name", parts, 2) == "", 1).otherwise(F.regexp_extract("name", parts, 2).try_cast("int"))
+        used = taken.select(F.lower(F.regexp_extract("name", parts, 1)).alias("_lower"), number.alias("_n"), F.regexp_extract("name", parts, 2).alias("_shown")).where("_n > 1 or _shown = ''").select("_lower", "_n").distinct()
+        # A number in use is passed over by every name from the place on that the free numbers before it give.
+        used = used.select("_lower", (F.col("_n") - F.row_number().over(own.orderBy("_n")) + 1).alias("_at"), F.lit(0).alias("_new"))
+        both = rows.withColumn("_at", F.col("_place")).withColumn("_new", F.lit(1)).unionByName(used, allowMissingColumns=True)
+        passed = F.count_if(F.col("_new") == 0).over(own.orderBy("_at", "_new").rowsBetween(Window.unboundedPreceding, 0))
+        rows = both.withColumn("_place", F.col("_place") + passed).where("_new = 1").drop("_at", "_new")
     name = F.when(F.col("_place") == 1, F.col(stem)).otherwise(F.format_string("%s (%d)", F.col(stem), F.col("_place")))
-    return batch.withColumn("_place", place).withColumn("reserved", name).drop("_place", "_lower", "_most")
+    return rows.withColumn("reserved", name).drop("_place", "_lower")
 
 
 def kept_copies(copies: DataFrame, key: str, order: str, keep: int = 5) -> DataFrame:

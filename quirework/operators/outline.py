@@ -82,12 +82,14 @@ def as_of(rows: DataFrame, marks: DataFrame, doc: str, at: str, value: str) -> D
 def inside(points: DataFrame, intervals: DataFrame, doc: str, at: str, start: str, end: str, value: str) -> DataFrame:
     """Adds the value of the first interval of the document that holds each row's place; null outside.
 
-    The document is an equality of the join, so only intervals of one document meet.
+    Places are whole numbers. Each interval is cut to what no earlier one holds, so at most one is left for any place, and
+    one sort of places and intervals finds it; no pairs are made.
     """
-    names = points.columns
-    ranges = intervals.select(F.col(doc).alias("_doc"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(value).alias("_value"))
-    near = points.join(ranges, (F.col(doc) == F.col("_doc")) & F.col(at).between(F.col("_start"), F.col("_end")), "left")
-    return near.groupBy(*names).agg(F.min_by("_value", "_start").alias(value))
+    earlier = Window.partitionBy(doc).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    cut = intervals.withColumn("_from", F.greatest(F.col(start), F.max(end).over(earlier) + 1)).where(F.col("_from") <= F.col(end))
+    marks = cut.select(doc, F.col("_from").alias(at), F.struct(F.col(value).alias("value"), F.col(end).alias("end")).alias("_hit"))
+    found = as_of(points, marks, doc, at, "_hit")
+    return found.withColumn(value, F.when(F.col(at) <= F.col("_hit.end"), F.col("_hit.value"))).drop("_hit")
 
 
 def unique_match(left: DataFrame, right: DataFrame, on: str, value: str) -> DataFrame:

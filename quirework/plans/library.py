@@ -139,10 +139,10 @@ def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.latest_pages(turns.select("conv_id", "turn", "text", F.col("turn").alias("seq")), counts, "conv_id", "turn").select("conv_id", "turn", "text")
 
 
-@query("select conv_id, turn, left(replace(replace(replace(replace(text, chr(13), ' '), chr(10), ' '), '<', '&lt;'), '>', '&gt;'), 300) as title from conversations order by turn, conv_id desc limit 100")
+@query("select conv_id, turn, left(replace(replace(replace(replace(text, chr(13), ' '), chr(10), ' '), '<', '&lt;'), '>', '&gt;'), 300) as title from conversations")
 def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", safe_warning(F.col("text")).alias("title"))
-    return rows.orderBy("turn", F.desc("conv_id")).limit(100)
+    return rows.orderBy("conv_id", "turn")
 
 
 @query("select doc_id, case when n = 1 then source else source || ' (' || n || ')' end as reserved from (select doc_id, source, row_number() over (partition by lower(source) order by doc_id) as n from documents)")

@@ -31,5 +31,5 @@ def chunk_files(chunks: DataFrame, path: str, key: str) -> None:
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """(path, size, sha256, sha512) of files with content, by path."""
-    return files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512")).orderBy("path")
+    """(path, size, sha256, sha512) of files with content."""
+    return files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"))
