@@ -197,7 +197,10 @@ def test_names(spark):
     batch = spark.createDataFrame([(1, "Doc"), (2, "doc"), (3, "other")], "n long, stem string")
     taken = spark.createDataFrame([("doc",), ("other (2)",)], "name string")
     assert [r.reserved for r in B.reserve_names(batch, "stem", "n").orderBy("n").collect()] == ["Doc", "doc (2)", "other"]
-    assert [r.reserved for r in B.reserve_names(batch, "stem", "n", taken).orderBy("n").collect()] == ["Doc (2)", "doc (3)", "other (3)"]
+    assert [r.reserved for r in B.reserve_names(batch, "stem", "n", taken).orderBy("n").collect()] == ["Doc (2)", "doc (3)", "other"]
+    three = spark.createDataFrame([(n, "a") for n in range(4)], "n long, stem string")
+    in_use = spark.createDataFrame([("A (2)",), ("a (5)",), ("a (1)",)], "name string")
+    assert [r.reserved for r in B.reserve_names(three, "stem", "n", in_use).orderBy("n").collect()] == ["a", "a (3)", "a (4)", "a (6)"]
 
 
 def test_upsert_is_idempotent(spark):
