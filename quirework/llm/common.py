@@ -17,6 +17,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Rows of two or three numbers that one task takes. Tables of few such rows have few partitions, not one small file each for every key.
+NARROW_ROWS = 50_000
+
 #: Columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,10 +46,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def looked_up(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most so many ids and numbers for a join: broadcast if they are few, so that the other side stays where it is."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
 def small(ids: DataFrame) -> DataFrame:
     """Ids for a join: broadcast if they are few, so that texts stay where they are; else joined by a shuffle."""
     ids = checkpointed(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return looked_up(ids, ids.count())
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most so many short rows in no more partitions than they need."""
+    return df.coalesce(max(1, -(-rows // NARROW_ROWS)))
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quirework.llm.common import checkpointed, id_and_text, map_batches, small, texts_of, tune
+from quirework.llm.common import checkpointed, id_and_text, looked_up, map_batches, narrow, small, texts_of, tune
 from quirework.llm.graph import components
 from quirework.llm.shingles import mixed, shingles
 
@@ -275,8 +275,10 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, percent: int, clashes: frozenset[int]) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are linked. Only the texts of these classes are read again."""
     pairs = checkpointed(pairs)
+    n = pairs.count()
+    pairs = narrow(pairs, n)
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = small(ends.join(texts, "class").select("class", "doc_id"))
+    wanted = small(texts.join(looked_up(ends, 2 * n), "class").select("class", "doc_id"))
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         # An id may stand for several texts; only the class that was asked for counts.
@@ -357,17 +359,21 @@ def _root(root: dict[int, int], x: int) -> int:
     return x
 
 
-def _residual(rare: DataFrame, member: DataFrame, sketches: DataFrame, percent: int, partners: int) -> DataFrame:
-    """(a, b, more): pairs that may be linked, of the segments whose classes are in several components.
+def _residual(rare: DataFrame, member: DataFrame, members: int, sketches: DataFrame, percent: int, partners: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, more): pairs that may be linked, of the segments whose classes are in several components; and (key, class) of these.
+
+    Components only grow, so a later round finds its segments among those of the round before.
 
     Segments of two classes were compared as stars, and of segments with the same classes one stands for
     all. A segment of many classes is compared block by block; no pair is written that the parities exclude.
     """
-    rows = rare.join(member.select(F.col("node").alias("class"), "component"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("part"))
+    of_class = looked_up(member.select(F.col("node").alias("class"), "component"), members)
+    rows = rare.join(of_class, "class", "left").select("key", "class", F.coalesce("component", "class").alias("part"))
     alike = [F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y"), F.count("*").alias("n")]
     apart = rows.groupBy("key").agg(*alike, F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low <> high")
     apart = apart.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     rows = checkpointed(rows.join(apart, "key"))
+    still = rows.select("key", "class")
     tasks = max(12, -(-(rows.agg(F.sum("blocks")).first()[0] or 0) // TASK_ROWS))
     rows = rows.join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -385,7 +391,8 @@ def _residual(rare: DataFrame, member: DataFrame, sketches: DataFrame, percent:
         a, b, more = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
-    return checkpointed(dealt.select("task", "key", "x", "y", "block", "class", "part", "n_shingles", "sketch").groupBy("task").applyInArrow(run, "a long, b long, more boolean"))
+    near = dealt.select("task", "key", "x", "y", "block", "class", "part", "n_shingles", "sketch").groupBy("task").applyInArrow(run, "a long, b long, more boolean")
+    return checkpointed(near), still
 
 
 def _grouped(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -411,16 +418,16 @@ def _grouped(documents: DataFrame, width: int, percent: int) -> DataFrame:
     sketches = texts.select("class", "n_shingles", "sketch")
     of_class = texts.select("class", "doc_id")
     links = _verified(_sketched(_stars(rare), sketches, percent), of_class, docs, width, percent, clashes)
-    member = checkpointed(components(links))
+    member = components(links)
     partners = PARTNERS
     while True:
-        near = _residual(rare, member, sketches, percent, partners)
+        near, rare = _residual(rare, member, member.count(), sketches, percent, partners)
         if not near.limit(1).count():
             break
         more_links = _verified(near.select("a", "b").distinct(), of_class, docs, width, percent, clashes)
         if more_links.limit(1).count():
             links = links.unionByName(more_links)
-            member = checkpointed(components(links))
+            member = components(links)
         if not near.where("more").limit(1).count():
             break
         partners *= PARTNERS
