@@ -38,12 +38,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the reliable checkpoint folder and read from there.
 
     The folder is the one that the cluster names in spark.checkpoint.dir. Where nothing names
-    one, as in tests, a temporary folder of this machine serves, if it is the only one.
+    one, as in tests, a temporary folder of this machine serves, if it is the only one. Estimates of
+    size are not carried over: each join multiplies those of its sides, and rounds of joins would
+    make numbers of them that take the planner longer than the work itself.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_top(df.sparkSession, "checkpoint"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), df.sparkSession)
 
 
 def looked_up(df: DataFrame, rows: int) -> DataFrame:
