@@ -1,23 +1,26 @@
 """URL filters: fixed rules, and a tree of path templates that is judged by labels. DataFrame functions only.
 
-Each host's paths are read segment by segment. A segment's values that are frequent among their
-siblings stay as they are, all others become a wildcard. Sibling branches whose share of bad labels
-does not differ more than chance allows are merged, and a branch is rejected if its share of bad
-labels, smoothed toward the share of all pages, reaches a limit.
+Each host's paths are read segment by segment, as far down as branches have enough pages. A segment's
+values that are frequent among their siblings stay as they are, and so do rarer ones whose share of
+bad labels differs from that of their siblings; all others become a wildcard. Sibling branches whose
+share of bad labels does not differ more than chance allows are merged, and a branch is rejected if
+its share of bad labels, smoothed toward the share of all pages, reaches a limit.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.common import checkpointed
 
-#: Segments that templates tell apart; what follows them is one wildcard.
-DEPTH = 4
-#: A value stays literal if so many pages have it, and at least one in SHARE of its siblings' pages.
-SUPPORT, SHARE = 5, 50
-#: Squared deviations, in variances of the share, beyond which a sibling is no part of the merged branch (5 %).
+#: A branch with fewer pages is not read further, its rest is one wildcard; a value with fewer is never literal.
+SUPPORT = 5
+#: A value with support stays literal if one in SHARE of its siblings' pages has it, or if so many labels as SUPPORT set it apart.
+SHARE = 50
+#: Squared deviations, in variances of the share, beyond which a value differs from its siblings (5 %).
 DEVIATION = 3.84
 #: Labels that the smoothing counts for, and the share of bad ones from which a branch is blocked.
 SMOOTHING, LIMIT = 10.0, 0.5
@@ -55,19 +58,34 @@ def _salted(small: DataFrame) -> DataFrame:
     return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The pages of (salt, host, segments, ...) with a template column, a level of the tree at a time."""
-    rows = pages.withColumn("template", F.lit(""))
-    for level in range(depth):
-        rows = checkpointed(rows.withColumn("segment", F.get("segments", F.lit(level))))
-        counts = rows.where("segment is not null").groupBy("host", "template", "segment").agg(F.count("*").alias("n"))
-        counts = checkpointed(counts)
-        above = counts.groupBy("host", "template").agg(F.sum("n").alias("of"))
-        literal = counts.where(F.col("n") >= SUPPORT).join(above, ["host", "template"]).where(F.col("n") * SHARE >= F.col("of")).select("host", "template", "segment", F.lit(True).alias("literal"))
-        rows = rows.join(_salted(literal), ["host", "template", "segment", "salt"], "left")
-        step = F.when(F.col("segment").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
-        rows = rows.withColumn("template", F.concat("template", step)).drop("literal", "segment")
-    return rows.withColumn("template", F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+def templates(pages: DataFrame) -> DataFrame:
+    """The pages of (salt, host, segments, bad, ...) with a template column, a level of the tree at a time.
+
+    A page leaves the tree where its path ends or its branch has too few pages, so each level holds fewer of
+    them, and the deepest is that of the deepest branch with support, however long other paths are.
+    """
+    ended, level, going = [], 0, pages.withColumn("template", F.lit(""))
+    while True:
+        rows = checkpointed(going.withColumn("segment", F.get("segments", F.lit(level))))
+        ended.append(rows.where("segment is null").drop("segment"))
+        rows = rows.where("segment is not null")
+        counts = checkpointed(rows.groupBy("host", "template", "segment").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad_here")))
+        if counts.isEmpty():
+            break
+        above = counts.groupBy("host", "template").agg(F.sum("n").alias("of"), F.sum("labelled").alias("all_labelled"), F.sum("bad_here").alias("all_bad"))
+        above = checkpointed(above.where(F.col("of") >= SUPPORT).withColumn("open", F.lit(True)))
+        p = F.try_divide(F.col("all_bad").cast("double"), F.col("all_labelled"))
+        off = F.try_divide(F.col("bad_here").cast("double"), F.col("labelled")) - p
+        apart = (F.col("labelled") >= SUPPORT) & (off * off * F.col("labelled") > DEVIATION * p * (1 - p))
+        kept = counts.where(F.col("n") >= SUPPORT).join(above, ["host", "template"]).where((F.col("n") * SHARE >= F.col("of")) | apart)
+        kept = kept.select("host", "template", "segment", F.lit(True).alias("literal"))
+        rows = rows.join(_salted(above.select("host", "template", "open")), ["host", "template", "salt"], "left")
+        rows = rows.join(_salted(kept), ["host", "template", "segment", "salt"], "left")
+        step = F.when(F.col("open").isNull(), "/**").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
+        rows = checkpointed(rows.select(*pages.columns, F.concat("template", step).alias("template"), "open"))
+        ended.append(rows.where("open is null").drop("open"))
+        going, level = rows.where("open").drop("open"), level + 1
+    return functools.reduce(DataFrame.unionByName, ended)
 
 
 def branches(rows: DataFrame) -> DataFrame:
@@ -95,7 +113,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFram
     """(page_id, host, path, rule, verdict, template, branch, n_labelled, n_bad) of each row of (page_id, url).
 
     labels holds (page_id, bad), bad being 1 or 0; a page labelled more than once counts as bad if any
-    label says so. The longest fitting rule decides, otherwise the branch. A url that is null or has
+    label says so. The longest fitting rule decides, otherwise the branch. A template ends in "/**" where its
+    branch has too few pages to be read further. A url that is null or has
     no "://" has an empty host and path, which are judged like any others. Rows stay as they are,
     repeated ones too; other columns are not read.
     """
@@ -116,20 +135,22 @@ def oracle_sql() -> str:
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = "case " + " ".join(f"when {fits(d, p)} then '{d}{p}'" for _, d, p in longest) + " end"
     verdict = "case " + " ".join(f"when {fits(d, p)} then '{v}'" for v, d, p in longest) + " end"
-    levels = ""
-    for k in range(DEPTH):
-        levels += f"""
-, c{k} as (select *, segments[{k + 1}] as segment, count(*) over (partition by host, template, segments[{k + 1}]) as n,
-    count(segments[{k + 1}]) over (partition by host, template) as above from t{k})
-, t{k + 1} as (select page_id, host, path, bad, segments, template || case when segment is null then ''
-    when n >= {SUPPORT} and n * {SHARE} >= above then '/' || segment else '/*' end as template from c{k})"""
     return rf"""
-with parsed as (select page_id, coalesce(translate(regexp_extract(url, '{PARTS}', 1), '{UPPER}', '{LOWER}'), '') as host,
+with recursive parsed as (select page_id, coalesce(translate(regexp_extract(url, '{PARTS}', 1), '{UPPER}', '{LOWER}'), '') as host,
     coalesce(regexp_extract(url, '{PARTS}', 2), '') as path from pages)
 , marks as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null group by 1)
-, t0 as (select page_id, host, path, bad, list_filter(string_split(path, '/'), lambda s: s <> '') as segments, '' as template
-    from parsed left join marks on doc_id = try_cast(nullif(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1), '') as bigint)){levels}
-, rows as (select page_id, host, path, bad, template || case when len(segments) > {DEPTH} then '/**' else '' end as template from t{DEPTH})
+, pages_in as (select page_id, host, path, bad, list_filter(string_split(path, '/'), lambda s: s <> '') as segments
+    from parsed left join marks on doc_id = try_cast(nullif(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1), '') as bigint))
+, tree as (select 0 as level, *, '' as template, len(segments) > 0 as going from pages_in
+    union all select level + 1, page_id, host, path, bad, segments, template || case when above < {SUPPORT} then '/**'
+    when n >= {SUPPORT} and (n * {SHARE} >= above or labelled >= {SUPPORT} and off * off * labelled > {DEVIATION}::double * p * (1 - p)) then '/' || segment else '/*' end,
+    above >= {SUPPORT} and level + 1 < len(segments)
+    from (select *, bad_here::double / nullif(labelled, 0) - p as off from (select *, all_bad::double / nullif(all_labelled, 0) as p from (
+        select *, count(*) over one as n, count(bad) over one as labelled, coalesce(sum(bad) over one, 0) as bad_here,
+            count(*) over every as above, count(bad) over every as all_labelled, coalesce(sum(bad) over every, 0) as all_bad
+        from (select *, segments[level + 1] as segment from tree where going)
+        window one as (partition by host, template, segment), every as (partition by host, template)))))
+, rows as (select page_id, host, path, bad, template from tree where not going)
 , nodes as (select host, template, count(bad) as labelled, coalesce(sum(bad), 0)::bigint as bad,
     regexp_replace(template, '{LAST_LITERAL}', '\1/{{}}\3') as family from rows group by host, template)
 , families as (select *, count(*) over w as siblings, sum(labelled) over w as all_labelled, sum(bad) over w as all_bad from nodes window w as (partition by host, family))

@@ -398,6 +398,27 @@ def test_url_templates(spark):
     assert {r.branch for r in rows} == {f"/{b}/*/{{}}" for b in ("spam", "junk", "news", "blog", "wiki")}
 
 
+def deep_and_rare_sites():
+    """A host with many values of a level, one of them rare and bad, and one far down a long path."""
+    pages = [(k, f"http://big.info/s{k % 150}/p{k}") for k in range(6000)]
+    labels = [(k, int(k % 150 == 7 or k % 211 == 0)) for k in range(6000)]
+    for k in range(200):
+        pages.append((7000 + k, f"http://deep.info/2024/05/12/en/{('news', 'spam')[k % 2]}/x/p{k}"))
+        labels.append((7000 + k, k % 2))
+    pages += [(8000 + k, f"http://few{k}.info/" + "a/" * 40) for k in range(3)]
+    return pages, labels
+
+
+def test_rare_and_deep_branches_are_judged(spark):
+    pages, labels = deep_and_rare_sites()
+    rows = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    verdicts = {r.page_id: r.verdict for r in rows}
+    assert len(rows) == len(pages) and all((verdicts[k] == "block") == (k % 150 == 7) for k in range(6000))
+    assert all((verdicts[7000 + k] == "block") == (k % 2 == 1) for k in range(200))
+    templates = {r.page_id: r.template for r in rows}
+    assert templates[7] == "/s7/*" and templates[7001] == "/2024/05/12/en/spam/x/*" and templates[8000] == "/**"
+
+
 def duck(sql, **tables):
     con = duckdb.connect()
     for name, frame in tables.items():
@@ -407,8 +428,9 @@ def duck(sql, **tables):
 
 def test_url_sql(spark):
     pages, _ = sites(3)
-    pages += [(k + 1000, u) for k, u in URLS]
     marks = [(int(u.rsplit("/", 2)[1]), random.Random(k).randrange(2), 0) for k, u in pages[:400]]
+    pages += [(k + 1000, u) for k, u in URLS] + [(k + 2000, u.replace("/p", "/9000")) for k, u in deep_and_rare_sites()[0]]
+    marks += [(int(f"9000{k}"), int(k % 150 != 7), 0) for k in range(3000)]
     p, m = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     number = urls.F.regexp_extract(urls.path_of(urls.F.col("url")), "([0-9]+)[^/0-9]*/?$", 1)
     labels = p.select("page_id", number.try_cast("long").alias("doc_id")).join(m, "doc_id").select("page_id", urls.F.when(m.quality == 0, 1).otherwise(0).alias("bad"))
