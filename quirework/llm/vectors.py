@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from quirework.llm.common import checkpointed, map_batches
 from quirework.llm.graph import components
 
-#: Vectors in a group at most, on average; and the least number of groups, for parallelism in small inputs.
-GROUP_ROWS, LEAST_GROUPS = 65_536, 6
+#: Vectors in a group at most, on average, and their bytes in double precision, of which a task holds two groups
+#: some three times over; and the least number of groups, for parallelism in small inputs.
+GROUP_ROWS, GROUP_BYTES, LEAST_GROUPS = 65_536, 64 << 20, 6
 TILE = 2048
 #: Room for rounding in single precision, beside the quantisation bounds.
 SLACK = 1e-5
@@ -135,8 +136,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_column: str =
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["vec_id", "vector"])
 
     usable = map_batches(rows, pack, "vec_id long, vector binary").where("vector is not null")
-    n = rows.count()
-    groups = max(LEAST_GROUPS, -(-n // GROUP_ROWS))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.greatest(F.size("vector"), F.lit(0)).cast("long")).alias("components")).first()
+    groups = max(LEAST_GROUPS, -(-size.n // GROUP_ROWS), -(-(size.components or 0) * 8 // GROUP_BYTES))
     own = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
     dealt = usable.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     dealt = dealt.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).withColumn("width", F.octet_length("vector"))
