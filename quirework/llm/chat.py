@@ -16,7 +16,7 @@ from quirework.llm.common import checkpointed
 
 #: Turns that one block or one piece of a written conversation covers; none holds more, however long it gets.
 BLOCK = 512
-#: Letters and digits that a passage needs to be searched for.
+#: Letters and digits from which any passage of a message can be quoted; shorter quotations only lead to messages that say no more than that.
 LEAST_CHARS = 8
 
 QUOTE = r"^(([ \t]*>)+)"
@@ -51,14 +51,20 @@ def _normal(body: str) -> str:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, hash, chars) of each passage: a run of lines of one level up to an empty line, or one line."""
+    """(conv_id, turn, level, hash, chars) of each passage: a run of lines of one level up to an empty line, or one line.
+
+    Of the unquoted passages with fewer than LEAST_CHARS letters and digits, only those that are the whole message count.
+    """
     lines = _lines(messages).where("level >= 0")
     message = Window.partitionBy("conv_id", "turn", "message").orderBy("pos")
     starts = (F.col("level") != F.coalesce(F.lag("level").over(message), F.lit(-9))) | (F.col("normal") == "") | (F.coalesce(F.lag("normal").over(message), F.lit("")) == "")
     runs = lines.withColumn("run", F.sum(starts.cast("int")).over(message.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = runs.groupBy("conv_id", "turn", "message", "run", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "normal"))), lambda x: x.normal), "").alias("normal"))
     both = lines.select("conv_id", "turn", "level", "normal").unionByName(grouped.select("conv_id", "turn", "level", "normal"))
-    return both.where(F.length("normal") >= LEAST_CHARS).distinct().select("conv_id", "turn", "level", F.md5("normal").alias("hash"), F.length("normal").alias("chars"))
+    both = both.where((F.length("normal") >= LEAST_CHARS) | ((F.col("level") > 0) & (F.col("normal") != "")))
+    wholes = unquoted(messages).select("conv_id", "turn", F.lit(0).alias("level"), F.expr(_normal("text")).alias("normal"))
+    both = both.unionByName(wholes.where(F.length("normal").between(1, LEAST_CHARS - 1)))
+    return both.distinct().select("conv_id", "turn", "level", F.md5("normal").alias("hash"), F.length("normal").alias("chars"))
 
 
 def replies(messages: DataFrame) -> DataFrame:
@@ -117,7 +123,7 @@ def conversations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     branch is the first turn of the branch, reply_to the turn that this first turn answers (null for the first of the
     conversation). text has "role: words" for each message in order of turn, then of role and text, with
     an empty line between two. Branches of more than a block of turns come in several pieces. A null
-    text counts as empty and a null role as "user"; repeated rows count once; rows without a
+    text counts as empty and a null role as "user"; quotations without letters or digits lead nowhere; repeated rows count once; rows without a
     conversation or a turn have no place in one and are left out. Other columns are not read.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -146,7 +152,9 @@ with m as (select distinct conv_id::bigint as conv_id, turn::bigint as turn, coa
     from lines where level >= 0 window w as (partition by id order by pos))
 , runs as (select *, sum(start) over (partition by id order by pos) as run from flagged)
 , grouped as (select conv_id, turn, level, string_agg(normal, '' order by pos) as normal from runs group by id, conv_id, turn, run, level)
-, passages as (select distinct conv_id, turn, level, normal from (select conv_id, turn, level, normal from runs union all select * from grouped) where length(normal) >= {LEAST_CHARS})
+, wholes as (select conv_id, turn, 0 as level, coalesce(string_agg(normal, '' order by pos) filter (where level = 0), '') as normal from lines group by id, conv_id, turn)
+, passages as (select distinct conv_id, turn, level, normal from (select conv_id, turn, level, normal from runs union all select * from grouped) where length(normal) >= {LEAST_CHARS} or level > 0 and normal <> ''
+    union select * from wholes where length(normal) between 1 and {LEAST_CHARS} - 1)
 , linked as (select q.conv_id, q.turn, q.level, q.normal, max(o.turn) as target from passages q join passages o
     on q.conv_id = o.conv_id and q.normal = o.normal and o.level = 0 and o.turn < q.turn where q.level > 0 group by 1, 2, 3, 4)
 , scored as (select conv_id, turn, level, target, sum(length(normal)) as chars from linked group by 1, 2, 3, 4)

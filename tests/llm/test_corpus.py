@@ -194,6 +194,7 @@ def brute_vectors(rows, threshold):
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_near_vectors_equal_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(vectors, "TILE", 16)
+    monkeypatch.setattr(vectors, "GROUP_BYTES", 8 * 8 * 30)
     rng = np.random.default_rng(3)
     rows = []
     for _ in range(40):
@@ -454,6 +455,13 @@ CHAT = [
     (3, 2, "user", "b"),
     (3, 2, "assistant", "a"),
     (None, 1, "user", "lost"),
+    (4, 0, "user", "Is it on?"),
+    (4, 1, "assistant", "No."),
+    (4, 2, "user", "Look, no.\nReally."),
+    (4, 3, "assistant", "> No.\nWhy not?"),
+    (4, 4, "user", "> No.\n> 👍\n> really\nWhat else?"),
+    (4, 5, "assistant", "👍"),
+    (4, 6, "user", "> 👍\nThanks"),
     (4, None, "user", "lost"),
 ]
 
@@ -469,6 +477,7 @@ def test_conversations_by_quotation(spark, block):
         assert got[1, 2, 0] == (0, 2, "user: I meant backwards.\n\nassistant: Then pass reverse=True.")
         assert got[1, 4, 0] == (1, 2, "user: What about methods?\n\nassistant: There is list.sort too.")
         assert got[2, 0, 0] == (None, 3, "user: hello there my friend\n\nuser: \n\nuser: ")
+        assert got[4, 3, 0] == (1, 1, "assistant: Why not?") and got[4, 4, 0] == (1, 3, "user: What else?\n\nassistant: 👍\n\nuser: Thanks")
         assert got[3, 1, 0] == (None, 3, "user: \n\nassistant: a\n\nuser: b")
     columns = ", ".join(out.columns)
     rows = sorted((tuple(map(str, r)) for r in out.collect()), key=repr)
