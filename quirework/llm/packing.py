@@ -1,15 +1,18 @@
 """Best-fit packing of token sequences by bin completion.
 
 Only lengths matter for a packing, so it is planned on their histogram: at most as many counts as
-a sequence has tokens, however many pieces there are. Each step takes the largest length left and the
-fillings around it that no other dominates, and uses one as often as the counts allow. A best-fit
+a sequence has tokens, however many pieces there are. Each step takes the largest length left and a
+filling around it that no other dominates, and uses it as often as the counts allow. A best-fit
 decreasing packing is the first incumbent; branches whose waste cannot lead below the incumbent are
 cut. Pieces then find their places by their rank among those of the same length.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +26,8 @@ from quirework.llm.wordbpe import word_bpe
 
 CAPACITY = 2048
 END_ID = 0
-#: Steps of the search at most; it ends sooner when the incumbent meets the lower bound.
-NODES = 20_000
-BRANCHES = 3
+#: Steps of the search at most: a length looked at for a filling is one, a part of a packing NODE_STEPS.
+STEPS, NODE_STEPS = 5_000_000, 100
 #: Pieces that get their rank in one task, on average.
 RANK_ROWS = 200_000
 
@@ -66,101 +68,184 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Pattern
     return [(p, n) for at in bins.values() for p, n in at.items()]
 
 
-def fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room by up to three pieces, the fullest and then those with larger pieces first.
+def bits_of(rows: np.ndarray) -> int:
+    """The places of the rows that are true, as bits of a number."""
+    return int.from_bytes(np.packbits(rows, bitorder="little").tobytes(), "little")
 
-    One piece that fills the room dominates every filling. Otherwise a filling with more pieces is
-    only of use if it is fuller than those with fewer.
+
+def smear(bits: int, width: int) -> int:
+    """The places up to width above those of the bits."""
+    out, have = bits << 1 if width else 0, 1
+    while have < width:
+        step = min(have, width - have)
+        out |= out << step
+        have += step
+    return out
+
+
+def fillings(counts: np.ndarray, room: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of the room, one by one, the fullest and then those with larger pieces first.
+
+    A piece that is left over dominates some of a filling's pieces if it could take their place and is
+    longer than they are together, or as long as two or more of them. So every filling that another betters
+    piece by piece is passed over, and what stays free is too little for any piece left. Sums of a
+    filling's pieces are bits of a number, and so are the lengths left over.
     """
-    lengths = np.flatnonzero(counts[: room + 1])[::-1]
-    if room == 0 or not len(lengths):
-        return [()]
-    found: list[tuple[int, ...]] = [(int(lengths[0]),)]
-    best = int(lengths[0])
-    if best == room:
-        return found
-    below = np.maximum.accumulate(np.where(counts[: room + 1] > 0, np.arange(room + 1), 0))
-
-    def pairs(space: int, most: int, used: int = 0) -> tuple[int, int, int] | None:
-        """(sum, a, b) with a >= b, a <= most, and the largest sum in the space; used is a length that is taken once already."""
-        a = lengths[(lengths <= min(most, space))]
-        if not len(a):
-            return None
-        b = np.minimum(below[space - a], a)
-        b = np.where(counts[a] - (a == used) < 1 + (b == a), below[np.minimum(np.maximum(b - 1, 0), space)], b)
-        b = np.where((b > 0) & (b == used) & (counts[b] < 2), below[np.maximum(b - 1, 0)], b)
-        total = np.where((counts[a] - (a == used) >= 1) & (b > 0), a + b, 0)
-        k = int(total.argmax())
-        return (int(total[k]), int(a[k]), int(b[k])) if total[k] else None
-
-    if (two := pairs(room, room)) and two[0] > best:
-        found.append(two[1:])
-        best = two[0]
-    if best < room:
-        for a in lengths[:64].tolist():
-            three = pairs(room - a, a, a)
-            if three and a + three[0] > best:
-                found.append((a, *three[1:]))
-                best = a + three[0]
-                if best == room:
-                    break
-    return sorted(found, key=lambda f: (-sum(f), [-x for x in f]))[:BRANCHES]
-
-
-def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """A packing of counts[length] pieces of each length into few sequences."""
-    counts = counts.astype(np.int64)
+    left = counts[: room + 1].copy()
+    left[0] = 0
+    lengths = np.flatnonzero(left)[::-1].tolist()
+    if not lengths:
+        yield ()
+        return
+    available, reach = bits_of(left > 0), 0
+
+    def extend(rest: int, at: int, taken: tuple[int, ...], sums: int, over: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        """Ways to add pieces from lengths[at:] that sum to rest, with the sums of subsets and the lengths left over."""
+        if rest == 0:
+            yield taken, sums, over
+            return
+        for k in range(bisect.bisect_left(lengths, -rest, lo=at, key=lambda x: -x), len(lengths)):
+            piece = lengths[k]
+            budget.spend(1)
+            if budget.left <= 0:
+                return
+            used = taken.count(piece)
+            if used >= left[piece] or not reach >> (rest - piece) & 1:
+                continue
+            after = over & ~(1 << piece) if used + 1 == left[piece] else over
+            added = sums << piece
+            if added & after:
+                continue
+            yield from extend(rest - piece, k, (*taken, piece), sums | added | 1 << piece, after)
+
+    for total in range(room, 0, -1):
+        if available >> total & 1:
+            after = available & ~(1 << total) if left[total] == 1 else available
+            if not smear(1 | 1 << total, room - total) & after:
+                yield (total,)
+            if total == room:
+                return
+        if not reach:
+            reach = 1
+            budget.spend(len(lengths))
+            for length in reversed(lengths):
+                step = 0 if reach >> length & 1 else length
+                while 0 < step <= room:
+                    reach |= reach << step & (2 << room) - 1
+                    step *= 2
+        if reach >> total & 1:
+            for taken, sums, over in extend(total, 0, (), 0, available):
+                if len(taken) > 1 and not smear(sums | 1, room - total) & over:
+                    yield taken
+        if budget.left <= 0:
+            return
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: for each k, pieces over half share theirs only with what fits, and pieces under k count for nothing."""
     lengths = np.arange(capacity + 1)
-    total = int((counts * lengths).sum())
-    bound = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
-    incumbent = best_fit_decreasing(counts, capacity)
+    many, size = np.cumsum(counts), np.cumsum(counts * lengths)
+    half = capacity // 2
+    k = np.arange(half + 1)
+    large = many[-1] - many[half]
+    # Pieces over capacity - k share with nothing of at least k; others over half do.
+    sharing = many[capacity - k] - many[half]
+    room = sharing * capacity - (size[capacity - k] - size[half])
+    small = size[half] - np.where(k > 0, size[np.maximum(k - 1, 0)], 0)
+    return int((large + np.maximum(0, -((room - small) // capacity))).max())
+
+
+@dataclass
+class Budget:
+    """Steps that a search may still take."""
+
+    left: int
+
+    def spend(self, steps: int) -> None:
+        self.left -= steps
+
+
+@dataclass
+class Node:
+    """A part of a packing: what is left, sequences and waste so far, the uses that led here, and the uses to try next."""
+
+    left: np.ndarray
+    used: int
+    waste: int
+    path: tuple | None
+    depth: int
+    children: Iterator[tuple[Pattern, int]]
+
+
+def uses(left: np.ndarray, capacity: int, budget: Budget) -> Iterator[tuple[Pattern, int]]:
+    """Undominated fillings around the largest piece, each as often as the counts allow; then each of them less often."""
+    largest = int(np.flatnonzero(left)[-1])
+    rest = left.copy()
+    rest[largest] -= 1
+    seen = []
+    for filling in fillings(rest, capacity - largest, budget):
+        values, many = np.unique((largest, *filling), return_counts=True)
+        times = int((left[values] // many).min())
+        seen.append((tuple(zip(values.tolist(), many.tolist(), strict=True)), times))
+        yield seen[-1]
+    for pattern, times in seen:
+        for fewer in range(times - 1, 0, -1):
+            yield pattern, fewer
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[Pattern, int]]:
+    """A packing of counts[length] pieces of each length into few sequences.
+
+    Branch and bound from the best-fit packing. Each descent takes the first use of every node; the next
+    one starts with another use of a node on the way of earlier ones, in turns the one nearest the
+    root and the one nearest the end. Branches whose waste can't lead below the incumbent are cut. The search
+    ends when the incumbent meets the lower bound, when nothing is left to try, or after the given steps.
+    """
+    counts = counts.astype(np.int64)
+    total = int((counts * np.arange(capacity + 1)).sum())
+    bound, incumbent, budget = lower_bound(counts, capacity), best_fit_decreasing(counts, capacity), Budget(steps)
     fewest = sum(n for _, n in incumbent)
-    stack: list[tuple[np.ndarray, int, int, tuple | None]] = [(counts, 0, 0, None)]  # what is left, sequences, waste, path
-    while stack and fewest > bound and nodes:
-        nodes -= 1
-        left, used, waste, path = stack.pop()
-        some = np.flatnonzero(left)
-        if not len(some):
-            if used < fewest:
-                fewest, incumbent = used, []
-                while path:
-                    path, step = path
-                    incumbent.append(step)
-            continue
-        if waste > (fewest - 1) * capacity - total:
+    if fewest <= bound:
+        return incumbent
+    root = Node(counts, 0, 0, None, 0, uses(counts, capacity, budget))
+    open_nodes, order, turn = {0: root}, ([(0, 0)], [(0, 0)]), 0
+    made = 0
+    while open_nodes and fewest > bound and budget.left > 0:
+        turn += 1
+        heap = order[turn % 2]
+        key = heapq.heappop(heap)[1]
+        if (node := open_nodes.get(key)) is None:
             continue
-        largest = int(some[-1])
-        rest = left.copy()
-        rest[largest] -= 1
-        room = capacity - largest
-        for filling in reversed(fillings(rest, room)):
-            values, many = np.unique((largest, *filling), return_counts=True)
-            times = int((left[values] // many).min())
-            after = left.copy()
-            after[values] -= many * times
-            free = capacity - largest - sum(filling)
-            # With pieces left that would fit, what is free is not waste yet unless this is the only use.
-            pattern = tuple(zip(values.tolist(), many.tolist(), strict=True))
-            if free and (fits := np.flatnonzero(after[: free + 1])).size:
-                pattern, after, times, free = _top_up(pattern, left, free, fits)
-            stack.append((after, used + times, waste + free * times, (path, (pattern, times))))
+        heapq.heappush(heap, (node.depth if turn % 2 == 0 else -node.depth, key))
+        while node is not None:
+            budget.spend(NODE_STEPS)
+            use = next(node.children, None) if budget.left > 0 else None
+            if use is None or node.waste > (fewest - 1) * capacity - total:
+                open_nodes.pop(key, None)
+                break
+            pattern, times = use
+            after = node.left.copy()
+            for length, many in pattern:
+                after[length] -= many * times
+            waste = node.waste + times * (capacity - sum(length * many for length, many in pattern))
+            used, path = node.used + times, (node.path, use)
+            if not after.any():
+                if used < fewest:
+                    fewest, incumbent = used, []
+                    while path:
+                        path, step = path
+                        incumbent.append(step)
+                break
+            if waste > (fewest - 1) * capacity - total:
+                break
+            node = Node(after, used, waste, path, node.depth + 1, uses(after, capacity, budget))
+            key = made = made + 1
+            open_nodes[key] = node
+            heapq.heappush(order[0], (node.depth, key))
+            heapq.heappush(order[1], (-node.depth, key))
     return incumbent
 
 
-def _top_up(pattern: Pattern, left: np.ndarray, free: int, fits: np.ndarray) -> tuple[Pattern, np.ndarray, int, int]:
-    """The pattern with the largest pieces that still fit into what is free, one after the other."""
-    many = dict(pattern)
-    for length in fits[::-1].tolist():
-        while length <= free and left[length] > many.get(length, 0):
-            many[length] = many.get(length, 0) + 1
-            free -= length
-    times = min(int(left[length]) // n for length, n in many.items())
-    after = left.copy()
-    for length, n in many.items():
-        after[length] -= n * times
-    return tuple(sorted(many.items())), after, times, free
-
-
 @dataclass
 class Places:
     """For each length, in the order of rank: where a range of ranks begins, its first sequence, pieces in each, and offset."""

@@ -260,6 +260,39 @@ def test_plans_are_packings_and_near_the_least():
     assert over == 0
 
 
+def dominated(filling, counts, room):
+    """Whether a piece left over could take the place of some of the filling's pieces, as one longer or for several as long."""
+    free = room - sum(filling)
+    left = counts - np.bincount(filling, minlength=len(counts))
+    for bits in range(1 << len(filling)):
+        chosen = [x for k, x in enumerate(filling) if bits >> k & 1]
+        t = sum(chosen)
+        if left[t + 1 : t + free + 1].any() or (len(chosen) > 1 and left[t]):
+            return True
+    return False
+
+
+def test_fillings_are_the_undominated_ones():
+    for seed in range(80):
+        rng = np.random.default_rng(seed)
+        room = int(rng.integers(1, 24))
+        counts = np.bincount(rng.integers(1, 24, int(rng.integers(0, 9))), minlength=60)
+        pieces = [x for x in range(room, 0, -1) for _ in range(counts[x])]
+        every = {tuple(x for k, x in enumerate(pieces) if bits >> k & 1) for bits in range(1 << len(pieces))}
+        expected = {f for f in every if sum(f) <= room and not dominated(np.array(f, int), counts, room)}
+        found = list(packing.fillings(counts, room, packing.Budget(10**9)))
+        assert len(found) == len(set(found)) and set(found) == expected
+        assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+
+
+def test_search_betters_best_fit_on_a_histogram():
+    rng = np.random.default_rng(0)
+    counts = np.bincount(np.clip(rng.lognormal(5.5, 1.0, 40_000).astype(int), 1, 2048), minlength=2049) * 5
+    best_fit = sum(t for _, t in packing.best_fit_decreasing(counts, 2048))
+    assert sum(t for _, t in packing.plan(counts)) == packing.lower_bound(counts, 2048) < best_fit
+    assert sum(t for _, t in packing.plan(counts, steps=0)) == best_fit and packing.plan(np.zeros(2049, int)) == []
+
+
 def test_packing_rows(spark):
     import public_tokenizers
 
