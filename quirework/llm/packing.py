@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -167,14 +168,26 @@ class Budget:
 
 @dataclass
 class Node:
-    """A part of a packing: what is left, sequences and waste so far, the uses that led here, and the uses to try next."""
+    """A part of a packing: sequences and waste so far, the uses that led here, their number, and how many uses were tried after them.
+
+    What is left is worked out again from the uses when a node is returned to, so that an open one takes few bytes.
+    """
 
-    left: np.ndarray
     used: int
     waste: int
     path: tuple | None
     depth: int
-    children: Iterator[tuple[Pattern, int]]
+    tried: int = 0
+
+
+def without(counts: np.ndarray, path: tuple | None) -> np.ndarray:
+    """The counts that are left after the uses of a path."""
+    left = counts.copy()
+    while path:
+        path, (pattern, times) = path
+        for length, many in pattern:
+            left[length] -= many * times
+    return left
 
 
 def uses(left: np.ndarray, capacity: int, budget: Budget) -> Iterator[tuple[Pattern, int]]:
@@ -207,9 +220,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> li
     fewest = sum(n for _, n in incumbent)
     if fewest <= bound:
         return incumbent
-    root = Node(counts, 0, 0, None, 0, uses(counts, capacity, budget))
-    open_nodes, order, turn = {0: root}, ([(0, 0)], [(0, 0)]), 0
-    made = 0
+    open_nodes, order, turn, made = {0: Node(0, 0, None, 0)}, ([(0, 0)], [(0, 0)]), 0, 0
     while open_nodes and fewest > bound and budget.left > 0:
         turn += 1
         heap = order[turn % 2]
@@ -217,19 +228,21 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> li
         if (node := open_nodes.get(key)) is None:
             continue
         heapq.heappush(heap, (node.depth if turn % 2 == 0 else -node.depth, key))
-        while node is not None:
+        left = without(counts, node.path)
+        budget.spend(node.depth)
+        while budget.left > 0:
             budget.spend(NODE_STEPS)
-            use = next(node.children, None) if budget.left > 0 else None
+            use = next(itertools.islice(uses(left, capacity, budget), node.tried, None), None)
+            node.tried += 1
             if use is None or node.waste > (fewest - 1) * capacity - total:
                 open_nodes.pop(key, None)
                 break
             pattern, times = use
-            after = node.left.copy()
             for length, many in pattern:
-                after[length] -= many * times
+                left[length] -= many * times
             waste = node.waste + times * (capacity - sum(length * many for length, many in pattern))
             used, path = node.used + times, (node.path, use)
-            if not after.any():
+            if not left.any():
                 if used < fewest:
                     fewest, incumbent = used, []
                     while path:
@@ -238,7 +251,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> li
                 break
             if waste > (fewest - 1) * capacity - total:
                 break
-            node = Node(after, used, waste, path, node.depth + 1, uses(after, capacity, budget))
+            node = Node(used, waste, path, node.depth + 1)
             key = made = made + 1
             open_nodes[key] = node
             heapq.heappush(order[0], (node.depth, key))
