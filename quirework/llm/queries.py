@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import bpe, chat, jaccard, mpeg, packing, pii, quality, toxicity, urls, vectors
+from quirework.llm import audit, bpe, chat, jaccard, license_scan, mpeg, packing, pii, quality, toxicity, urls, variants, vectors
 from quirework.llm.common import table
 
 
@@ -84,10 +84,33 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("places", lambda p: p.base)
+    words = F.transform(base, lambda p: p.word)
+    return license_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda p: p.label))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Models, searches, tokenizers and stored media have no SQL form; their tests compare with brute force."""
-    return {"op1_url_filters": urls.oracle_sql(), "op6_chat": chat.oracle_sql()}
+    return {"op1_url_filters": urls.oracle_sql(), "op6_chat": chat.oracle_sql(), "op11_spelling_variants": variants.oracle_sql(), "op12_filter_audit": audit.oracle_sql()}
