@@ -203,7 +203,7 @@ def test_scan_of_tags(spark):
     row = license_scan.scan(frame(spark, [(1, text, "s")])).first()
     assert row.labels == ["apache-2", "cc-by-nc", "gpl-3", "mit"] and 0.99 < row.score < 1
     assert [(e.plain, e.valid, e.admitted) for e in row.expressions] == [("(MIT OR GPL-3.0-only) AND CC-BY-NC-4.0", True, False), ("Apache-2.0 WITH LLVM-exception", True, True), (None, False, None)]
-    assert row.expressions[1].exceptions == ["llvm-exception"] and [p.base for p in row.places] == [True]
+    assert row.expressions[1].exceptions == ["llvm-exception"] and [(p.label, p.base) for p in row.places] == [("cc-by-nc", True), ("mit", True)]
     plain = license_scan.scan(frame(spark, [(2, "nothing of the kind", "s")])).first()
     assert (plain.labels, plain.score, plain.places, plain.expressions) == ([], 0.0, [], [])
 
