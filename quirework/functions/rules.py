@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirework.functions.text import strip_accents
+from quirework.functions.markup import SPACE, WORD, let, visible
+from quirework.functions.text import strip_accents, strip_accents_py
 
-# Names of branches (after "DIREITO", but for the last), labels and beginnings of citations, without accents.
+# Names of branches of law.
 BRANCHES = (
-    "CONSTITUCIONAL", "ADMINISTRATIVO", "CIVIL", "PROCESSUAL CIVIL", "PREVIDENCIARIO", "DA CRIANCA E DO ADOLESCENTE", "DIGITAL", "INTERNACIONAL",
-    "AMBIENTAL", "EMPRESARIAL", "PENAL", "PROCESSUAL PENAL", "TRIBUTARIO", "DO CONSUMIDOR", "ELEITORAL",
+    "DIREITO CONSTITUCIONAL", "DIREITO ADMINISTRATIVO", "DIREITO CIVIL", "DIREITO PROCESSUAL CIVIL", "DIREITO PREVIDENCIÁRIO",
+    "DIREITO DA CRIANÇA E DO ADOLESCENTE", "DIREITO DIGITAL", "DIREITO INTERNACIONAL", "DIREITO AMBIENTAL", "DIREITO EMPRESARIAL",
+    "EXECUÇÃO PENAL", "DIREITO PENAL", "DIREITO PROCESSUAL PENAL", "DIREITO TRIBUTÁRIO", "DIREITO DO CONSUMIDOR", "DIREITO ELEITORAL",
 )
-OTHER_BRANCH = "EXECUCAO PENAL"
-LABEL = "COMENTARIO"
+# Beginnings of citations, without accents.
 INSTRUMENT = r"^(?:CONSTITUICAO FEDERAL|(?:LEI|CODIGO)\b)"
-# Verbs that make a numbered title a sentence.
+# Signs of ordinals, words of articles, and signs that close clauses.
+ORDINALS, ARTICLES, CLOSING_SIGNS = ("º", "°", "o"), ("Art", "art"), (",", ".", ";", ":", "!", "?")
+# Characters from which a numbered title is a sentence, and verbs that make it one.
+LONGEST_SENTENCE = 150
 VERBS = ("é", "são", "deve", "devem", "será", "serão", "não", "há", "pode", "podem", "considera-se")
 # Resolutions and limits of rendering.
 LEAST_DPI, MOST_DPI, MOST_PIXELS = 36, 300, 25_000_000
@@ -27,27 +34,56 @@ def plain_title(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"^[\s:]+|[\s:]+$", ""), r"\s+", " ")
 
 
-def heading_level(title: Column) -> Column:
-    """1 for the name of a branch in capitals, 3 for the citation of a law, else 2; a fixed label is 2 as well."""
+def branch(title: Column) -> Column:
+    """Whether a title is the name of a branch of law in capitals, whatever its accents."""
     plain = plain_title(title)
-    key = F.upper(strip_accents(plain))
-    branch = key.isin(OTHER_BRANCH, *(f"DIREITO {name}" for name in BRANCHES)) & (plain == F.upper(plain))
-    return F.when(branch, 1).when(key != LABEL, F.when(key.rlike(INSTRUMENT), 3).otherwise(2)).otherwise(2)
+    return F.upper(strip_accents(plain)).isin([strip_accents_py(name) for name in BRANCHES]) & (plain == F.upper(plain))
+
+
+def heading_level(title: Column) -> Column:
+    """1 for the name of a branch in capitals, 3 for the citation of a law, else 2."""
+    cites = F.upper(strip_accents(plain_title(title))).rlike(INSTRUMENT)
+    return F.when(branch(title), 1).when(cites, 3).otherwise(2)
 
 
 def prose_heading(title: Column) -> Column:
-    """Whether a title is a paragraph: a bold label with words after it, or a numbered sentence (long, or with a verb)."""
-    labelled = title.rlike(r"^\*\*[^*]+:\*\*\s+\S")
-    plain = F.regexp_replace(title, r"\*\*|__", "")
-    numbered = plain.rlike(r"^\d+\.\s+") & (plain != F.upper(plain))
-    verb = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(VERBS)})(?![\p{{L}}\p{{N}}_])"
-    return labelled | (numbered & ((F.length(plain) > 150) | plain.rlike(verb)))
+    """Whether a title is a paragraph: a label in bold with words after its colon, or a numbered sentence, that is a long one or one with a verb.
+
+    What counts is what a reader sees; titles in capitals are none.
+    """
+    bold = F.split(title, r"\*\*")
+    labelled = (F.get(bold, F.lit(0)) == "") & F.get(bold, F.lit(1)).rlike("^[^*]+:$") & F.get(bold, F.lit(2)).rlike(rf"^{SPACE}+[^\s]")
+    seen = visible(title)
+    first = F.get(F.split(seen, SPACE), F.lit(0))
+    numbered = first.rlike(r"^\d+\.$") & (F.length(seen) > F.length(first))
+    in_capitals = (seen == F.upper(seen)) & seen.rlike(r"\p{Lu}")
+    words = F.regexp_extract_all(F.lower(seen), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
+    # A verb may be a part of a word with hyphens.
+    verb = F.exists(words, lambda w: reduce(Column.__or__, (F.concat(F.lit("-"), w, F.lit("-")).contains(f"-{v}-") for v in VERBS)))
+    return F.coalesce(labelled, F.lit(False)) | (numbered & ~in_capitals & ((F.length(seen) > LONGEST_SENTENCE) | verb))
 
 
 def legal_spacing(text: Column) -> Column:
-    """Spaces taken out behind the hyphen of an article's or paragraph's suffix, and before signs that end a clause."""
-    suffix = F.regexp_replace(text, r"((?:§\s*\d+[º°o]?)|(?:\b[Aa]rt\.\s*\d+))-[ \t]+(?=[A-Z]\b)", "$1-")
-    return F.regexp_replace(suffix, r"(?<=[\p{L}\p{N}_*>)])[ \t]+(?=[,.;:!?])", "")
+    """No spaces between the hyphen of an article's or paragraph's number and its letter, nor between a word and a closing sign."""
+    gap = r"-[ \t]+"
+    parts, gaps = F.split(text, gap, -1), F.regexp_extract_all(text, F.lit(gap), F.lit(0))
+    number = rf"(?:§\s*\d+[{''.join(ORDINALS)}]?|(?<!{WORD})(?:{'|'.join(ARTICLES)})\.\s*\d+)$"
+    letter = rf"^[A-Z](?!{WORD})"
+
+    def join(k: Column) -> Column:
+        cited = F.get(parts, k).rlike(number) & F.get(parts, k + 1).rlike(letter)
+        return F.when(k >= F.size(gaps), F.lit("")).when(cited, F.lit("-")).otherwise(F.get(gaps, k))
+
+    joined = F.array_join(F.transform(parts, lambda part, k: F.concat(part, F.coalesce(join(k), F.lit("")))), "")
+    for sign in CLOSING_SIGNS:
+        joined = let(F.split(joined, f"[{sign}]", -1), _joined_by(sign))
+    return joined
+
+
+def _joined_by(sign: str) -> Callable[[Column], Column]:
+    """Joins pieces by a sign, without the blanks that stand between a word, or a mark of its style, and the sign."""
+    tight = lambda piece: F.when(F.rtrim(F.translate(piece, "\t", " ")).rlike(rf"({WORD}|[*>)])$"), F.regexp_replace(piece, r"[ \t]+$", "")).otherwise(piece)
+    return lambda pieces: F.array_join(F.transform(pieces, lambda piece, k: F.when(k < F.size(pieces) - 1, tight(piece)).otherwise(piece)), sign)
 
 
 def letters_and_digits(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quirework.functions.markup import let
 from quirework.functions.text import canonical, suspicious, tokens
 
 
@@ -178,19 +179,28 @@ ALTERNATIVE = r"(?<!\S)(?:\(([A-Za-z])\)|([A-Za-z])\))"
 def alternatives(text: Column) -> tuple[Column, Column]:
     """(labels, problem): the letters of a question's alternatives, or why they can't be told apart."""
     marks = F.regexp_extract_all(text, F.lit(ALTERNATIVE), F.lit(0))
-    labels = F.transform(marks, lambda m: F.upper(F.regexp_extract(m, "[A-Za-z]", 0)))
-    starts = F.size(F.filter(labels, lambda x: x == "A"))
-    last = F.size(labels) - F.array_position(F.reverse(labels), F.lit("A")) + 1
-    chosen = F.slice(labels, F.greatest(last.cast("int"), F.lit(1)), F.size(labels) + 1)
-    kept, before = F.slice(marks, F.greatest(last.cast("int"), F.lit(1)), F.size(marks) + 1), F.slice(marks, 1, F.greatest(last.cast("int") - 1, F.lit(0)))
-    told_apart = F.forall(before, lambda m: m.rlike(r"^[a-z]\)$")) & F.forall(kept, lambda m: m.rlike(r"^\([A-Z]\)$"))
-    right = F.forall(F.transform(chosen, lambda x, k: F.ascii(x) == k + 65), lambda ok: ok)
-    problem = (
-        F.when(starts == 0, "alternative_boundaries_uncertain")
-        .when((starts > 1) & ~told_apart, "multiple_alternative_sequences")
-        .when((F.size(chosen) < 2) | ~right, "alternative_sequence_inconsistent")
-    )
-    return F.when(problem.isNull(), chosen), problem
+    labels_of = lambda signs: F.transform(signs, lambda m: F.upper(F.regexp_extract(m, "[A-Za-z]", 0)))
+
+    def judged(signs: Column, labels: Column) -> Column:
+        starts = F.size(F.filter(labels, lambda x: x == "A"))
+        last = (F.size(labels) - F.array_position(F.reverse(labels), F.lit("A")) + 1).cast("int")
+        return let(last, lambda at: of_last(signs, labels, starts, at))
+
+    def of_last(signs: Column, labels: Column, starts: Column, last: Column) -> Column:
+        first = F.greatest(last, F.lit(1))
+        chosen = F.slice(labels, first, F.size(labels) + 1)
+        kept, before = F.slice(signs, first, F.size(signs) + 1), F.slice(signs, 1, F.greatest(last - 1, F.lit(0)))
+        told_apart = F.forall(before, lambda m: m.rlike(r"^[a-z]\)$")) & F.forall(kept, lambda m: m.rlike(r"^\([A-Z]\)$"))
+        right = F.forall(F.transform(chosen, lambda x, k: F.ascii(x) == k + 65), lambda ok: ok)
+        problem = (
+            F.when(starts == 0, "alternative_boundaries_uncertain")
+            .when((starts > 1) & ~told_apart, "multiple_alternative_sequences")
+            .when((F.size(chosen) < 2) | ~right, "alternative_sequence_inconsistent")
+        )
+        return let(problem, lambda p: F.struct(F.when(p.isNull(), chosen).alias("labels"), p.alias("problem")))
+
+    found = let(marks, lambda signs: let(labels_of(signs), lambda labels: judged(signs, labels)))
+    return found["labels"], found["problem"]
 
 
 def match_contents(entries: DataFrame, sections: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def value(x):
 def test_equals_sql(spark, duck, name):
     df = everything.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    found = duck.execute(f"select {', '.join(columns)} from ({everything.SQL[name]})")
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    found = duck.execute(f"select {quoted} from ({everything.SQL[name]})")
     expected = sorted(tuple(map(value, r)) for r in found.fetchall())
     assert sorted(tuple(value(r[c]) for c in columns) for r in df.collect()) == expected
 
