@@ -1,6 +1,6 @@
 """URL filters: fixed rules, and a tree of path templates that is judged by labels. DataFrame functions only.
 
-Each host's paths are read segment by segment, as far down as branches have enough pages. A segment's
+Each host's distinct paths are read segment by segment, as far down as branches have enough pages. A segment's
 values that are frequent among their siblings stay as they are, and so do rarer ones whose share of
 bad labels differs from that of their siblings; all others become a wildcard. Sibling branches whose
 share of bad labels does not differ more than chance allows are merged, and a branch is rejected if
@@ -24,8 +24,6 @@ SHARE = 50
 DEVIATION = 3.84
 #: Labels that the smoothing counts for, and the share of bad ones from which a branch is blocked.
 SMOOTHING, LIMIT = 10.0, 0.5
-#: Parts that the pages of one template are dealt over when something is joined to them.
-SALTS = 16
 
 #: The last literal segment of a template, what stands before it and the wildcards after it.
 LAST_LITERAL = r"^(.*)/([^/*][^/]*)((/[*]+)*)$"
@@ -54,46 +52,47 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return rule, verdict
 
 
-def _salted(small: DataFrame) -> DataFrame:
-    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _common(a: Column, b: Column) -> Column:
+    """The segments that two lists begin with alike."""
+    size = F.least(F.size(a), F.size(b))
+    off = F.array_position(F.transform(F.sequence(F.lit(1), size), lambda k: F.element_at(a, k) == F.element_at(b, k)), F.lit(False)).cast("int")
+    return F.when(size > 0, F.slice(a, F.lit(1), F.when(off > 0, off - 1).otherwise(size))).otherwise(F.array().cast("array<string>"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """The pages of (salt, host, segments, bad, ...) with a template column, a level of the tree at a time.
+def templates(paths: DataFrame) -> DataFrame:
+    """(host, path, n, labelled, bad, template) of distinct paths of (host, path, n, labelled, bad), n being their pages.
 
-    A page leaves the tree where its path ends or its branch has too few pages, so each level holds fewer of
-    them, and the deepest is that of the deepest branch with support, however long other paths are.
+    The tree is read as a radix tree: a branch whose paths all go on alike takes the whole way that they share at once, so rounds
+    follow where branches part, not how deep they are. A path leaves the tree where it ends or its branch has too few pages.
     """
-    ended, level, going = [], 0, pages.withColumn("template", F.lit(""))
+    own = ["host", "path", "n", "labelled", "bad"]
+    ended, going = [], paths.select(*own, F.filter(F.split("path", "/"), lambda s: s != "").alias("rest"), F.lit("").alias("template"))
     while True:
-        rows = checkpointed(going.withColumn("segment", F.get("segments", F.lit(level))))
-        ended.append(rows.where("segment is null").drop("segment"))
-        rows = rows.where("segment is not null")
-        counts = checkpointed(rows.groupBy("host", "template", "segment").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad_here")))
-        if counts.isEmpty():
+        rows = checkpointed(going)
+        ended.append(rows.where(F.size("rest") == 0).select(*own, "template"))
+        rows = rows.where(F.size("rest") > 0)
+        if rows.isEmpty():
             break
-        above = counts.groupBy("host", "template").agg(F.sum("n").alias("of"), F.sum("labelled").alias("all_labelled"), F.sum("bad_here").alias("all_bad"))
-        above = checkpointed(above.where(F.col("of") >= SUPPORT).withColumn("open", F.lit(True)))
+        above = rows.groupBy("host", "template").agg(F.sum("n").alias("of"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        above = above.select("host", "template", "of", "all_labelled", "all_bad", F.when(F.col("of") >= SUPPORT, _common(F.col("lo"), F.col("hi"))).alias("way"))
+        rows = checkpointed(rows.join(above, ["host", "template"]))
+        ended.append(rows.where("way is null").select(*own, F.concat("template", F.lit("/**")).alias("template")))
+        step = lambda way: [F.slice("rest", F.size(way) + 1, F.size("rest")).alias("rest"), F.concat_ws("/", "template", way).alias("template")]
+        alike = rows.where(F.size("way") > 0).select(*own, *step(F.col("way")))
+        parting = rows.where(F.size("way") == 0).withColumn("segment", F.get("rest", F.lit(0)))
+        counts = parting.groupBy("host", "template", "segment").agg(F.sum("n").alias("here"), F.sum("labelled").alias("labelled_here"), F.sum("bad").alias("bad_here"), *(F.first(c).alias(c) for c in ("of", "all_labelled", "all_bad")))
         p = F.try_divide(F.col("all_bad").cast("double"), F.col("all_labelled"))
-        off = F.try_divide(F.col("bad_here").cast("double"), F.col("labelled")) - p
-        apart = (F.col("labelled") >= SUPPORT) & (off * off * F.col("labelled") > DEVIATION * p * (1 - p))
-        kept = counts.where(F.col("n") >= SUPPORT).join(above, ["host", "template"]).where((F.col("n") * SHARE >= F.col("of")) | apart)
-        kept = kept.select("host", "template", "segment", F.lit(True).alias("literal"))
-        rows = rows.join(_salted(above.select("host", "template", "open")), ["host", "template", "salt"], "left")
-        rows = rows.join(_salted(kept), ["host", "template", "segment", "salt"], "left")
-        step = F.when(F.col("open").isNull(), "/**").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
-        rows = checkpointed(rows.select(*pages.columns, F.concat("template", step).alias("template"), "open"))
-        ended.append(rows.where("open is null").drop("open"))
-        going, level = rows.where("open").drop("open"), level + 1
+        off = F.try_divide(F.col("bad_here").cast("double"), F.col("labelled_here")) - p
+        apart = (F.col("labelled_here") >= SUPPORT) & (off * off * F.col("labelled_here") > DEVIATION * p * (1 - p))
+        kept = counts.where((F.col("here") >= SUPPORT) & ((F.col("here") * SHARE >= F.col("of")) | apart)).select("host", "template", "segment", F.lit(True).alias("literal"))
+        parted = parting.join(kept, ["host", "template", "segment"], "left")
+        going = alike.unionByName(parted.select(*own, *step(F.array(F.when(F.col("literal"), F.col("segment")).otherwise("*")))))
     return functools.reduce(DataFrame.unionByName, ended)
 
 
 def branches(rows: DataFrame) -> DataFrame:
-    """(host, template, branch, n_labelled, n_bad, verdict) of each template of (host, template, bad).
-
-    bad is 1, 0 or null for a page without a label.
-    """
-    nodes = checkpointed(rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")))
+    """(host, template, branch, n_labelled, n_bad, verdict) of each template of (host, template, labelled, bad), numbers of pages."""
+    nodes = checkpointed(rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
     total = nodes.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     share = float(total.bad) / total.labelled if total.labelled else 0.0
     nodes = nodes.withColumn("family", F.regexp_replace("template", LAST_LITERAL, "$1/{}$3"))
@@ -121,10 +120,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFram
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     marks = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("int").alias("bad"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(marks, "page_id", "left").withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
-    rows = checkpointed(templates(rows))
-    rows = rows.join(_salted(branches(rows)).withColumnRenamed("verdict", "judged"), ["host", "template", "salt"])
+    rows = rows.join(marks, "page_id", "left")
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    found = checkpointed(templates(paths))
+    judged = found.select("host", "path", "template").join(branches(found).withColumnRenamed("verdict", "judged"), ["host", "template"])
+    rows = rows.join(judged, ["host", "path"])
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "judged").alias("verdict"), "template", "branch", "n_labelled", "n_bad")
 
