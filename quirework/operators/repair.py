@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirework.functions import markup as M
+
 
 def hyphenations(lines: DataFrame, vocabulary: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, first, second, joined) of words that a line end cut: joined without the hyphen if the vocabulary has that, with it if it has the other.
@@ -79,3 +81,45 @@ def heading_levels(headings: DataFrame, doc: str = "doc_id") -> DataFrame:
     under = F.last(depth, ignorenulls=True).over(Window.partitionBy(doc).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     kind = F.when(F.col("title").rlike(r"^[IVXLC]+\s*[-–.)]"), 1).when(F.col("title").rlike(r"^[A-Za-z]\s*[-–.)]"), 2)
     return headings.withColumn("level", F.coalesce(depth, F.when(kind.isNotNull(), F.least(F.lit(6), F.coalesce(under, F.lit(1)) + kind)), F.lit(2)).cast("int"))
+
+
+PARAGRAPH_END = r"\n[ \t]*\n"
+
+
+def adjacencies(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, first, second), once each: the words on both sides of the line ends of (doc, pos, line)."""
+    w = Window.partitionBy(doc).orderBy("pos")
+    ends = lines.select(doc, F.regexp_extract("line", r"(\p{L}+)\s*$", 1).alias("first"), F.regexp_extract(F.lead("line").over(w), r"^\s*(\p{L}+)", 1).alias("second"))
+    return ends.where("first <> '' and second <> ''").distinct()
+
+
+def joined_tails(documents: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, n_joined) of documents whose sentences get back the last word that stands as a paragraph of its own.
+
+    A tail is one styled word in lower case with a closing sign. It joins the paragraph before, if that is running text that ends in a
+    word and the two words stand at a line end of the source: pairs has (key, first, second). Without such evidence nothing is
+    joined. Only tails meet the pairs, not paragraphs. A null text is empty; keys don't repeat.
+    """
+    rows = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("parts", F.split("text", PARAGRAPH_END, -1)).withColumn("gaps", F.regexp_extract_all("text", F.lit(PARAGRAPH_END), F.lit(0)))
+
+    def tail(part: Column, k: Column) -> Column:
+        before = F.get("parts", k - 1)
+        word = F.when(part.rlike(r"^(?:\*\*|__|<)"), F.regexp_extract(M.visible(part), r"^(\p{Ll}\p{L}*)[.!?]$", 1))
+        running = ~F.regexp_replace(before, rf"^{M.SPACE}+", "").rlike(r"^(?:[#|>!]|<!--)")
+        return F.struct(k.alias("k"), F.when((k > 0) & (word != "") & running, F.regexp_extract(M.visible(before), r"(\p{L}+)$", 1)).alias("first"), word.alias("second"))
+
+    tails = rows.select(key, F.explode(F.filter(F.transform("parts", tail), lambda t: t["first"] != "")).alias("t")).select(F.col(key).alias("_key"), "t.*")
+    known = pairs.select(F.col(key).alias("_key"), "first", "second")
+    proved = tails.join(known, (tails["_key"].eqNullSafe(known["_key"])) & (tails["first"] == known["first"]) & (tails["second"] == known["second"]), "left_semi")
+    by_text = proved.groupBy("_key").agg(F.collect_set("k").alias("tails"))
+    joined = rows.join(by_text, rows[key].eqNullSafe(by_text["_key"]), "left").withColumn("tails", F.coalesce("tails", F.array().cast("array<int>")))
+    is_tail = lambda k: F.array_contains("tails", k)
+
+    def written(part: Column, k: Column) -> Column:
+        whole = F.when(is_tail(k + 1), F.concat(M.right_stripped(part), F.lit(" "), M.stripped(F.get("parts", k + 1)))).otherwise(part)
+        gap = F.coalesce(F.get("gaps", k + is_tail(k + 1).cast("int")), F.lit(""))
+        return F.when(is_tail(k), "").otherwise(F.concat(whole, gap))
+
+    text_of = F.when(F.size("tails") == 0, F.col("text")).otherwise(F.array_join(F.transform("parts", written), ""))
+    return joined.select(key, text_of.alias("text"), F.size("tails").alias("n_joined"))

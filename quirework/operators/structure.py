@@ -374,3 +374,27 @@ def exam_boundaries(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 def decisions_kind(lines: DataFrame) -> str:
     return lines.schema["decisions"].dataType.simpleString()
+
+
+def split_headings(documents: DataFrame, suffixes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) of documents whose numbered headings are two where their ends are headings of their own in the source.
+
+    suffixes has (key, suffix), titles such as "A. Name" that the source sets as headings; of several the longest counts. The places
+    where a heading may end so are few and meet the suffixes by an equality join. A null text is empty; keys don't repeat.
+    """
+    texts = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    lines = texts.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(HEADING))
+    lines = lines.select(F.col(key).alias("_key"), "pos", M.visible(content_of(F.col("line"))).alias("plain")).where(F.col("plain").rlike(NUMBER))
+    places = lines.select("_key", "pos", "plain", F.explode(M.match_places(F.col("plain"), r" (?=[A-Z]\.\s)")).alias("at"))
+    ends = places.select("_key", "pos", (F.col("at") + 1).alias("place"), F.substring("plain", F.col("at") + 2, F.length("plain")).alias("suffix"))
+    known = suffixes.select(F.col(key).alias("_known"), F.col("suffix").alias("_suffix"))
+    proved = ends.join(known, ends["_key"].eqNullSafe(known["_known"]) & (ends["suffix"] == known["_suffix"]), "left_semi")
+    decided = proved.groupBy(F.col("_key").alias(key), "pos").agg(F.min("place").alias("place"))
+
+    def two(line: Column, d: Column) -> Column:
+        content = M.left_stripped(content_of(line))
+        mark = F.concat(F.regexp_extract(line, HEADING, 1), F.lit(" "))
+        lead = F.length(M.plain(content)) - F.length(M.left_stripped(M.plain(content)))
+        return M.let(M.split_visible(content, d["place"] + lead), lambda s: F.array(F.concat(mark, s["left"]), F.lit(""), F.concat(mark, s["right"])))
+
+    return _rewritten(texts, decided, two, key).select(key, F.array_join("lines", "\n").alias("text"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quirework.functions import markup as M
 from quirework.functions.text import INLINE
+from quirework.operators import repair as R
+from quirework.operators import separators as P
 from quirework.operators import structure as S
 from quirework.plans.registry import query, table
 
@@ -129,3 +131,53 @@ def exam_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = S.exam_boundaries(both.select("doc_id", text.alias("text")))
     again = S.exam_boundaries(once).select("doc_id", F.col("text").alias("again"))
     return once.join(again, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), (F.col("text") == F.col("again")).alias("settled"))
+
+
+@query("""with t as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') as text from documents),
+ d as (select doc_id, text, regexp_replace(regexp_replace(text, '([a-z]{3})([a-z]{3}) ', '\\1 \\2 ', 'g'), 'e ([b-d])', 'e\\1', 'g') as damaged, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) as letters from t)
+ select doc_id, md5(case when letters < 20 then damaged else text end) as text_md5 from d""")
+def repaired_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with spaces taken out and put into words, repaired by the texts that they were."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    damaged = F.regexp_replace(F.regexp_replace("text", "([a-z]{3})([a-z]{3}) ", "$1 $2 "), "e ([b-d])", "e$1")
+    made = P.repaired_separators(texts.select("doc_id", "page", damaged.alias("text")), texts.select("doc_id", "page", F.array("text").alias("passages")))
+    return made.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, said, first, second): sentences with a word of five at their ends, and a word of three that follows."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "said"))
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (F.col("pos") % by + 1).cast("int"))
+    said = F.trim(F.regexp_replace("said", "[^a-z ]", ""))
+    return pieces.select("doc_id", "pos", said.alias("said"), pick(("temaa", "temab", "temac", "temad", "temae"), 5).alias("first"), pick(("alfa", "beta", "gama"), 3).alias("second"))
+
+
+@query("""with s as (select doc_id, generate_subscripts(string_split(text, '. '), 1) - 1 as pos, unnest(string_split(text, '. ')) as raw from documents),
+ t as (select doc_id, pos, trim(regexp_replace(raw, '[^a-z ]', '', 'g'), ' ') as said, 'tema' || substr('abcde', (pos % 5)::int + 1, 1) as first, ['alfa', 'beta', 'gama'][pos % 3 + 1] as second from s),
+ e as (select distinct doc_id, first, second from t where pos % 2 = 0 union select doc_id, 'fim', w from (select doc_id, lead(regexp_extract(said || ' ' || first, '^ *([a-z]+)', 1)) over (partition by doc_id order by pos) as w from t where pos % 2 = 0) where w is not null),
+ j as (select t.*, e.doc_id is not null as joined from t left join e using (doc_id, first, second))
+ select doc_id, count(*) filter (where joined)::int as n_joined, md5(string_agg(case when joined then said || ' ' || first || ' **' || second || '.**' else said || ' ' || first || chr(10) || chr(10) || '**' || second || '.**' end, chr(10) || chr(10) order by pos)) as text_md5 from j group by doc_id""")
+def sentence_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last words of sentences as paragraphs of their own, joined where the lines of every second sentence prove it."""
+    rows = tail_lines(spark, sf_dir)
+    paragraph = F.concat("said", F.lit(" "), "first", F.lit("\n\n**"), "second", F.lit(".**"))
+    texts = texts_of(rows.select("doc_id", "pos", F.concat(paragraph, F.lit("\n")).alias("line")))
+    texts = texts.select("doc_id", F.regexp_replace("text", r"\n$", "").alias("text"))
+    pair = F.array(F.struct((F.col("pos") * 2).alias("pos"), F.concat("said", F.lit(" "), "first").alias("line")), F.struct((F.col("pos") * 2 + 1).alias("pos"), F.concat("second", F.lit(" fim")).alias("line")))
+    lines = rows.where("pos % 2 = 0").select("doc_id", F.explode(pair).alias("l")).select("doc_id", "l.*")
+    made = R.joined_tails(texts, R.adjacencies(lines))
+    return made.select("doc_id", "n_joined", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""with s as (select doc_id, generate_subscripts(string_split(text, '. '), 1) - 1 as pos, unnest(string_split(text, '. ')) as raw from documents),
+ t as (select doc_id, pos, pos || '. ' || left(regexp_replace(raw, '[^a-z ]', '', 'g'), 20) || 'x' as head, substr('ABC', (pos % 3)::int + 1, 1) || '. Nome ' || pos % 4 as suffix from s),
+ k as (select distinct doc_id, suffix from t where pos % 5 < 2)
+ select doc_id, md5(string_agg('## ' || case when k.suffix is null then head || ' ' || t.suffix else head || chr(10) || chr(10) || '## ' || t.suffix end, chr(10) order by pos)) as text_md5 from t left join k using (doc_id, suffix) group by doc_id""")
+def split_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that end in another one, where the source has that as a heading."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "said"))
+    suffix = F.concat(F.substring(F.lit("ABC"), F.col("pos") % 3 + 1, F.lit(1)), F.lit(". Nome "), (F.col("pos") % 4).cast("string"))
+    head = F.concat(F.col("pos").cast("string"), F.lit(". "), F.left(F.regexp_replace("said", "[^a-z ]", ""), F.lit(20)), F.lit("x"))
+    rows = pieces.select("doc_id", "pos", suffix.alias("suffix"), F.concat(F.lit("## "), head, F.lit(" "), suffix).alias("line"))
+    made = S.split_headings(texts_of(rows.select("doc_id", "pos", "line")), rows.where("pos % 5 < 2").select("doc_id", "suffix"))
+    return made.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -239,3 +239,63 @@ def test_exam_boundaries(spark):
             assert got[d] == expected, d
     again = {r.doc_id: r.text for r in S.exam_boundaries(spark.createDataFrame(list(got.items()), "doc_id long, text string")).collect()}
     assert again == got
+
+
+def test_separators(spark):
+    from quirework.operators.separators import repaired_separators
+
+    long = "Considerando que o artigo primeiro desta lei dispõe sobre a matéria tratada adiante, "
+    cases = {
+        1: (long + "a reda ção fica.", [long + "a redação fica."], long + "a redação fica."),
+        2: (long + "oprazo corre.", [long + "o prazo corre."], long + "o prazo corre."),
+        3: (long + "a <b>reda</b> <b>ção</b> fica.", [long + "a redação fica."], long + "a <b>redação</b> fica."),
+        4: (long + "a reda ção", [long + "a redação" + " x" * 3, long + "a reda ção" + " x" * 3], long + "a reda ção"),  # ambiguous
+        5: (long + "bem vindo aqui", [long + "bem-\nvindo aqui"], long + "bem-vindo aqui"),
+        6: (long + "cons- trução aqui", [long + "cons-\ntrução aqui"], long + "construção aqui"),
+        7: (long + "um\n\ndois <!-- a --> três", [long + "umdoistrês"], long + "um\n\ndois <!-- a --> três"),
+        8: (long + "ver https://a.b/bemvindo fim", [long + "ver https://a.b/bem-\nvindo fim"], long + "ver https://a.b/bem-vindo fim"),
+        9: (None, ["x"], None),
+        10: ("reda ção", None, "reda ção"),
+        11: ("a b", ["ab"], "a b"),
+        12: ("", [None], ""),
+    }
+    pages = spark.createDataFrame([(d, 1, t) for d, (t, _, _) in cases.items()] + [(None, 1, cases[1][0])], "doc_id long, page int, text string")
+    sources = spark.createDataFrame([(d, 1, p, ["construção"]) for d, (_, p, _) in cases.items() if p] + [(1, 2, ["x"], None), (None, 1, cases[1][1], None)], "doc_id long, page int, passages array<string>, whole array<string>")
+    got = {r.doc_id: (r.text, r.n_repaired) for r in repaired_separators(pages, sources, together="whole").collect()}
+    assert {d: t for d, (t, _) in got.items()} == {d: e for d, (_, _, e) in cases.items()} | {None: cases[1][2]}
+    assert got[4][1] == 0 and got[2][1] == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contexts_equal_a_search_of_the_source(spark, seed):
+    """The index of contexts says what a search for each context says; letters and digits stay as they are."""
+    from quirework.operators import separators as P
+
+    random_ = random.Random(seed)
+    words = ["".join(random_.choice("abcé1") for _ in range(random_.randrange(1, 9))) for _ in range(12)]
+    source = P.Source([" ".join(random_.choice(words) for _ in range(150)) for _ in range(3)], frozenset())
+    for radius in P.RADII[:2]:
+        for k in random_.sample(range(1, len(source.letters) - 1), 60):
+            a, b = max(0, k - radius), min(len(source.letters), k + radius)
+            context = source.letters[a:b]
+            expected = {source.between[i + k - a - 1] for i in range(len(source.letters)) if source.letters.startswith(context, i) and 0 < i + k - a <= len(source.between)}
+            assert source.at_context(radius, context, k - a) == expected
+
+
+def test_tails_and_headings(spark):
+    from quirework.operators.repair import adjacencies, joined_tails
+
+    lines = spark.createDataFrame([(1, 0, "Preserve a redação"), (1, 1, "integral. Outra"), (1, 2, "9 x"), (None, 0, "um"), (None, 1, "dois")], "doc_id long, pos int, line string")
+    pairs = adjacencies(lines)
+    assert sorted((str(r.doc_id), r.first, r.second) for r in pairs.collect()) == [("1", "redação", "integral"), ("None", "um", "dois")]
+    texts = {
+        1: "Preserve a redação\n\n**<u>integral.</u>**\n \nfim\n\n# redação\n\n**integral.**\n\na redação\n\nintegral.\n\n**redação**\n\n**Integral.**",
+        2: "a redação\n\n**integral.**",
+        3: None,
+        None: "um\n\n__dois!__",
+    }
+    got = {r.doc_id: (r.text, r.n_joined) for r in joined_tails(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), pairs).collect()}
+    assert got == {1: (texts[1].replace("redação\n\n**<u>", "redação **<u>", 1), 1), 2: (texts[2], 0), 3: ("", 0), None: ("um __dois!__", 1)}
+    heads = spark.createDataFrame([(1, "# **1. Um B. Dois C. Três**\n1. Um C. Três\n# Um C. Três"), (2, "# 1. Um C. Três"), (3, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, "C. Três"), (1, "B. Dois C. Três"), (1, "Dois"), (2, "D. x")], "doc_id long, suffix string")
+    assert {r.doc_id: r.text for r in S.split_headings(heads, known).collect()} == {1: "# **1. Um**\n\n# **B. Dois C. Três**\n1. Um C. Três\n# Um C. Três", 2: "# 1. Um C. Três", 3: ""}
