@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import markup as M
 from quirework.functions.text import INLINE
+from quirework.operators import notes as N
 from quirework.operators import repair as R
 from quirework.operators import separators as P
 from quirework.operators import structure as S
@@ -181,3 +182,46 @@ def split_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.select("doc_id", "pos", suffix.alias("suffix"), F.concat(F.lit("## "), head, F.lit(" "), suffix).alias("line"))
     made = S.split_headings(texts_of(rows.select("doc_id", "pos", "line")), rows.where("pos % 5 < 2").select("doc_id", "suffix"))
     return made.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""with recursive l as (select l_orderkey as doc_id, l_linenumber as page, l_partkey % 5 as box, 50 + l_suppkey % 2 * 10 as x0, case when l_linenumber = 1 then 700 else 90 end as y0, case when l_partkey % 3 = 0 then 600 else 780 end as y1, case when l_linenumber = 1 or l_partkey % 7 = 0 then 'NOTA: ' else '' end || l_partkey as content from (select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, max(l_suppkey) as l_suppkey from lineitem group by 1, 2)),
+ edges as (select doc_id, page, max(y1) + l_more as last_line from (select *, case when page % 5 = 4 then 9 else 0 end as l_more from l) group by doc_id, page, l_more),
+ walk(doc_id, start, note_box, page, x0, y1, content) as (
+  select doc_id, page, box, page, x0, y1, content from l where starts_with(content, 'NOTA')
+  union all
+  select w.doc_id, w.start, w.note_box, n.page, n.x0, n.y1, w.content || ' ' || n.content from walk w join l n on n.doc_id = w.doc_id and n.page = w.page + 1 join edges e on e.doc_id = w.doc_id and e.page = w.page
+   where w.y1 >= 680 and e.last_line <= w.y1 + 2 and n.y0 <= 144 and not starts_with(n.content, 'NOTA') and n.x0 = w.x0)
+ select doc_id, start as page, note_box, max(page) as last_page, max_by(content, page) as content from walk group by all""")
+def note_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes in boxes made of the lines of orders, one box a page; those that end high or above a line go no further."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
+    page, part = F.col("l_linenumber").cast("int"), F.col("l_partkey")
+    content = F.concat(F.when((page == 1) | (part % 7 == 0), "NOTA: ").otherwise(""), part.cast("string"))
+    x0, y1 = (50 + F.col("l_suppkey") % 2 * 10).cast("double"), F.when(part % 3 == 0, 600.0).otherwise(780.0)
+    boxes = items.select(F.col("l_orderkey").alias("doc_id"), page.alias("page"), (part % 5).cast("int").alias("box"), x0.alias("x0"), F.when(page == 1, 700.0).otherwise(90.0).alias("y0"), (x0 + 400).alias("x1"), y1.alias("y1"), F.lit(800.0).alias("height"), content.alias("content"))
+    lines = boxes.select("doc_id", "page", (F.col("y1") + F.when(F.col("page") % 5 == 4, 9).otherwise(0)).alias("y"))
+    return N.note_boxes(boxes, lines).select("doc_id", "page", "note_box", "last_page", "content")
+
+
+#: Sentences on a page of the texts with notes.
+PAGE_SENTENCES = 12
+
+
+@query(f"""with s as (select doc_id, generate_subscripts(string_split(text, '. '), 1) - 1 as pos, unnest(string_split(text, '. ')) as raw from documents),
+ t as (select doc_id, pos, left(regexp_replace(raw, '[^a-z ]', '', 'g'), 20) || 'x' as said from s),
+ p as (select doc_id, pos, case when pos % {PAGE_SENTENCES} = 0 then '<!-- PAGE page=' || (pos // {PAGE_SENTENCES} + 1) || ' status=native -->' || chr(10) || chr(10) else '' end ||
+  case when pos % 6 = 0 then '> [!NOTE]' || chr(10) || '> **ATENÇÃO!** ' || said || chr(10) || '>' || chr(10) || '> resto ' || pos when pos % 3 = 0 then '**ATENÇÃO!** ' || said || chr(10) || chr(10) || 'resto ' || pos else said end as part, pos % 6 = 0 as boxed from t)
+ select doc_id, count(*) filter (where boxed)::int as n_grouped, md5(string_agg(part, chr(10) || chr(10) order by pos)) as text_md5 from p group by doc_id""")
+def grouped_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of documents' sentences on pages; the source has boxes for every second of them, and others with more words."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "said"))
+    said = F.concat(F.left(F.regexp_replace("said", "[^a-z ]", ""), F.lit(20)), F.lit("x"))
+    page = (F.floor(F.col("pos") / PAGE_SENTENCES) + 1).cast("int")
+    rest = F.concat(F.lit("resto "), F.col("pos").cast("string"))
+    marker = F.when(F.col("pos") % PAGE_SENTENCES == 0, F.concat(F.lit("<!-- PAGE page="), page.cast("string"), F.lit(" status=native -->\n\n"))).otherwise("")
+    line = F.concat(marker, F.when(F.col("pos") % 3 == 0, F.concat(F.lit("**ATENÇÃO!** "), said, F.lit("\n\n"), rest)).otherwise(said), F.lit("\n"))
+    texts = texts_of(pieces.select("doc_id", "pos", line.alias("line"))).select("doc_id", F.regexp_replace("text", r"\n$", "").alias("text"))
+    content = F.concat(F.lit("Atenção! "), said, F.lit(" "), rest, F.when(F.col("pos") % 6 == 0, "").otherwise(" fim"))
+    notes = pieces.where("pos % 3 = 0").select("doc_id", page.alias("page"), page.alias("last_page"), content.alias("content"))
+    made = N.grouped_notes(texts, notes)
+    return made.select("doc_id", "n_grouped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
