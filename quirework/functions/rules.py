@@ -66,15 +66,18 @@ def prose_heading(title: Column) -> Column:
 def legal_spacing(text: Column) -> Column:
     """No spaces between the hyphen of an article's or paragraph's number and its letter, nor between a word and a closing sign."""
     gap = r"-[ \t]+"
-    parts, gaps = F.split(text, gap, -1), F.regexp_extract_all(text, F.lit(gap), F.lit(0))
     number = rf"(?:§\s*\d+[{''.join(ORDINALS)}]?|(?<!{WORD})(?:{'|'.join(ARTICLES)})\.\s*\d+)$"
     letter = rf"^[A-Z](?!{WORD})"
 
-    def join(k: Column) -> Column:
-        cited = F.get(parts, k).rlike(number) & F.get(parts, k + 1).rlike(letter)
-        return F.when(k >= F.size(gaps), F.lit("")).when(cited, F.lit("-")).otherwise(F.get(gaps, k))
+    def joined_parts(parts: Column, gaps: Column) -> Column:
+        def with_gap(part: Column, k: Column) -> Column:
+            cited = part.rlike(number) & F.get(parts, k + 1).rlike(letter)
+            return F.concat(part, F.when(k >= F.size(gaps), F.lit("")).when(cited, F.lit("-")).otherwise(F.get(gaps, k)))
 
-    joined = F.array_join(F.transform(parts, lambda part, k: F.concat(part, F.coalesce(join(k), F.lit("")))), "")
+        return F.array_join(F.transform(parts, with_gap), "")
+
+    gaps = F.regexp_extract_all(text, F.lit(gap), F.lit(0))
+    joined = F.when(text.rlike(gap), let(F.split(text, gap, -1), lambda parts: let(gaps, lambda found: joined_parts(parts, found)))).otherwise(text)
     for sign in CLOSING_SIGNS:
         joined = let(F.split(joined, f"[{sign}]", -1), _joined_by(sign))
     return joined

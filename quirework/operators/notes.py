@@ -131,10 +131,10 @@ def grouped_notes(documents: DataFrame, notes: DataFrame, key: str = "doc_id", t
     found = held.where(fits).groupBy("_key", "k").agg(F.min("e.until").alias("until"))
     kept = folded(found.select(F.col("_key").alias(key), "k", "until"), key, "k", Apart, Apart.step, "until int, free boolean").where("free")
     groups = kept.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("k", "until"))).alias("groups"))
-    joined = rows.join(groups, rows[key].eqNullSafe(groups["_key"]), "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<struct<k: int, until: int>>")))
+    joined = rows.join(groups, rows[key].eqNullSafe(groups["_key"]), "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<struct<k: int, until: int>>"))).withColumn("zipped", F.arrays_zip("parts", "gaps"))
     line = lambda x: F.when(M.stripped(x) == "", F.lit(">")).otherwise(F.concat(F.lit("> "), x))
     quoted = lambda part: F.array_join(F.transform(F.split(unquoted(part), "\n"), line), "\n")
-    plain = lambda a, b: F.array_join(F.transform(F.slice(F.arrays_zip("parts", "gaps"), a + 1, b - a), lambda x: F.concat(x["parts"], F.coalesce(x["gaps"], F.lit("")))), "")
+    plain = lambda a, b: F.array_join(F.transform(F.slice("zipped", a + 1, b - a), lambda x: F.concat(x["parts"], F.coalesce(x["gaps"], F.lit("")))), "")
     after = lambda n: F.when(n == 0, F.lit(0)).otherwise(F.get("groups", n - 1)["until"] + 1)
     note = lambda g: F.concat(F.lit("> [!NOTE]\n"), F.array_join(F.transform(F.slice("parts", g["k"] + 1, g["until"] - g["k"] + 1), quoted), "\n>\n"), F.coalesce(F.get("gaps", g["until"]), F.lit("")))
     written = F.transform("groups", lambda g, n: F.concat(plain(after(n), g["k"]), note(g)))

@@ -311,6 +311,7 @@ def _exam_marks(texts: DataFrame, key: str) -> DataFrame:
     plain = M.visible(content)
     stands_out = line.rlike(HEADING) | M.left_stripped(content).startswith("**")
     collection = F.when(line.rlike(HEADING), collection_kind(plain))
+    lines = lines.where(line.rlike(HEADING) | M.left_stripped(line).startswith("**"))
     rows = lines.select(key, "pos", hashes(line).alias("level"), collection.alias("collection"), (stands_out & plain.rlike(QUESTION)).alias("question"), (stands_out & plain.rlike(ANSWER)).alias("answer"), plain.rlike(r"^\d+\.\s*\(").alias("titled"), plain.rlike(rf"^(?:{ALTERNATIVE}|§|[Aa]rt\.)").alias("inner"))
     return rows.where("level > 0 or question or answer")
 

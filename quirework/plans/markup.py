@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from quirework.functions import markup as M
 from quirework.functions.text import INLINE
 from quirework.operators import notes as N
+from quirework.operators import passes as O
 from quirework.operators import repair as R
 from quirework.operators import separators as P
 from quirework.operators import structure as S
 from quirework.plans.registry import query, table
+from quirework.session import shared_folder
+from quirework.sources import versions as V
 
 #: What a reader sees of html, in SQL without look-arounds: doubled marks leave a sign that no word has, marks within words are kept by name.
 _KEPT = "regexp_replace({t}, '([\\p{{L}}\\p{{N}}_])\\*([\\p{{L}}\\p{{N}}_])', '\\1' || chr(1) || '\\2', 'g')"
@@ -61,7 +64,7 @@ _KINDS = (("number", 1), ("capital", 0), ("small", 0), ("number", 2), ("roman",
 def course_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, line): the sentences of each document as course text; which line is a heading of what label goes by its place."""
     pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "said"))
-    said = F.left(F.regexp_replace("said", "[^a-z ]", ""), F.lit(30))
+    said = F.concat(F.left(F.regexp_replace("said", "[^a-z ]", ""), F.lit(30)), F.lit("x"))
     form = F.pmod(F.col("doc_id") + F.col("pos"), F.lit(24))
     line = said
     for k, label in enumerate(LABELS):
@@ -225,3 +228,29 @@ def grouped_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = pieces.where("pos % 3 = 0").select("doc_id", page.alias("page"), page.alias("last_page"), content.alias("content"))
     made = N.grouped_notes(texts, notes)
     return made.select("doc_id", "n_grouped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("select 'customer/' || c_custkey || '.md' as name, strlen(c_name || chr(10) || c_mktsegment) as size, sha256(c_name || chr(10) || c_mktsegment) as sha256 from customer")
+def versioned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each customer, written over an earlier version of the set and read from its list."""
+    root = shared_folder(spark, "versions")
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("name"), F.concat("c_name", F.lit("\n"), "c_mktsegment").alias("content"))
+    V.write_version(customers.limit(0), root)
+    V.write_version(customers, root)
+    return V.current_version(spark, root).select("name", "size", "sha256")
+
+
+@query(f"with {WALK} select doc_id, coalesce(string_agg(level::varchar, '' order by r) filter (where level > 0), '') as levels, count(*) filter (where r > 0 and level = 0) as notes from walk group by doc_id")
+def prepared_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Course texts after all passes that need no evidence, in their checked order; levels and notes as the structure pass alone gives them."""
+    folder = shared_folder(spark, "courses")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    made = O.applied(texts_of(course_lines(spark, sf_dir)), O.course_passes(), kept=kept)
+    lines = F.split("text", "\n")
+    levels = F.transform(F.filter(lines, lambda x: x.rlike(r"^#{1,6} ")), lambda x: F.length(F.regexp_extract(x, "^(#+)", 1)).cast("string"))
+    out = made.select("doc_id", F.array_join(levels, "").alias("levels"), F.size(F.filter(lines, lambda x: x == "> [!NOTE]")).cast("long").alias("notes"))
+    return out.where("levels <> '' or notes > 0")

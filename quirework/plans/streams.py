@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.plans.registry import query, table
 from quirework.session import shared_folder
+from quirework.streaming import control as C
 from quirework.streaming.index import current_pages, once, windowed_counts, write_pages
 
 
@@ -41,3 +42,16 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that are over, an hour for late rows included."""
     days = windowed_counts(events(spark, sf_dir), "ts", "1 day", "1 hour")
     return written(days.select(F.col("window.start").cast("timestamp_ntz").alias("day"), F.col("rows").alias("events")), spark, "daily")
+
+
+@query("select user_id, event_id % 50 as page, max_by(event_type, event_id) as text, max(event_id) as event_id, true as was_stopped from events group by 1, 2")
+def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page index of a stream that was told to stop before it began, and then to go on."""
+    folder = shared_folder(spark, "resumed-index")
+    pages = events(spark, sf_dir).select("user_id", (F.col("event_id") % 50).alias("page"), F.col("event_type").alias("text"), "event_id")
+    run = lambda: C.index_pages(pages, f"{folder}/log", f"{folder}/state", f"{folder}/control", "resumed-index")
+    C.command(spark, f"{folder}/control", C.STOP)
+    stopped = run().stopped
+    C.command(spark, f"{folder}/control", C.RUN)
+    run()
+    return current_pages(spark, f"{folder}/log", ["user_id", "page"], "event_id").select("user_id", "page", "text", "event_id", F.lit(stopped).alias("was_stopped"))
