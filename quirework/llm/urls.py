@@ -75,7 +75,8 @@ def templates(paths: DataFrame) -> DataFrame:
             break
         above = rows.groupBy("host", "template").agg(F.sum("n").alias("of"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
         above = above.select("host", "template", "of", "all_labelled", "all_bad", F.when(F.col("of") >= SUPPORT, _common(F.col("lo"), F.col("hi"))).alias("way"))
-        rows = checkpointed(rows.join(above, ["host", "template"]))
+        # Sums are written before they are joined: a join of two plain exchanges lets a hot branch's rows be split.
+        rows = checkpointed(rows.join(checkpointed(above), ["host", "template"]))
         ended.append(rows.where("way is null").select(*own, F.concat("template", F.lit("/**")).alias("template")))
         step = lambda way: [F.slice("rest", F.size(way) + 1, F.size("rest")).alias("rest"), F.concat_ws("/", "template", way).alias("template")]
         alike = rows.where(F.size("way") > 0).select(*own, *step(F.col("way")))
@@ -85,7 +86,7 @@ def templates(paths: DataFrame) -> DataFrame:
         off = F.try_divide(F.col("bad_here").cast("double"), F.col("labelled_here")) - p
         apart = (F.col("labelled_here") >= SUPPORT) & (off * off * F.col("labelled_here") > DEVIATION * p * (1 - p))
         kept = counts.where((F.col("here") >= SUPPORT) & ((F.col("here") * SHARE >= F.col("of")) | apart)).select("host", "template", "segment", F.lit(True).alias("literal"))
-        parted = parting.join(kept, ["host", "template", "segment"], "left")
+        parted = parting.join(checkpointed(kept), ["host", "template", "segment"], "left")
         going = alike.unionByName(parted.select(*own, *step(F.array(F.when(F.col("literal"), F.col("segment")).otherwise("*")))))
     return functools.reduce(DataFrame.unionByName, ended)
 
