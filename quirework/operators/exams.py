@@ -99,15 +99,12 @@ def _units(text: str) -> list[tuple[str, bool]]:
 
 
 def _cut(text: str, most: int) -> list[str]:
-    """Pieces cut at a line end or a space in the second half of each, or else at the limit."""
+    """Pieces that together are the text, cut behind a line end or a space in the second half of each, or else at the limit."""
     out = []
     while len(text) > most:
-        at = max(text.rfind("\n", 0, most + 1), -1)
-        if at < most // 2:
-            at = text.rfind(" ", 0, most + 1)
-        at = at if at > 0 else most
-        out.append(text[:at].rstrip())
-        text = text[at:].lstrip()
+        at = text.rfind("\n", most // 2, most) + 1 or text.rfind(" ", most // 2, most) + 1 or most
+        out.append(text[:at])
+        text = text[at:]
     return [*out, text] if text else out
 
 

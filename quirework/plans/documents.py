@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirework.functions.text import canonical, clean_styles, roman_value, visible
+from quirework.functions.markup import clean_styles
+from quirework.functions.text import canonical, roman_value, visible
 from quirework.operators import documents as D
 from quirework.operators import outline as O
 from quirework.plans.registry import query, table

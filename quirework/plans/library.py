@@ -26,11 +26,11 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").withColumn("availability_status", status)
 
 
-@query(f"with {RANKED} select r.doc_id as doc_id, source, round(rank, 6) as rank from ranked r join documents d on d.doc_id = r.doc_id left join labels l on l.doc_id = r.doc_id where l.quality is null or l.quality <> 0 order by round(r.rank, 6), r.doc_id limit 40")
+@query(f"with {RANKED} select r.doc_id as doc_id, source, round(rank, 6) as rank from ranked r left join documents d on d.doc_id = r.doc_id left join labels l on l.doc_id = r.doc_id where l.quality is null or l.quality <> 0 order by round(r.rank, 6), r.doc_id limit 40")
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = B.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", SEARCH)
-    shown = catalogue(spark, sf_dir).where(B.shown(F.col("availability_status"))).select("doc_id", "source")
-    return ranked.join(shown, "doc_id").select("doc_id", "source", F.round("rank", 6).alias("rank")).orderBy("rank", "doc_id").limit(40)
+    found = ranked.join(catalogue(spark, sf_dir).select("doc_id", "source", "availability_status"), "doc_id", "left")
+    return found.where(B.shown(F.col("availability_status"))).select("doc_id", "source", F.round("rank", 6).alias("rank")).orderBy("rank", "doc_id").limit(40)
 
 
 @query(f"with {RANKED}, top as (select * from ranked order by round(rank, 6), doc_id limit 50) select t.doc_id as doc_id, lang from top t join documents d on d.doc_id = t.doc_id where lang = 'en'")

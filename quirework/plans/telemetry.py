@@ -59,7 +59,7 @@ def log_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.log_classes(log_lines(spark, sf_dir), "line")
 
 
-@query(f"with {LINES} select event_id, regexp_replace(replace(line, '/home/app', '%USERPROFILE%'), '(?i)\\b(password|senha|token|license[_ -]?key|chave)\\b(\\s*[=:]\\s*)([^\\s,;]+)', '\\1\\2[REDACTED]', 'g') as line from log_lines")
+@query(f"with {LINES} select event_id, regexp_replace(regexp_replace(replace(line, '/home/app', '%USERPROFILE%'), '(?i)\\b(password|senha|token|license[_ -]?key|chave)\\b(\\s*[=:]\\s*)([^\\s,;]+)', '\\1\\2[REDACTED]', 'g'), '(?i)\\b([A-Z]{{2,5}})(-[A-Z0-9]{{4}}){{4}}\\b', '\\1-[REDACTED]', 'g') as line from log_lines")
 def log_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_lines(spark, sf_dir).select("event_id", sanitised(F.col("line")).alias("line"))
 

@@ -67,7 +67,7 @@ def strict_json(rows: DataFrame, text: str, fields: list[str], most: int = 64 *
             return "json"
         return None if isinstance(value, dict) and set(value) == wanted else "fields"
 
-    check = F.pandas_udf(lambda s: s.map(one).astype("object").where(s.map(one).notna(), None), "string")
+    check = F.pandas_udf(lambda s: pd.Series([one(t) for t in s], dtype="object"), "string")
     return rows.withColumn("problem", check(F.col(text)))
 
 

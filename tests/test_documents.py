@@ -89,6 +89,8 @@ def test_chunks_keep_code_tables_and_images():
         t = "".join(random_.choice("ab \n") for _ in range(400))
         parts = exams.split_markdown(t, 50, True)
         assert all(len(p) <= 50 for p in parts) and "".join("".join(parts).split()) == "".join(t.split())
+        cut = exams._cut(t, 50)
+        assert "".join(cut) == t and all(0 < len(p) <= 50 for p in cut)
     assert exams.split_markdown("short", 100) == []
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quirework.functions import markup as K
 from quirework.functions import text as T
 from quirework.operators import documents as D
 from quirework.operators import library as B
@@ -27,12 +28,12 @@ def test_durations(spark, seconds, text):
 def test_text_functions(spark):
     assert one(spark, T.visible(F.lit("**Bold** <!-- c --><u>x</u><br/>a_b *it*"))) == "Bold x\na_b it"
     assert one(spark, T.canonical(F.lit("  PRESCRIÇÃO   Penal "))) == "prescricao penal"
-    assert one(spark, T.sanitised(F.lit("senha=abc; License-Key: 1 /home/app/x"))) == "senha=[REDACTED]; License-Key: [REDACTED] %USERPROFILE%/x"
+    assert one(spark, T.sanitised(F.lit("senha=abc; License-Key: 1 /Home/app/x ABC-12ab-34CD-56EF-7890 ABC-12ab"))) == "senha=[REDACTED]; License-Key: [REDACTED] %USERPROFILE%/x ABC-[REDACTED] ABC-12ab"
     assert [one(spark, T.roman_value(F.lit(x))) for x in ("XIV", "mcmxc", "IIII", "A")] == [14, 1990, 4, None]
     assert one(spark, T.suspicious(F.lit("a\ufffdb\x01c\n"))) == 2
     assert one(spark, T.json_for_html(F.lit("</script>&\u2028"))) == "\\u003c/script\\u003e\\u0026\\u2028"
-    cleaned = T.clean_styles(F.lit("<b></b>x<i> </i></b><b>y****z"))
-    assert one(spark, cleaned) == one(spark, T.clean_styles(cleaned)) == "xyz"
+    cleaned = K.clean_styles(F.lit("<b></b>x<i> </i></b><b>y****z"))
+    assert one(spark, cleaned) == one(spark, K.clean_styles(cleaned)) == "xyz"
 
 
 def licences(spark):
