@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirework.functions import markup as M
 from quirework.functions.text import INLINE
+from quirework.operators import blocks as K
 from quirework.operators import notes as N
 from quirework.operators import passes as O
 from quirework.operators import repair as R
@@ -254,3 +258,35 @@ def prepared_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.transform(F.filter(lines, lambda x: x.rlike(r"^#{1,6} ")), lambda x: F.length(F.regexp_extract(x, "^(#+)", 1)).cast("string"))
     out = made.select("doc_id", F.array_join(levels, "").alias("levels"), F.size(F.filter(lines, lambda x: x == "> [!NOTE]")).cast("long").alias("notes"))
     return out.where("levels <> '' or notes > 0")
+
+
+#: Lines of a sentence by its form, and the kind of the block that they are; {s} is the sentence.
+BLOCK_FORMS = (("## {s}", "heading"), ("{s}\n{s}", "paragraph"), ("```\n{s}\n\n# {s}\n```", "code"), ("| {s} |", "table"), ("> {s}\n> {s}", "quotation"), ("- {s}", "list_item"), ("**{s}**", "paragraph"), ("[^1]: {s}", "footnote"))
+_FORM_CASES = " ".join("when {} then {}".format(k, " || ".join(f"'{part}'" if part != "{s}" else "s" for part in re.split(r"(\{s\})", form) if part).replace("\n", "' || chr(10) || '")) for k, (form, _) in enumerate(BLOCK_FORMS))
+_KIND_CASES = " ".join(f"when {k} then '{kind}'" for k, (_, kind) in enumerate(BLOCK_FORMS))
+
+
+@query(f"""with t as (select doc_id, generate_subscripts(string_split(text, '. '), 1) - 1 as pos, unnest(string_split(text, '. ')) as raw from documents),
+ f as (select doc_id, pos, (doc_id + pos) % 8 as form, left(regexp_replace(raw, '[^a-z ]', '', 'g'), 12) || 'x' as s from t),
+ r as (select doc_id, pos, form, s, case form {_FORM_CASES} end as raw from f),
+ l as (select *, len(string_split(raw, chr(10))) as n, sum(len(string_split(raw, chr(10))) + 1) over (partition by doc_id order by pos) as upto from r),
+ h as (select *, max(case when form = 0 then pos end) over (partition by doc_id order by pos) as section from l),
+ b as (select *, row_number() over (partition by doc_id order by pos)::int as block, case form {_KIND_CASES} end as kind, (upto - n)::int as line_start, (upto - 1)::int as line_end, trim(case form when 6 then s else raw end, ' ' || chr(10)) as seen from h),
+ k as (select *, coalesce('section-' || section, 'None') || chr(31) || kind || chr(31) || seen as key from b)
+ select doc_id, block, kind, line_start, line_end, case when form = 0 then 'section-' || pos else 'block-' || left(sha256(key || chr(31) || row_number() over (partition by doc_id, key order by block)), 20) end as id, case when form = 0 then null else 'section-' || section end as parent_id, form = 6 as ambiguous from k""")
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the documents' sentences in eight forms, code with empty lines and headings in it among them."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "said"))
+    said = F.concat(F.left(F.regexp_replace("said", "[^a-z ]", ""), F.lit(12)), F.lit("x"))
+    form = F.pmod(F.col("doc_id") + F.col("pos"), F.lit(8))
+    line = F.lit(None).cast("string")
+    for k, (shape, _) in enumerate(BLOCK_FORMS):
+        line = F.when(form == k, F.replace(F.lit(shape), F.lit("{s}"), said)).otherwise(line)
+    rows = pieces.select("doc_id", "pos", line.alias("raw"), (form == 0).alias("heads"))
+    texts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("all")).select("doc_id", F.array_join(F.transform("all", lambda x: x["raw"]), "\n\n").alias("text"))
+    lines = F.size(F.split("raw", "\n"))
+    upto = F.sum(lines + 1).over(Window.partitionBy("doc_id").orderBy("pos"))
+    sections = rows.withColumn("upto", upto).where("heads").select("doc_id", (F.col("upto") - 1).cast("int").alias("line"), F.concat(F.lit("section-"), F.col("pos").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent_id"))
+    none = lambda kinds: spark.createDataFrame([], kinds)
+    made = K.document_blocks(texts, sections, none("doc_id long, line_start int, line_end int, section_id string"), none("doc_id long, line_start int, line_end int, id string, label string, question_id string"), none("doc_id long, line_start int, line_end int, section_id string, number int"))
+    return made.select("doc_id", "block", "kind", "line_start", "line_end", "id", "parent_id", F.col("ambiguity").isNotNull().alias("ambiguous"))
