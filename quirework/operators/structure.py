@@ -399,3 +399,23 @@ def split_headings(documents: DataFrame, suffixes: DataFrame, key: str = "doc_id
         return M.let(M.split_visible(content, d["place"] + lead), lambda s: F.array(F.concat(mark, s["left"]), F.lit(""), F.concat(mark, s["right"])))
 
     return _rewritten(texts, decided, two, key).select(key, F.array_join("lines", "\n").alias("text"))
+
+
+# How often a style must set numbered labels, and how long a title set in capitals may be.
+LEAST_NUMBERED, LONGEST_CAPITALS = 2, 100
+
+
+def set_titles(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, titles) of lines of (key, text, label, bold, size, font): lines that the source sets as titles, an array of distinct ones in order.
+
+    A title is bold, in capitals, not long, has no closing sign, and is set in a style (size to a tenth, font) in which the document sets
+    at least two numbered labels. label is the line's bold beginning, null without one; bold says that all of the line is. Documents
+    without titles have no row; lines without a document, size or font are of no style.
+    """
+    styled = lines.select(key, F.trim("text").alias("text"), "label", "bold", F.round("size", 1).alias("size"), "font")
+    numbered = styled.where(F.col("label").rlike(r"^(?:\d+(?:\.\d+)*\.?|[A-Z][.)])\s+"))
+    styles = numbered.groupBy(key, "size", "font").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_NUMBERED).drop("n")
+    text = F.col("text")
+    capitals = (text == F.upper(text)) & text.rlike(r"\p{Lu}")
+    titles = styled.where(F.col("bold") & capitals & (F.length(text) < LONGEST_CAPITALS) & ~text.rlike(r"[.;:!?]$"))
+    return titles.join(styles, [key, "size", "font"], "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("text")).alias("titles"))

@@ -290,3 +290,16 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kinds: spark.createDataFrame([], kinds)
     made = K.document_blocks(texts, sections, none("doc_id long, line_start int, line_end int, section_id string"), none("doc_id long, line_start int, line_end int, id string, label string, question_id string"), none("doc_id long, line_start int, line_end int, section_id string, number int"))
     return made.select("doc_id", "block", "kind", "line_start", "line_end", "id", "parent_id", F.col("ambiguity").isNotNull().alias("ambiguous"))
+
+
+@query("""with t as (select doc_id, generate_subscripts(string_split(text, '. '), 1) - 1 as pos, unnest(string_split(text, '. ')) as raw from documents),
+ l as (select *, upper(left(regexp_replace(raw, '[^a-z ]', '', 'g'), 30)) || 'X' || case when pos % 5 = 0 then ':' else '' end as said, pos % 7 as size, pos % 2 as font from t),
+ s as (select doc_id, size, font from l where pos % 3 = 1 group by all having count(*) >= 2)
+ select doc_id, array_to_string(list_sort(list_distinct(list(trim(said, ' ')))), '|') as titles from l semi join s using (doc_id, size, font) where pos % 3 = 0 and pos % 5 > 0 group by doc_id""")
+def set_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles among the documents' sentences, whose styles go by their places; every third sentence is a numbered label."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "raw"))
+    said = F.concat(F.upper(F.left(F.regexp_replace("raw", "[^a-z ]", ""), F.lit(30))), F.lit("X"), F.when(F.col("pos") % 5 == 0, ":").otherwise(""))
+    label = F.when(F.col("pos") % 3 == 1, F.concat(F.col("pos").cast("string"), F.lit(". x")))
+    lines = pieces.select("doc_id", F.when(F.col("pos") % 3 == 1, F.lit("x")).otherwise(said).alias("text"), label.alias("label"), (F.col("pos") % 3 == 0).alias("bold"), (F.col("pos") % 7).cast("double").alias("size"), (F.col("pos") % 2).cast("string").alias("font"))
+    return S.set_titles(lines).select("doc_id", F.array_join("titles", "|").alias("titles"))

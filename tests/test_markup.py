@@ -299,3 +299,13 @@ def test_tails_and_headings(spark):
     heads = spark.createDataFrame([(1, "# **1. Um B. Dois C. Três**\n1. Um C. Três\n# Um C. Três"), (2, "# 1. Um C. Três"), (3, None)], "doc_id long, text string")
     known = spark.createDataFrame([(1, "C. Três"), (1, "B. Dois C. Três"), (1, "Dois"), (2, "D. x")], "doc_id long, suffix string")
     assert {r.doc_id: r.text for r in S.split_headings(heads, known).collect()} == {1: "# **1. Um**\n\n# **B. Dois C. Três**\n1. Um C. Três\n# Um C. Três", 2: "# 1. Um C. Três", 3: ""}
+
+
+def test_titles_by_style(spark):
+    rows = [
+        (1, "TÍTULO", None, True, 12.04, "a"), (1, "1. x", "1. x", False, 12.0, "a"), (1, "B) y z", "B) y", False, 11.96, "a"), (1, "OUTRO", None, True, 12.0, "b"), (1, "1.2 x", "1.2 x", False, 12.0, "b"),
+        (1, "TÍTULO:", None, True, 12.0, "a"), (1, "Título", None, True, 12.0, "a"), (1, "2024", None, True, 12.0, "a"), (1, "MEIO", None, False, 12.0, "a"), (1, "X" * 100, None, True, 12.0, "a"),
+        (1, None, None, True, None, None), (2, "TÍTULO", None, True, 12.0, "a"), (None, "UM", None, True, 9.0, "a"), (None, "x", "A. x", False, 9.0, "a"), (None, "x", "B. x", False, 9.0, "a"),
+    ]
+    got = {r.doc_id: r.titles for r in S.set_titles(spark.createDataFrame(rows, "doc_id long, text string, label string, bold boolean, size double, font string")).collect()}
+    assert got == {1: ["TÍTULO"]}
