@@ -180,3 +180,29 @@ def batch_state(states: Column) -> Column:
     for name in reversed(order):
         out = F.when(F.array_contains(states, name), name).otherwise(out)
     return F.when((F.size(states) > 0) & F.forall(states, lambda x: x == "paused"), "paused").otherwise(out)
+
+
+def page_problem_counts(pages: DataFrame, batch: str = "batch") -> DataFrame:
+    """(batch, problem_documents, problem_pages, review_documents, review_pages) of pages of (batch, name, page, status, review).
+
+    A page is a problem if it failed; review says that it should be read again by a person. A document with several such pages
+    counts once, a page once however often it was tried. Batches without any have zeros.
+    """
+    tried = pages.groupBy(batch, "name", "page").agg(F.bool_or(F.col("status") == "failed").alias("failed"), F.bool_or("review").alias("review"))
+    by_document = tried.groupBy(batch, "name").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(c) for c in ("failed", "review")))
+    return by_document.groupBy(batch).agg(
+        F.count_if(F.col("failed") > 0).alias("problem_documents"), F.sum("failed").alias("problem_pages"), F.count_if(F.col("review") > 0).alias("review_documents"), F.sum("review").alias("review_pages")
+    )
+
+
+def retried_pages(pages: DataFrame, selected: DataFrame, again: DataFrame) -> DataFrame:
+    """Pages of (name, page, status, text) after the selected ones of (name, page) were read again, and how they ended.
+
+    A selected page takes what again has for it, if that was read; one that failed again, or isn't there, stays as it was. Pages
+    that weren't selected stay, whatever again has for them. attempt is 2 for a page that was replaced, else 1.
+    """
+    second = again.join(selected.select("name", "page").distinct(), ["name", "page"], "left_semi").where(F.col("status").isNotNull() & (F.col("status") != "failed"))
+    newest = second.groupBy("name", "page").agg(F.max(F.struct("status", "text")).alias("_second"))
+    joined = pages.join(newest, ["name", "page"], "left")
+    done = F.col("_second").isNotNull()
+    return joined.select("name", "page", F.when(done, F.col("_second.status")).otherwise(F.col("status")).alias("status"), F.when(done, F.col("_second.text")).otherwise(F.col("text")).alias("text"), F.when(done, 2).otherwise(1).alias("attempt"))

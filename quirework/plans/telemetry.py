@@ -142,3 +142,28 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journal records; a broken one gives nulls instead of an error."""
     parsed = F.from_json("props", "k int", {"mode": "PERMISSIVE"})
     return table(spark, sf_dir, "events").select("event_id", parsed.k.alias("k"), F.get_json_object("props", "$").isNull().alias("broken"))
+
+
+PAGES = "pages_read as (select o_custkey as batch, l_orderkey as name, l_linenumber as page, bool_or(l_partkey % 4 = 0) as failed, bool_or(l_suppkey % 7 = 0) as review, max(l_partkey) as part from lineitem join orders on o_orderkey = l_orderkey group by all)"
+
+
+def pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of orders as pages of documents, orders being documents and customers batches."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("batch")), "l_orderkey")
+    status = F.when(F.col("l_partkey") % 4 == 0, "failed").otherwise("native")
+    return items.select("batch", F.col("l_orderkey").alias("name"), F.col("l_linenumber").alias("page"), status.alias("status"), (F.col("l_suppkey") % 7 == 0).alias("review"), "l_partkey")
+
+
+@query(f"""with {PAGES}, d as (select batch, name, count(*) filter (where failed) as failed, count(*) filter (where review) as review from pages_read group by all)
+ select batch, count(*) filter (where failed > 0) as problem_documents, sum(failed)::bigint as problem_pages, count(*) filter (where review > 0) as review_documents, sum(review)::bigint as review_pages from d group by batch""")
+def page_problem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.page_problem_counts(pages_read(spark, sf_dir))
+
+
+@query(f"""with {PAGES} select name, page, case when failed and page % 2 = 1 and part % 3 > 0 then 'ocr' when failed then 'failed' else 'native' end as status, case when failed and page % 2 = 1 and part % 3 > 0 then 'again ' || part else 'first ' || part end as text, case when failed and page % 2 = 1 and part % 3 > 0 then 2 else 1 end as attempt from pages_read""")
+def retried_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed pages of odd numbers read again, of which a third fails again; pages that nobody selected were read again too."""
+    pages = pages_read(spark, sf_dir).groupBy("name", "page").agg(F.when(F.bool_or(F.col("status") == "failed"), "failed").otherwise("native").alias("status"), F.max("l_partkey").alias("part"))
+    first = pages.select("name", "page", "status", F.concat(F.lit("first "), F.col("part").cast("string")).alias("text"))
+    again = pages.select("name", "page", F.when(F.col("part") % 3 == 0, "failed").otherwise("ocr").alias("status"), F.concat(F.lit("again "), F.col("part").cast("string")).alias("text"))
+    return T.retried_pages(first, pages.where("status = 'failed' and page % 2 = 1"), again)

@@ -241,3 +241,16 @@ def test_batch_control(spark):
     assert (state("paused", "paused"), state("paused", "running"), state("running", "failed"), state()) == ("paused", "running", "failed", "idle")
     assert [one(spark, M.percent(F.lit(a), F.lit(b))) for a, b in ((1, 3), (0, 0), (5, 5))] == [33, 0, 100]
     assert one(spark, M.workers(F.lit(9), F.lit(8), F.lit(3 << 30))) == 3
+
+
+def test_problem_pages_and_retries(spark):
+    from quirework.operators import telemetry
+
+    rows = [("b", "x", 1, "failed", False), ("b", "x", 1, "native", True), ("b", "x", 2, "failed", None), ("b", "y", 1, None, None), ("c", "z", 1, "ocr", False)]
+    counts = telemetry.page_problem_counts(spark.createDataFrame(rows, "batch string, name string, page int, status string, review boolean"))
+    assert sorted(map(tuple, counts.collect())) == [("b", 1, 2, 1, 1), ("c", 0, 0, 0, 0)]
+    pages = spark.createDataFrame([("x", 1, "failed", None), ("x", 2, "failed", None), ("x", 3, "native", "c"), ("y", 1, "failed", None)], "name string, page int, status string, text string")
+    selected = spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), ("x", 9)], "name string, page int")
+    again = spark.createDataFrame([("x", 1, "ocr", "a"), ("x", 2, "failed", "b"), ("x", 3, "ocr", "d"), ("y", 1, "ocr", "e"), ("x", 9, "ocr", "f")], pages.schema)
+    got = telemetry.retried_pages(pages, selected, again).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == [("x", 1, "ocr", "a", 2), ("x", 2, "failed", None, 1), ("x", 3, "native", "c", 1), ("y", 1, "failed", None, 1)]
