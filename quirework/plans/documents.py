@@ -159,13 +159,13 @@ def packed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(D.packed(sizes, 2000).cast("array<string>"), ",").alias("chunks"))
 
 
-PAIRS = "pairs as (select d.doc_id as doc_id, d.text as x, b.text as r from documents d join benchmark b on b.item_id = d.doc_id % 10)"
+PAIRS = "pairs as (select d.doc_id as doc_id, d.text as x, b.text as r from documents d join benchmark b on b.item_id = d.doc_id % (select greatest(count(*), 1) from benchmark))"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as an extract, with a benchmark passage as its reference."""
+    """Each document as an extract, with one of all benchmark passages as its reference; passages are numbered from 0."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("r"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("x"), (F.col("doc_id") % 10).alias("item_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("x"), (F.col("doc_id") % max(items.count(), 1)).alias("item_id"))
     return rows.join(items, "item_id").select("doc_id", "r", "x")
 
 
