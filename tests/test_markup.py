@@ -98,6 +98,18 @@ def test_halves_show_what_the_whole_shows(spark):
         assert r.a == [] and r.b == []
 
 
+def test_cuts_within_what_begins_like_a_tag(spark, tmp_path):
+    """What a cut leaves of </ul> is no tag, and no closing sign makes it one."""
+    from quirework.plans.markup import visible_split
+
+    df = spark.createDataFrame([("<b>x</ul>y</b>", 4), ("x</ul>y", 4), ("<b>x</ul>", 1)], "t string, k int")
+    s = M.split_visible(df.t, df.k)
+    got = [tuple(r) for r in df.select(s["left"], s["right"], M.visible(s["left"]), M.visible(s["right"])).collect()]
+    assert got == [("<b>x</b></u", "<b>l>y</b>", "x</u", "l>y"), ("x</u", "l>y", "x</u", "l>y"), ("<b>x</b>", "<b></ul>", "x", "</ul>")]
+    spark.createDataFrame([(1, "abc</ulm>xyz")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r.left_seen, r.right_seen, r.balanced) for r in visible_split(spark, str(tmp_path)).collect()] == [("abc</u", "lm>xyz", True)]
+
+
 def test_cuts_at_several_places(spark):
     df = spark.createDataFrame([("<b>one two</b> three", [3, 4, 8]), ("", [2]), ("plain", [])], "t string, at array<int>")
     got = [r[0] for r in df.select(M.split_at(df.t, df["at"])).collect()]
