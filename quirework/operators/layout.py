@@ -59,21 +59,33 @@ def text_lines(boxes: DataFrame, *keys: str) -> DataFrame:
     return boxes.where("score >= 0.35").groupBy(*keys).applyInPandas(fold, f"{kinds}, line int, text string, heading boolean")
 
 
+def _bands(value: Column, both: bool = False) -> Column:
+    """The band of a value; both: all bands, two at most, that hold values within the tolerance of it."""
+    band = lambda v: F.floor(v / (4 * TOLERANCE)).cast("long")
+    return F.explode(F.array_distinct(F.array(band(value - 1.5 * TOLERANCE), band(value + 1.5 * TOLERANCE)))) if both else band(value)
+
+
 def closed_boxes(segments: DataFrame) -> DataFrame:
     """(page, x0, y0, x1, y1) of boxes from segments of (page, x0, y0, x1, y1): two uprights of one extent that a level segment joins at both ends.
 
-    The page is an equality of every join, and uprights meet by bands of their upper end.
+    Level segments lead to the uprights at their ends, never uprights to each other, so rows follow corners and not pairs of uprights.
+    Every join has the page and bands of two coordinates as equalities. Segments that are drawn again count once.
     """
     near = lambda a, b: F.abs(a - b) <= TOLERANCE
-    upright = segments.where(F.abs(F.col("x0") - F.col("x1")) <= TOLERANCE).select("page", F.col("x0").alias("x"), F.least("y0", "y1").alias("top"), F.greatest("y0", "y1").alias("low"))
-    level = segments.where(F.abs(F.col("y0") - F.col("y1")) <= TOLERANCE).select(F.col("page").alias("p"), F.col("y0").alias("y"), F.least("x0", "x1").alias("left"), F.greatest("x0", "x1").alias("right"))
-    band = F.floor(F.col("top") / (2 * TOLERANCE)).cast("long")
-    a = upright.withColumn("band", band)
-    b = upright.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).select(F.col("page").alias("p2"), F.col("band").alias("band2"), F.col("x").alias("x2"), F.col("top").alias("top2"), F.col("low").alias("low2"))
-    pairs = a.join(b, (F.col("page") == F.col("p2")) & (F.col("band") == F.col("band2")) & (F.col("x2") > F.col("x") + TOLERANCE) & near(F.col("top"), F.col("top2")) & near(F.col("low"), F.col("low2")))
-    spans = (F.col("page") == F.col("p")) & near(F.col("left"), F.col("x")) & near(F.col("right"), F.col("x2"))
-    closed = pairs.join(level, spans & near(F.col("y"), F.col("top")), "left_semi").join(level, spans & near(F.col("y"), F.col("low")), "left_semi")
-    return closed.select("page", F.col("x").alias("x0"), F.col("top").alias("y0"), F.col("x2").alias("x1"), F.col("low").alias("y1")).distinct()
+    c = F.col
+    upright = segments.where(near(c("x0"), c("x1"))).select("page", c("x0").alias("x"), F.least("y0", "y1").alias("top"), F.greatest("y0", "y1").alias("low")).distinct()
+    level = segments.where(near(c("y0"), c("y1"))).select("page", c("y0").alias("y"), F.least("x0", "x1").alias("left"), F.greatest("x0", "x1").alias("right")).distinct()
+    at = upright.select("*", _bands(c("x")).alias("across"), _bands(c("top")).alias("down"))
+    over = level.select("*", _bands(c("left"), True).alias("across")).select("*", _bands(c("y"), True).alias("down"))
+    first = over.join(at, ["page", "across", "down"]).where(near(c("left"), c("x")) & near(c("y"), c("top"))).select("page", "right", "x", "top", "low").distinct()
+    other = at.select("page", "across", "down", c("x").alias("x2"), c("top").alias("top2"), c("low").alias("low2"))
+    reach = first.select("*", _bands(c("right"), True).alias("across")).select("*", _bands(c("top"), True).alias("down"))
+    same = near(c("right"), c("x2")) & near(c("top"), c("top2")) & near(c("low"), c("low2")) & (c("x2") > c("x") + TOLERANCE)
+    pairs = reach.join(other, ["page", "across", "down"]).where(same).select("page", "x", "top", "x2", "low").distinct()
+    ends = pairs.select("*", _bands(c("x"), True).alias("across")).select("*", _bands(c("low"), True).alias("down"))
+    under = level.select(c("page").alias("_page"), _bands(c("left")).alias("_across"), _bands(c("y")).alias("_down"), "y", "left", "right")
+    joined = (c("page") == c("_page")) & (c("across") == c("_across")) & (c("down") == c("_down")) & near(c("left"), c("x")) & near(c("right"), c("x2")) & near(c("y"), c("low"))
+    return ends.join(under, joined, "left_semi").select("page", c("x").alias("x0"), c("top").alias("y0"), c("x2").alias("x1"), c("low").alias("y1")).distinct()
 
 
 def continued_tables(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
