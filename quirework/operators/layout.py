@@ -88,6 +88,28 @@ def closed_boxes(segments: DataFrame) -> DataFrame:
     return ends.join(under, joined, "left_semi").select("page", c("x").alias("x0"), c("top").alias("y0"), c("x2").alias("x1"), c("low").alias("y1")).distinct()
 
 
+def counted_within(spans: DataFrame, points: DataFrame, band: float = 50.0) -> DataFrame:
+    """(id, inside) of spans of (id, page, low, high): how many points of (page, value) of the page lie in them, ends included.
+
+    Neither pairs nor pages are held: both are dealt by page and band of values and sorted together; the points up to a place are
+    those of its band up to there and the sums of the bands before. Spans without a page or an end have none.
+    """
+    c = F.col
+    counted = points.where("page is not null and value is not null and not isnan(value)").groupBy("page", "value").agg(F.count("*").alias("n"))
+    whole = c("page").isNotNull() & (c("low") <= c("high"))
+    edge = lambda name, turn, sign: F.struct(F.when(whole, c(name)).alias("value"), F.lit(turn).alias("turn"), F.lit(sign).alias("sign"))
+    edges = spans.select("id", "page", F.explode(F.array(edge("low", 0, -1), edge("high", 2, 1))).alias("e")).select("id", "page", "e.*", F.lit(0).cast("long").alias("n"))
+    same = [f.name for f in edges.schema.fields]
+    rows = counted.select(F.lit(None).cast(edges.schema["id"].dataType).alias("id"), "page", c("value").cast(edges.schema["value"].dataType).alias("value"), F.lit(1).alias("turn"), F.lit(0).alias("sign"), "n").select(*same).unionByName(edges)
+    rows = rows.withColumn("band", F.floor(c("value") / band))
+    upto = F.sum("n").over(Window.partitionBy("page", "band").orderBy("value", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    places = rows.withColumn("upto", upto).where("sign <> 0")
+    bands = rows.groupBy("page", "band").agg(F.sum("n").alias("n"))
+    before = bands.select("page", "band", (F.sum("n").over(Window.partitionBy("page").orderBy("band").rowsBetween(Window.unboundedPreceding, 0)) - c("n")).alias("before"))
+    number = F.when(c("value").isNotNull(), c("sign") * (c("upto") + c("before"))).otherwise(0)
+    return places.join(before, ["page", "band"], "left").groupBy("id").agg(F.sum(number).alias("inside"))
+
+
 def continued_tables(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Adds group: tables of (doc, page, y0, y1, height, edges, first_cell) that go on over pages share one.
 

@@ -10,6 +10,7 @@ from quirework.functions.markup import clean_styles
 from quirework.functions.text import canonical, roman_value, visible
 from quirework.operators import documents as D
 from quirework.operators import outline as O
+from quirework.operators.layout import counted_within
 from quirework.plans.registry import query, table
 
 OUTLINE = """nodes as (select r_regionkey as doc_id, null as n, null as c, null as o, 1 as level, r_name as title from region
@@ -269,10 +270,10 @@ def visible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s.s_suppkey as s_suppkey, count(c.c_custkey) as inside from supplier s left join customer c on c.c_nationkey = s.s_nationkey and c.c_acctbal between s.s_acctbal - 1001 and s.s_acctbal + 1001 group by 1")
 def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in boxes with a tolerance of one: nations stand for pages, so that they are an equality of the join."""
-    boxes, points = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    near = (points.c_nationkey == boxes.s_nationkey) & points.c_acctbal.between(boxes.s_acctbal - 1001, boxes.s_acctbal + 1001)
-    return boxes.join(points, near, "left").groupBy("s_suppkey").agg(F.count("c_custkey").alias("inside"))
+    """Lines in boxes with a tolerance of one: nations stand for pages, so that they are an equality of all that is dealt."""
+    spans = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("page"), (F.col("s_acctbal") - 1001).alias("low"), (F.col("s_acctbal") + 1001).alias("high"))
+    points = table(spark, sf_dir, "customer").where("c_custkey is not null").select(F.col("c_nationkey").alias("page"), F.col("c_acctbal").alias("value"))
+    return counted_within(spans, points).select(F.col("id").alias("s_suppkey"), "inside")
 
 
 @query("with j as (select d.source, l.doc_id, d.doc_id is not null and l.quality = 1 as ok from labels l left join documents d on d.doc_id = l.doc_id) select source, count(*) as entries, bool_and(ok) as accepted from j group by source")

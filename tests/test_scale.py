@@ -34,3 +34,19 @@ def test_boxes_of_many_uprights(spark):
     side = lambda a, b, c, d: F.struct(a.alias("x0"), F.lit(b).alias("y0"), c.alias("x1"), F.lit(d).alias("y1"))
     sides = F.array(side(x, 10.0, x, 60.0), side(x + 150, 10.0, x + 150, 60.0), side(x, 10.0, x + 150, 10.0), side(x, 60.0, x + 150, 60.0))
     assert B.closed_boxes(spark.range(n).select(F.lit(1).alias("page"), F.explode(sides).alias("s")).select("page", "s.*")).count() == n
+
+
+def test_points_in_spans(spark):
+    """Against comparing all, with equal values, ends that are points, nulls and ids that repeat; a page of many points and spans makes no pairs."""
+    random_ = random.Random(2)
+    value = lambda: random_.choice((None, float(random_.randrange(-300, 300)), random_.random() * 1000))
+    points = [(random_.choice((1, 2, None)), value()) for _ in range(300)]
+    spans = [(random_.randrange(60), random_.choice((1, 2, 3, None)), value(), value()) for _ in range(90)]
+    wanted = {}
+    for name, page, low, high in spans:
+        wanted[name] = wanted.get(name, 0) + sum(None not in (page, low, high, v) and p == page and low <= v <= high for p, v in points)
+    made = B.counted_within(spark.createDataFrame(spans, "id int, page int, low double, high double"), spark.createDataFrame(points, "page int, value double"))
+    assert {r.id: r.inside for r in made.collect()} == wanted and made.count() == len(wanted)
+    n = 60_000
+    many = B.counted_within(spark.range(n).select("id", F.lit(1).alias("page"), F.lit(0.0).alias("low"), F.col("id").cast("double").alias("high")), spark.range(n).select(F.lit(1).alias("page"), F.col("id").cast("double").alias("value")))
+    assert many.where("inside <> id + 1").count() == 0
