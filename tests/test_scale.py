@@ -5,6 +5,43 @@ import random
 from pyspark.sql import functions as F
 
 from quirework.operators import layout as B
+from quirework.operators import separators as P
+
+
+def test_separators_of_long_repetitions():
+    """A boundary in a word said five hundred times is told by the whole page, at one end or in the middle."""
+    for left, right in (("", ""), ("onze letras a mais ", ""), ("", " e mais outras letras"), ("onze letras a mais ", " e mais outras letras")):
+        text = left + "thatha " * 250 + "thatha" + right
+        damaged = text.replace("thatha", "tha tha")
+        runs = [{"at": 0, "source": 0, "size": len(damaged)}]
+        for start, end, instead in reversed(P.edits(damaged, damaged, runs, P.Source([text], frozenset()))):
+            damaged = damaged[:start] + instead + damaged[end:]
+        assert damaged == text
+
+
+def test_wider_contexts_against_all_places():
+    """What wider contexts settle is what comparing every place of the source settles."""
+    random_ = random.Random(4)
+    for _ in range(12):
+        word = "".join(random_.choice("ab") for _ in range(random_.randrange(1, 7)))
+        parts = [word] * random_.randrange(120, 400)
+        for _ in range(random_.randrange(3)):
+            parts[random_.randrange(len(parts))] = "c"
+        source = P.Source([" ".join(parts), " ".join(parts[: random_.randrange(400)])], frozenset())
+        cut = "".join(parts)[random_.randrange(3) :]
+        asked = sorted({random_.randrange(1, len(cut)) for _ in range(60)} | {1, len(cut) - 1})
+
+        def settled(k):
+            radius = 288
+            while True:
+                a, b = max(0, k - radius), min(len(cut), k + radius)
+                found = {source.between[i + k - a - 1] for i in range(len(source.letters) - (b - a) + 1) if source.letters[i : i + b - a] == cut[a:b]}
+                if len(found) < 2 or radius >= len(cut):
+                    return found
+                radius *= 2
+
+        wanted = {k: found.pop() for k in asked if len(found := settled(k)) == 1}
+        assert source.at_wider(cut, asked) == wanted
 
 
 def test_boxes_of_many_uprights(spark):
