@@ -87,3 +87,12 @@ def test_points_in_spans(spark):
     n = 60_000
     many = B.counted_within(spark.range(n).select("id", F.lit(1).alias("page"), F.lit(0.0).alias("low"), F.col("id").cast("double").alias("high")), spark.range(n).select(F.lit(1).alias("page"), F.col("id").cast("double").alias("value")))
     assert many.where("inside <> id + 1").count() == 0
+
+
+def test_kept_texts_are_dealt_evenly(spark):
+    """Texts that came in one part are read again in several a core."""
+    from quirework.plans.markup import keeper
+
+    kept = keeper(spark, "test")(spark.range(1000).coalesce(1), "rows")
+    sizes = [r["count"] for r in kept.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) < 200
