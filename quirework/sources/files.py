@@ -33,9 +33,13 @@ def included(path: Column, excluded_folders: tuple[str, ...], endings: tuple[str
 
 def log_tail(lines: DataFrame, file: str, order: str, line: str, most: int = 256 * 1024) -> DataFrame:
     """The newest lines of rotated logs, in order of time, until so many bytes; newer files first."""
+    # Whole files first, by their sizes; only the newest, as many as the bytes need, are sorted by line in one task.
+    sizes = lines.groupBy(F.col(file).alias("_file")).agg(F.sum(F.octet_length(line) + 1).alias("_size"))
+    newer = Window.orderBy(F.desc("_file")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = sizes.withColumn("_newer", F.coalesce(F.sum("_size").over(newer), F.lit(0))).where(F.col("_newer") <= most)
+    rows = lines.join(needed, lines[file].eqNullSafe(needed["_file"]), "left_semi")
     newest = Window.orderBy(F.desc(file), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    # One window over all lines: a log is bounded by its rotation.
-    return lines.withColumn("_sum", F.sum(F.octet_length(line) + 1).over(newest)).where(F.col("_sum") <= most).drop("_sum").orderBy(file, order)
+    return rows.withColumn("_sum", F.sum(F.octet_length(line) + 1).over(newest)).where(F.col("_sum") <= most).drop("_sum").orderBy(file, order)
 
 
 def tolerant_json(text: Column, schema: str) -> Column:

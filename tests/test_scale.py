@@ -96,3 +96,19 @@ def test_kept_texts_are_dealt_evenly(spark):
     kept = keeper(spark, "test")(spark.range(1000).coalesce(1), "rows")
     sizes = [r["count"] for r in kept.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 1000 and len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) < 200
+
+
+def test_log_tail_sorts_only_the_newest_files(spark):
+    """Against a plain walk; lines of older files never come to the task that sorts lines."""
+    from quirework.sources.files import log_tail
+
+    random_ = random.Random(6)
+    rows = [(f"log.{k // 40:03d}", k, random_.choice((None, "a", "á" * 3, "abcdef"))) for k in range(2000)]
+    wanted, total = [], 0
+    for row in reversed(rows):
+        total += 0 if row[2] is None else len(row[2].encode()) + 1
+        if 0 < total <= 300:
+            wanted.append(row)
+    made = log_tail(spark.createDataFrame(rows, "file string, k int, line string"), "file", "k", "line", 300)
+    assert [tuple(r) for r in made.collect()] == wanted[::-1]
+    assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
