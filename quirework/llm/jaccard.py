@@ -253,10 +253,15 @@ def candidates(docs: DataFrame, width: int, percent: int, parts: int, frequent:
     return checkpointed(ranked.where(F.col("rank") <= F.col("n") - F.col("spare")).select("key", "class"))
 
 
-def _stars(rare: DataFrame) -> DataFrame:
+def _several(rare: DataFrame) -> DataFrame:
+    """(key, class, least, n) of the segments of several classes, with the smallest of these and how many there are."""
+    of_key = rare.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("high"), F.count("*").alias("n")).where("least <> high").drop("high")
+    return checkpointed(rare.join(of_key, "key").select("key", "class", "least", "n"))
+
+
+def _stars(several: DataFrame) -> DataFrame:
     """(a, b): each class of a segment with the segment's smallest one."""
-    first = rare.groupBy("key").agg(F.min("class").alias("b"), F.max("class").alias("high")).where("b <> high").select("key", "b")
-    return rare.join(first, "key").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
+    return several.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -359,21 +364,24 @@ def _root(root: dict[int, int], x: int) -> int:
     return x
 
 
-def _residual(rare: DataFrame, member: DataFrame, members: int, sketches: DataFrame, percent: int, partners: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, more): pairs that may be linked, of the segments whose classes are in several components; and (key, class) of these.
+def _residual(several: DataFrame, member: DataFrame, members: int, sketches: DataFrame, percent: int, partners: int) -> tuple[DataFrame, DataFrame]:
+    """(key, a, b, more): pairs that may be linked, of the segments whose classes are in several components; and the rows of these.
 
-    Components only grow, so a later round finds its segments among those of the round before.
+    Components only grow, so a later round finds its segments among those of the round before, and of these only among the ones
+    that left pairs out: all others have given every pair that the parities let through.
 
     Segments of two classes were compared as stars, and of segments with the same classes one stands for
     all. A segment of many classes is compared block by block; no pair is written that the parities exclude.
     """
     of_class = looked_up(member.select(F.col("node").alias("class"), "component"), members)
-    rows = rare.join(of_class, "class", "left").select("key", "class", F.coalesce("component", "class").alias("part"))
-    alike = [F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y"), F.count("*").alias("n")]
-    apart = rows.groupBy("key").agg(*alike, F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low <> high")
-    apart = apart.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = checkpointed(rows.join(apart, "key"))
-    still = rows.select("key", "class")
+    rows = several.where("n > 2").join(of_class, "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
+    alike = [F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y")]
+    apart = rows.groupBy("key", "n").agg(*alike, F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    apart = apart.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")
+    # n and the smallest class came with the rows, so rounds only keep or leave them; nothing is made by this join.
+    still = checkpointed(rows.join(apart, "key", "left_semi"))
+    rows = still.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    still = still.select("key", "class", "least", "n")
     tasks = max(12, -(-(rows.agg(F.sum("blocks")).first()[0] or 0) // TASK_ROWS))
     rows = rows.join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -384,14 +392,14 @@ def _residual(rare: DataFrame, member: DataFrame, members: int, sketches: DataFr
         key, x, y, block, classes, parts, sizes = (table[c].to_numpy() for c in ("key", "x", "y", "block", "class", "part", "n_shingles"))
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
         sketches = table["sketch"].to_pylist()
-        out: list[tuple[int, int, bool]] = []
+        out: list[tuple[int, int, int, bool]] = []
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
             own = slice(s, e)
-            out += near_in_block(classes[own], parts[own], sizes[own], sketches[own], block[own] == x[s], x[s] == y[s], percent, partners)
-        a, b, more = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+            out += [(int(key[s]), *pair) for pair in near_in_block(classes[own], parts[own], sizes[own], sketches[own], block[own] == x[s], x[s] == y[s], percent, partners)]
+        segment, a, b, more = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({"key": pa.array(segment, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
-    near = dealt.select("task", "key", "x", "y", "block", "class", "part", "n_shingles", "sketch").groupBy("task").applyInArrow(run, "a long, b long, more boolean")
+    near = dealt.select("task", "key", "x", "y", "block", "class", "part", "n_shingles", "sketch").groupBy("task").applyInArrow(run, "key long, a long, b long, more boolean")
     return checkpointed(near), still
 
 
@@ -417,19 +425,25 @@ def _grouped(documents: DataFrame, width: int, percent: int) -> DataFrame:
     rare = candidates(docs.where("doc_id is not null"), width, percent, parts, frequent, clashes)
     sketches = texts.select("class", "n_shingles", "sketch")
     of_class = texts.select("class", "doc_id")
-    links = _verified(_sketched(_stars(rare), sketches, percent), of_class, docs, width, percent, clashes)
+    several = _several(rare)
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    tried = checkpointed(_sketched(_stars(several), sketches, percent).select(*ordered).distinct())
+    links = _verified(tried, of_class, docs, width, percent, clashes)
     member = components(links)
     partners = PARTNERS
     while True:
-        near, rare = _residual(rare, member, member.count(), sketches, percent, partners)
-        if not near.limit(1).count():
-            break
-        more_links = _verified(near.select("a", "b").distinct(), of_class, docs, width, percent, clashes)
-        if more_links.limit(1).count():
-            links = links.unionByName(more_links)
-            member = components(links)
-        if not near.where("more").limit(1).count():
+        near, several = _residual(several, member, member.count(), sketches, percent, partners)
+        pairs = checkpointed(near.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        if pairs.limit(1).count():
+            more_links = _verified(pairs, of_class, docs, width, percent, clashes)
+            if more_links.limit(1).count():
+                links = links.unionByName(more_links)
+                member = components(links)
+        unfinished = small(near.where("more").select("key").distinct())
+        if not unfinished.limit(1).count():
             break
+        several = several.join(unfinished, "key", "left_semi")
         partners *= PARTNERS
     placed = of_class.join(member.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))

@@ -561,3 +561,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(packed.doc_id) == ids
     nothing = kept.where("false")
     assert all(stage(spark, nothing, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_near_misses_are_verified_once(spark, monkeypatch):
+    """Texts just below the threshold take several rounds; no round verifies a pair again, or compares a segment that is done."""
+    from quirework.llm import jaccard
+
+    base = " ".join(f"w{k}" for k in range(93))
+    rows = [(i, base + "".join(f" t{i}x{k}" for k in range(12))) for i in range(40)]
+    rows += [(100, rows[0][1] + " end"), (101, "other " * 3 + rows[0][1])]
+    seen, rounds = [], []
+    verified, residual = jaccard._verified, jaccard._residual
+
+    def recorded(pairs, *others):
+        seen.extend(tuple(sorted(p)) for p in pairs.distinct().collect())
+        return verified(pairs, *others)
+
+    def counted(rare, *others):
+        near, still = residual(rare, *others)
+        rounds.append((still.count(), near.select("a", "b").distinct().count()))
+        return near, still
+
+    monkeypatch.setattr(jaccard, "_verified", recorded)
+    monkeypatch.setattr(jaccard, "_residual", counted)
+    made = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert made == {i: i for i in range(40)} | {100: 0, 101: 0}
+    assert len(rounds) > 1 and rounds[-1][1] > 100 and len(seen) == len(set(seen))
