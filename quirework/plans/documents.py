@@ -11,6 +11,7 @@ from quirework.functions.text import canonical, roman_value, visible
 from quirework.operators import documents as D
 from quirework.operators import outline as O
 from quirework.operators.layout import counted_within
+from quirework.plans.markup import keeper
 from quirework.plans.registry import query, table
 
 OUTLINE = """nodes as (select r_regionkey as doc_id, null as n, null as c, null as o, 1 as level, r_name as title from region
@@ -34,13 +35,25 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
         of_order.select("doc_id", "n", "c", "o", F.lit(4).alias("level"), "title"),
     ]
     every = rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
-    place = Window.partitionBy("doc_id").orderBy(F.col("n").asc_nulls_first(), F.col("c").asc_nulls_first(), F.col("o").asc_nulls_first())
-    return every.select("doc_id", F.row_number().over(place).cast("long").alias("line"), "level", "title")
+    # A line's number is how many lines the nations, and customers of its nation, before its own have, and its rank among those of
+    # its customer; so no task sorts a region, of which there are five.
+    within = Window.partitionBy("doc_id", "n", "c").orderBy(F.col("o").asc_nulls_first())
+    of_c = every.groupBy("doc_id", "n", "c").agg(F.count("*").alias("lines"))
+    of_n = of_c.groupBy("doc_id", "n").agg(F.sum("lines").alias("lines"))
+    earlier = lambda keys, k: F.coalesce(F.sum("lines").over(Window.partitionBy(*keys).orderBy(F.col(k).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts_n = of_n.select(F.col("doc_id").alias("_d"), F.col("n").alias("_n"), earlier(["doc_id"], "n").alias("before_n"))
+    starts_c = of_c.select("doc_id", "n", "c", earlier(["doc_id", "n"], "c").alias("before_c"))
+    starts = starts_c.join(starts_n, starts_c["doc_id"].eqNullSafe(starts_n["_d"]) & starts_c["n"].eqNullSafe(starts_n["_n"]))
+    starts = starts.select(F.col("doc_id").alias("_d"), F.col("n").alias("_n"), F.col("c").alias("_c"), (F.col("before_n") + F.col("before_c")).alias("before"))
+    ranked = every.withColumn("rank", F.row_number().over(within))
+    same = [ranked[k].eqNullSafe(starts[f"_{'d' if k == 'doc_id' else k}"]) for k in ("doc_id", "n", "c")]
+    return ranked.join(starts, same).select("doc_id", (F.col("before") + F.col("rank")).alias("line"), "level", "title")
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = headings(spark, sf_dir)
-    return O.section_index(found, found.groupBy("doc_id").agg(F.max("line").alias("last_line")))
+    kept = keeper(spark, "sections")
+    found = kept(headings(spark, sf_dir), "headings")
+    return kept(O.section_index(found, found.groupBy("doc_id").agg(F.max("line").alias("last_line")), kept=kept), "sections")
 
 
 ABOVE = ", ".join(f"max(case when level = {k} then line end) over b as a{k}, min(case when level = {k} then line end) over f as z{k}" for k in (1, 2, 3, 4))
@@ -74,7 +87,7 @@ def section_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {OUTLINE} select doc_id, line, heading from (select doc_id, line, level, max(case when level = 3 then title end) over (partition by doc_id, grp) as heading from (select *, count(case when level = 3 then 1 end) over (partition by doc_id order by line) as grp from headings)) where level = 4")
 def heading_of_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heading that each line stands under: the last one at or before it."""
-    found = headings(spark, sf_dir)
+    found = keeper(spark, "sections")(headings(spark, sf_dir), "headings")
     marks = found.where("level = 3").select("doc_id", "line", F.col("title").alias("heading"))
     return O.as_of(found.where("level = 4").select("doc_id", "line"), marks, "doc_id", "line", "heading").select("doc_id", "line", "heading")
 

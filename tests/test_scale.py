@@ -112,3 +112,27 @@ def test_log_tail_sorts_only_the_newest_files(spark):
     made = log_tail(spark.createDataFrame(rows, "file string, k int, line string"), "file", "k", "line", 300)
     assert [tuple(r) for r in made.collect()] == wanted[::-1]
     assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sections_of_long_documents_in_blocks(spark, monkeypatch):
+    """Against a plain walk: blocks of a few lines hand on what is nearest, whatever lies between; so do intervals and marks."""
+    from quirework.operators import outline as O
+
+    monkeypatch.setattr(O, "BLOCK_LINES", 7)
+    random_ = random.Random(8)
+    rows = [(doc, line, random_.choice((1, 2, 3, 3, 4, 4, 4)), random_.choice("abc")) for doc in (1, 2, 3) for line in sorted(random_.sample(range(1, 300), 90))]
+    heads = spark.createDataFrame(rows, "doc_id int, line long, level int, title string")
+    found = {(r.doc_id, r.line): r for r in O.section_index(heads, heads.groupBy("doc_id").agg(F.lit(300).cast("long").alias("last_line"))).collect()}
+    assert len(found) == len(rows)
+    for doc, line, level, _ in rows:
+        mine = [r for r in rows if r[0] == doc]
+        parent = max((r[1] for r in mine if r[1] < line and r[2] < level), default=None)
+        end = min((r[1] - 1 for r in mine if r[1] > line and r[2] <= level), default=300)
+        direct = min((r[1] - 1 for r in mine if r[1] > line), default=end)
+        assert (found[doc, line].parent_line, found[doc, line].line_end, found[doc, line].direct_line_end) == (parent, end, min(direct, end))
+    spans = [(doc, start, start + random_.randrange(40), f"{doc}.{k}") for doc in (1, 2, None) for k, start in enumerate(sorted(random_.sample(range(300), 25)))]
+    points = spark.createDataFrame([(doc, at) for doc in (1, 2, 3, None) for at in range(320)], "doc_id int, at int")
+    made = {(r.doc_id, r.at): r.v for r in O.inside(points, spark.createDataFrame(spans, "doc_id int, a int, b int, v string"), "doc_id", "at", "a", "b", "v").collect()}
+    first = lambda doc, at: min(((a, v) for d, a, b, v in spans if d == doc and a <= at <= b), default=(0, None))[1]
+    # An interval is cut to what no earlier one holds, so the first that holds a place has it.
+    assert made == {(doc, at): first(doc, at) for doc in (1, 2, 3, None) for at in range(320)}
