@@ -301,12 +301,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, p
     return checkpointed(map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b"), check, "a long, b long"))
 
 
-def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: list[bytes], first: np.ndarray, same: bool, percent: int, partners: int) -> list[tuple[int, int, bool]]:
-    """(a, b, more) of two blocks' classes in different parts that the parities let through.
+def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: list[bytes], first: np.ndarray, same: bool, percent: int, partners: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(a, b) of two blocks' classes in different parts that the parities let through, and which classes have pairs left out.
 
     first marks the classes of the first block; same says that there is one block only. Of the nearest
     partners of each class only those are given that connect parts, nearest first: one forest over the
-    parts, and further ones as partners grows. more says that pairs were left out, for a later round.
+    parts, and further ones as partners grows. Both ends of a pair that was left out are marked, for a later round.
     """
     order = np.argsort(sizes, kind="stable")
     width = np.array([len(s) for s in sketches])
@@ -316,7 +316,7 @@ def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, ske
     for rows in at_width.values():
         row[rows] = np.arange(len(rows))
     pairs: list[tuple[float, int, int]] = []
-    left_out = False
+    left_out = np.zeros(len(sizes), bool)
     right = order if same else order[~first[order]]
     of_width = {w: right[width[right] == w] for w in by_width}
     rows_of = {w: by_width[w][row[r]] for w, r in of_width.items()}
@@ -337,9 +337,10 @@ def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, ske
             apart.append(difference[may] / (sizes[some[may]] + n))
         if near and len(found := np.concatenate(near)):
             distance = np.concatenate(apart)
-            nearest = np.argsort(distance, kind="stable")[:partners]
-            left_out = left_out or len(found) > partners
-            pairs += [(float(distance[k]), int(i), int(found[k])) for k in nearest]
+            nearest = np.argsort(distance, kind="stable")
+            if len(found) > partners:
+                left_out[i] = left_out[found[nearest[partners:]]] = True
+            pairs += [(float(distance[k]), int(i), int(found[k])) for k in nearest[:partners]]
     pairs.sort()
     out, forests = [], max(1, partners // PARTNERS)
     while pairs and forests:
@@ -354,7 +355,9 @@ def near_in_block(classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, ske
                 root[max(x, y)] = min(x, y)
                 out.append(pair)
         pairs = rest
-    return [(int(classes[i]), int(classes[j]), left_out or bool(pairs)) for _, i, j in out]
+    for _, i, j in pairs:
+        left_out[i] = left_out[j] = True
+    return [(int(classes[i]), int(classes[j])) for _, i, j in out], left_out
 
 
 def _root(root: dict[int, int], x: int) -> int:
@@ -365,23 +368,21 @@ def _root(root: dict[int, int], x: int) -> int:
 
 
 def _residual(several: DataFrame, member: DataFrame, members: int, sketches: DataFrame, percent: int, partners: int) -> tuple[DataFrame, DataFrame]:
-    """(key, a, b, more): pairs that may be linked, of the segments whose classes are in several components; and the rows of these.
+    """(a, b): pairs that may be linked, of the segments whose classes are in several components; and the rows that left pairs out.
 
-    Components only grow, so a later round finds its segments among those of the round before, and of these only among the ones
-    that left pairs out: all others have given every pair that the parities let through.
+    Components only grow and the parities stay, so a later round finds its pairs between such rows of a segment: of all others every
+    pair that the parities let through was given.
 
-    Segments of two classes were compared as stars, and of segments with the same classes one stands for
-    all. A segment of many classes is compared block by block; no pair is written that the parities exclude.
+    several is (key, class); segments of two classes were compared as stars and aren't among it. Of segments
+    with the same classes one stands for all. A segment of many classes is compared block by block; no pair is written that the parities exclude.
     """
     of_class = looked_up(member.select(F.col("node").alias("class"), "component"), members)
-    rows = several.where("n > 2").join(of_class, "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
+    rows = several.join(of_class, "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
     alike = [F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y")]
-    apart = rows.groupBy("key", "n").agg(*alike, F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    apart = apart.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")
-    # n and the smallest class came with the rows, so rounds only keep or leave them; nothing is made by this join.
-    still = checkpointed(rows.join(apart, "key", "left_semi"))
-    rows = still.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    still = still.select("key", "class", "least", "n")
+    apart = rows.groupBy("key").agg(*alike, F.count("*").alias("left"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    apart = apart.groupBy("x", "y", "left").agg(F.min("key").alias("key")).select("key", "left")
+    # One row a key, so this join only keeps or leaves rows; nothing is made by it.
+    rows = checkpointed(rows.join(apart, "key").withColumn("blocks", F.ceil(F.col("left") / BLOCK_ROWS).cast("int")))
     tasks = max(12, -(-(rows.agg(F.sum("blocks")).first()[0] or 0) // TASK_ROWS))
     rows = rows.join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -392,15 +393,23 @@ def _residual(several: DataFrame, member: DataFrame, members: int, sketches: Dat
         key, x, y, block, classes, parts, sizes = (table[c].to_numpy() for c in ("key", "x", "y", "block", "class", "part", "n_shingles"))
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
         sketches = table["sketch"].to_pylist()
-        out: list[tuple[int, int, int, bool]] = []
+        pairs: list[tuple[int, int]] = []
+        left: list[tuple[int, list[int]]] = []
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
             own = slice(s, e)
-            out += [(int(key[s]), *pair) for pair in near_in_block(classes[own], parts[own], sizes[own], sketches[own], block[own] == x[s], x[s] == y[s], percent, partners)]
-        segment, a, b, more = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"key": pa.array(segment, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+            found, left_out = near_in_block(classes[own], parts[own], sizes[own], sketches[own], block[own] == x[s], x[s] == y[s], percent, partners)
+            pairs += found
+            if left_out.any():
+                left.append((int(key[s]), classes[own][left_out].tolist()))
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        segment, again = zip(*left, strict=True) if left else ((), ())
+        ends = [pa.array([*a, *[None] * len(left)], pa.int64()), pa.array([*b, *[None] * len(left)], pa.int64())]
+        return pa.table([*ends, pa.array([*[None] * len(a), *segment], pa.int64()), pa.array([*[None] * len(a), *again], pa.list_(pa.int64()))], names=["a", "b", "key", "again"])
 
-    near = dealt.select("task", "key", "x", "y", "block", "class", "part", "n_shingles", "sketch").groupBy("task").applyInArrow(run, "key long, a long, b long, more boolean")
-    return checkpointed(near), still
+    # A row is a pair, or a segment with the classes of two of its blocks that left pairs out.
+    found = checkpointed(dealt.select("task", "key", "x", "y", "block", "class", "part", "n_shingles", "sketch").groupBy("task").applyInArrow(run, "a long, b long, key long, again array<long>"))
+    again = found.where("key is not null").select("key", F.explode("again").alias("class"))
+    return found.where("key is null").select("a", "b"), checkpointed(again.distinct())
 
 
 def _grouped(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -431,6 +440,7 @@ def _grouped(documents: DataFrame, width: int, percent: int) -> DataFrame:
     links = _verified(tried, of_class, docs, width, percent, clashes)
     member = components(links)
     partners = PARTNERS
+    several = several.where("n > 2").select("key", "class")
     while True:
         near, several = _residual(several, member, member.count(), sketches, percent, partners)
         pairs = checkpointed(near.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"))
@@ -440,10 +450,8 @@ def _grouped(documents: DataFrame, width: int, percent: int) -> DataFrame:
             if more_links.limit(1).count():
                 links = links.unionByName(more_links)
                 member = components(links)
-        unfinished = small(near.where("more").select("key").distinct())
-        if not unfinished.limit(1).count():
+        if not several.limit(1).count():
             break
-        several = several.join(unfinished, "key", "left_semi")
         partners *= PARTNERS
     placed = of_class.join(member.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))

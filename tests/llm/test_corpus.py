@@ -163,6 +163,21 @@ def test_repeated_ids_and_missing_ids(spark):
     assert sorted((r.doc_id for r in jaccard.keep_one(docs).collect()), key=repr) == sorted([2, 9, None], key=repr)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_a_round_leaves_out_only_ends_of_pairs_that_it_did_not_give(same):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 256, 32, np.uint8)
+    alike = [(base ^ (np.arange(32) == k).astype(np.uint8)).tobytes() for k in range(20)]
+    sketches = alike + [rng.integers(0, 256, 32, np.uint8).tobytes() for _ in range(60)]
+    n = len(sketches)
+    classes, parts, sizes, first = np.arange(n) + 1000, np.arange(n) // 2, np.full(n, 100), np.arange(n) % 2 == 0
+    pairs, left = jaccard.near_in_block(classes, parts, sizes, sketches, first, same, 80, 3)
+    wanted = {(i, j) for i in range(n) for j in range(i) if parts[i] != parts[j] and (same or first[i] != first[j]) and jaccard.may_link(sketches[i], sketches[j], 200, 80)}
+    given = {(max(a, b) - 1000, min(a, b) - 1000) for a, b in pairs}
+    assert given < wanted and all(left[i] and left[j] for i, j in wanted - given)
+    assert set(np.flatnonzero(left)) <= set(range(20))
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_one_id_with_several_texts(spark, monkeypatch, shuffled):
     if shuffled:
