@@ -8,6 +8,7 @@ names; a write that fails leaves it as it was and takes its folder away.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
@@ -22,8 +23,11 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 FORMAT = "versioned_files"
+#: Files whose names a task holds before it adds them to its list.
+HELD_FILES = 4096
 CURRENT = "CURRENT"
 LISTED = "name string, path string, size long, sha256 string"
+_LISTED = pa.schema([("name", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("sha256", pa.string())])
 
 
 @dataclass
@@ -53,7 +57,21 @@ class Writer(DataSourceWriter):
         self.top = f"{self.root}/versions/{self.run}"
 
     def write(self, iterator: Iterator) -> Written:
-        folder, listed = f"{self.top}/{uuid.uuid4().hex}", []
+        folder, files = f"{self.top}/{uuid.uuid4().hex}", 0
+        listing = f"{folder}.parquet"
+        filesystem, place = _at(listing)
+        lists = self._written(folder, iterator)
+        first = next(lists)
+        filesystem.create_dir(place.rpartition("/")[0], recursive=True)
+        with filesystem.open_output_stream(place) as out, pq.ParquetWriter(out, _LISTED) as named:
+            for some in itertools.chain([first], lists):
+                named.write_table(some)
+                files += some.num_rows
+        return Written(listing, files)
+
+    def _written(self, folder: str, iterator: Iterator) -> Iterator[pa.Table]:
+        """The names of files that were written, HELD_FILES at a time; at least one table, which may be empty."""
+        listed = []
         for row in iterator:
             name, content = row["name"], row["content"]
             if not name or ".." in name.split("/") or name.startswith("/"):
@@ -61,13 +79,10 @@ class Writer(DataSourceWriter):
             data = content.encode("utf-8") if isinstance(content, str) else bytes(content or b"")
             _put(f"{folder}/{name}", data)
             listed.append({"name": name, "path": f"{folder}/{name}", "size": len(data), "sha256": hashlib.sha256(data).hexdigest()})
-        listing = f"{folder}.parquet"
-        filesystem, place = _at(listing)
-        filesystem.create_dir(place.rpartition("/")[0], recursive=True)
-        schema = pa.schema([("name", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("sha256", pa.string())])
-        with filesystem.open_output_stream(place) as out:
-            pq.write_table(pa.Table.from_pylist(listed, schema), out)
-        return Written(listing, len(listed))
+            if len(listed) >= HELD_FILES:
+                yield pa.Table.from_pylist(listed, _LISTED)
+                listed = []
+        yield pa.Table.from_pylist(listed, _LISTED)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """The lists first, the name of the version last."""

@@ -73,3 +73,16 @@ def test_course_texts_are_prepared(spark):
     suffixes = spark.createDataFrame([(1, "C. Outro")], "doc_id long, suffix string")
     got = {r.doc_id: r.text for r in P.applied(docs, P.course_passes(tails=tails, suffixes=suffixes)).collect()}
     assert got[2] == "" and "questão **final.**" in got[1] and "## 1. Tema\n\n### C. Outro" in got[1]
+
+
+def test_a_list_is_written_as_files_are(tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from quirework.sources import versions as V
+
+    monkeypatch.setattr(V, "HELD_FILES", 10)
+    writer = V.Writer(str(tmp_path))
+    done = writer.write({"name": f"{k}.md", "content": "x"} for k in range(25))
+    listing = pq.ParquetFile(done.listing)
+    assert done.files == 25 and listing.metadata.num_row_groups == 3 and listing.read()["name"].to_pylist() == [f"{k}.md" for k in range(25)]
+    assert pq.read_table(writer.write(iter(())).listing).num_rows == 0
