@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.text import duration, sanitised, size
 from quirework.operators import telemetry as T
+from quirework.operators.folds import dealt, parts_for
 from quirework.plans.registry import query, table
 
 PAGES = """pages_done as (select user_id, value / 1000 as seconds, case event_type when 'view' then 'native' when 'click' then 'ocr' when 'purchase' then 'fallback' when 'error' then 'failed' else 'empty' end as status,
@@ -149,7 +150,8 @@ PAGES = "pages_read as (select o_custkey as batch, l_orderkey as name, l_linenum
 
 def pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of orders as pages of documents, orders being documents and customers batches."""
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("batch")), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
+    items = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), parts_for(spark, lines.count()), "l_orderkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("batch")).hint("merge"), "l_orderkey")
     status = F.when(F.col("l_partkey") % 4 == 0, "failed").otherwise("native")
     return items.select("batch", F.col("l_orderkey").alias("name"), F.col("l_linenumber").alias("page"), status.alias("status"), (F.col("l_suppkey") % 7 == 0).alias("review"), "l_partkey")
 
