@@ -107,10 +107,13 @@ def resumable(journal: DataFrame, files: DataFrame, key: str = "file_path") -> D
 
 
 def checkpointed_pages(pages: DataFrame, signatures: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The stored pages of (doc, page, signature, ...) whose document has all its pages under its signature of now; others count for nothing."""
-    now = signatures.select(doc, F.col("signature").alias("_now"))
+    """The stored pages of (doc, page, signature, ...) whose document has all its pages under its signature of now; others count for nothing.
+
+    Both tables grow with the documents, so neither is broadcast, whatever its estimated size.
+    """
+    now = signatures.select(doc, F.col("signature").alias("_now")).hint("merge")
     matched = pages.join(now, doc).withColumn("_same", F.col("signature") == F.col("_now"))
-    stale = matched.where(~F.coalesce("_same", F.lit(False))).select(doc).distinct()
+    stale = matched.where(~F.coalesce("_same", F.lit(False))).select(doc).distinct().hint("merge")
     return matched.drop("_same", "_now").join(stale, doc, "left_anti")
 
 

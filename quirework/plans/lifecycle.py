@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirework.functions.text import fingerprint
 from quirework.operators import lifecycle as C
 from quirework.operators import telemetry as T
+from quirework.operators.folds import dealt, parts_for
 from quirework.plans.licences import LICENCES, licences
 from quirework.plans.registry import query, table
 
@@ -95,7 +96,9 @@ def batch_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select l_orderkey as doc_id, l_linenumber as page, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders) and l_orderkey not in (select l_orderkey from lineitem where l_suppkey % 10 = 0)")
 def page_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that a conversion which goes on need not read again; another signature on one discards a document's."""
-    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), "l_partkey", F.when(F.col("l_suppkey") % 10 == 0, "v1").otherwise("v2").alias("signature"))
+    lines = table(spark, sf_dir, "lineitem")
+    pages = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), "l_partkey", F.when(F.col("l_suppkey") % 10 == 0, "v1").otherwise("v2").alias("signature"))
+    pages = dealt(pages, parts_for(spark, lines.count()), "doc_id")
     now = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("v2").alias("signature"))
     return C.checkpointed_pages(pages, now).select("doc_id", "page", "l_partkey")
 
