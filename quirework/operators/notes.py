@@ -50,20 +50,21 @@ class Chains:
         return {"followed": followed}
 
 
-def note_boxes(boxes: DataFrame, lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+def note_boxes(boxes: DataFrame, lines: DataFrame, doc: str = "doc_id", parts: int | None = None) -> DataFrame:
     """(doc, page, note_box, last_page, content) of the notes among boxes of (doc, page, box, x0, y0, x1, y1, height, content).
 
     A note begins in a box whose content begins with a callout. It goes on in a box at the top of the next page if it ends at the foot of
     its own, no line of (doc, page, y) stands below it or above the other, and exactly one box without a callout has the same
-    sides. A page's boxes are one row of an ordered fold, so chains of any length take one pass.
+    sides. A page's boxes are one row of an ordered fold, so chains of any length take one pass. parts is a number of tasks of that
+    fold; boxes and lines that are dealt by doc over as many stay where they are.
     """
     edges = lines.groupBy(doc, "page").agg(F.min("y").alias("first_line"), F.max("y").alias("last_line"))
     box = F.struct("box", "x0", "y0", "x1", "y1", is_callout(F.col("content")).alias("callout"))
     pages = boxes.groupBy(doc, "page").agg(F.max("height").alias("height"), F.array_sort(F.collect_list(box)).alias("boxes")).join(edges, [doc, "page"], "left")
-    found = folded(pages, doc, "page", Chains, Chains.step, "followed array<struct<note_page: int, note_box: int, box: int>>")
-    parts = found.select(doc, "page", F.explode("followed").alias("f")).select(doc, "page", "f.*").join(boxes.select(doc, "page", "box", "content"), [doc, "page", "box"])
+    found = folded(pages, doc, "page", Chains, Chains.step, "followed array<struct<note_page: int, note_box: int, box: int>>", parts)
+    followed = found.select(doc, "page", F.explode("followed").alias("f")).select(doc, "page", "f.*").join(boxes.select(doc, "page", "box", "content"), [doc, "page", "box"])
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "content"))), lambda x: x["content"]), " ")
-    return parts.groupBy(doc, F.col("note_page").alias("page"), "note_box").agg(F.max("page").alias("last_page"), content.alias("content"))
+    return followed.groupBy(doc, F.col("note_page").alias("page"), "note_box").agg(F.max("page").alias("last_page"), content.alias("content"))
 
 
 def letters_of(text: Column) -> Column:
