@@ -136,3 +136,38 @@ def test_sections_of_long_documents_in_blocks(spark, monkeypatch):
     first = lambda doc, at: min(((a, v) for d, a, b, v in spans if d == doc and a <= at <= b), default=(0, None))[1]
     # An interval is cut to what no earlier one holds, so the first that holds a place has it.
     assert made == {(doc, at): first(doc, at) for doc in (1, 2, 3, None) for at in range(320)}
+
+
+def test_tasks_hold_no_more_rows_as_tables_grow(spark, monkeypatch):
+    from quirework.operators import folds, lifecycle, notes
+
+    monkeypatch.setattr(folds, "TASK_ROWS", 100)
+    assert folds.parts_for(spark, 400) is None and folds.parts_for(spark, 2_001) == 21
+    pages = spark.range(2_000).selectExpr("id div 4 as doc_id", "cast(id % 4 as int) as page", "if(id % 40 = 0, 'v1', 'v2') as signature")
+    now = spark.range(500).selectExpr("id as doc_id", "'v2' as signature")
+    made = lifecycle.checkpointed_pages(folds.dealt(pages, folds.parts_for(spark, 2_000), "doc_id"), now)
+    assert made.rdd.getNumPartitions() == 20 and made.count() == 1_800
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    boxes = pages.selectExpr("doc_id", "page", "0 as box", "0D as x0", "90D as y0", "9D as x1", "780D as y1", "800D as height", "if(page = 0, 'NOTA: a', 'b') as content")
+    found = notes.note_boxes(folds.dealt(boxes, 20, "doc_id"), boxes.selectExpr("doc_id", "page", "y1 as y"), parts=20).collect()
+    assert len(found) == 500 and {(r.last_page, r.content) for r in found} == {(3, "NOTA: a b b b")}
+
+
+def test_recall_takes_no_texts_and_no_other_tokens_through_shuffles(spark):
+    from quirework.operators import documents as D
+
+    words = " ".join(f"w{k}" for k in range(20))
+    rows = spark.createDataFrame([(1, words, words + " w1 other" * 50), (2, words, "nothing of it"), (3, words, None), (3, words, "w1 w1 w2"), (4, "w1", "w1")], "id long, r string, x string")
+    made = D.token_recall(rows, "id", "r", "x")
+    assert {(r.id, r.n_reference, r.recall) for r in made.collect()} == {(1, 20, 1.0), (2, 20, 0.0), (3, 20, None), (3, 20, 0.15), (4, 1, None)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join") :].splitlines()[1]
+    assert "size(" in joined and "array_intersect" in plan
+
+
+def test_order_scores_come_from_arrow_arrays(spark):
+    from quirework.operators import documents as D
+
+    words = [f"w{k}" for k in range(20)]
+    rows = spark.createDataFrame([(1, words, ["x", *words]), (2, words, words[::-1]), (3, words, []), (4, words[:3], words), (5, None, words), (6, words, None)], "id long, r array<string>, x array<string>")
+    assert {r.id: r.s for r in rows.select("id", D.order_score("r", "x").alias("s")).collect()} == {1: 1.0, 2: 0.05, 3: None, 4: None, 5: None, 6: None}
