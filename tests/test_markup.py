@@ -321,3 +321,22 @@ def test_titles_by_style(spark):
     ]
     got = {r.doc_id: r.titles for r in S.set_titles(spark.createDataFrame(rows, "doc_id long, text string, label string, bold boolean, size double, font string")).collect()}
     assert got == {1: ["TÍTULO"]}
+
+
+def test_cuts_of_texts_without_signs(spark):
+    """Against plain cuts; a text that no sign of style is in isn't taken apart, and a heading is worked out once."""
+    texts = ["", " ", "a", "um dois", "  um \u00a0 dois\t", "1. Um B. Dois\n C. Três ", "\U0001f600 x \U0001f600", "a > b / c", "\x1ca b\x85"]
+    white = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0"
+    rows = [(t, p) for t in texts for p in (None, *range(-1, len(t) + 2))] + [(None, 1)]
+    made = spark.createDataFrame(rows, "t string, p int").select("t", "p", M.plain(F.col("t")).alias("plain"), M.split_visible(F.col("t"), F.col("p")).alias("s")).collect()
+    for r in made:
+        assert r.plain == r.t
+        if r.t is None or r.p is None or r.p >= len(r.t) and r.p > 0:
+            assert tuple(r.s) == (r.t, "")
+        else:
+            assert tuple(r.s) == (("", r.t) if r.p <= 0 else (r.t[: r.p].rstrip(white), r.t[r.p :].lstrip(white)))
+    heads = spark.createDataFrame([(1, "# 1. Um B. Dois C. Três\n## 2. B. Dois\n#  **2.** <b>x</b> B. Dois\n# B. Dois\n# 3. x\tB. Dois")], "doc_id long, text string")
+    split = S.split_headings(heads, spark.createDataFrame([(1, "B. Dois"), (1, "C. Três"), (1, "B. Dois C. Três")], "doc_id long, suffix string"))
+    assert split.first().text == "# 1. Um\n\n# B. Dois C. Três\n## 2.\n\n## B. Dois\n# **2.** <b>x</b>\n\n# B. Dois\n# B. Dois\n# 3. x\tB. Dois"
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(lines") == 3 and "RLIKE(lines" not in plan
