@@ -171,3 +171,19 @@ def test_order_scores_come_from_arrow_arrays(spark):
     words = [f"w{k}" for k in range(20)]
     rows = spark.createDataFrame([(1, words, ["x", *words]), (2, words, words[::-1]), (3, words, []), (4, words[:3], words), (5, None, words), (6, words, None)], "id long, r array<string>, x array<string>")
     assert {r.id: r.s for r in rows.select("id", D.order_score("r", "x").alias("s")).collect()} == {1: 1.0, 2: 0.05, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_order_scores_take_whole_texts(spark):
+    """Against difflib over all tokens; beyond the 2,000th the order counts as before it."""
+    from difflib import SequenceMatcher
+
+    from quirework.operators import documents as D
+
+    random_ = random.Random(4)
+    words = [f"w{k}" for k in range(2_500)]
+    pairs = [(words, words[:2_000] + words[:1_999:-1]), (words, ["x"] * 3 + words[2_000:])]
+    pairs += [([random_.choice("abcdefgh") for _ in range(random_.randrange(20, 120))], [random_.choice("abcdefghx") for _ in range(random_.randrange(1, 120))]) for _ in range(150)]
+    rows = spark.createDataFrame([(k, r, x) for k, (r, x) in enumerate(pairs)], "id long, r array<string>, x array<string>")
+    made = {r.id: r.s for r in rows.select("id", D.order_score("r", "x").alias("s")).collect()}
+    assert made == {k: SequenceMatcher(None, r, [t for t in x if t in set(r)], autojunk=False).ratio() for k, (r, x) in enumerate(pairs)}
+    assert made[0] == 0.8004 and made[1] == 1 / 3
