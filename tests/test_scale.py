@@ -187,3 +187,29 @@ def test_order_scores_take_whole_texts(spark):
     made = {r.id: r.s for r in rows.select("id", D.order_score("r", "x").alias("s")).collect()}
     assert made == {k: SequenceMatcher(None, r, [t for t in x if t in set(r)], autojunk=False).ratio() for k, (r, x) in enumerate(pairs)}
     assert made[0] == 0.8004 and made[1] == 1 / 3
+
+
+def test_same_letters_are_looked_up_where_they_differ(spark, monkeypatch):
+    """A page of its source's letters has the edits that looking up every boundary gives, and only boundaries that differ are looked up."""
+    random_ = random.Random(6)
+    looked: list[int] = []
+    found_at = P.Source.at_context
+    monkeypatch.setattr(P.Source, "at_context", lambda *asked: looked.append(1) or found_at(*asked))
+    made = []
+    for n in (3, 12, 200, 4_000):
+        words = ["".join(random_.choice("abcéÉ1") for _ in range(random_.randrange(1, 7))) for _ in range(n)]
+        text = "".join(random_.choice(words) + random_.choice((" ", " ", " ", "-", "\t", ". ", "  ", "", " http://a.b/c-d ")) for _ in range(1_500))
+        page = "".join("" if c == " " and random_.random() < 0.1 else c + " " if random_.random() < 0.04 else c for c in text)
+        looked.clear()
+        made.append(P.edits(page, page, None, P.Source([text], frozenset())))
+        asked = len(looked)
+        # One letter more, apart by an empty line: no longer the same letters, so every boundary is looked up.
+        looked.clear()
+        every = P.edits(page + "\n\nX", page + "\n\nX", [{"at": 0, "source": 0, "size": len(page) + 3}], P.Source([text, "\n\nX"], frozenset()))
+        assert made[-1][:-20] == every[: len(made[-1]) - 20] and len(made[-1]) > 100
+        assert n < 4_000 or 20 * asked < len(looked)
+        assert P.edited(page, made[-1]) == "".join(part for a, b, c in zip([0, *(e for _, e, _ in made[-1])], [*(s for s, _, _ in made[-1]), len(page)], [*(c for _, _, c in made[-1]), ""], strict=True) for part in (page[a:b], c))
+    pages = spark.createDataFrame([(1, 1, "a <b>c</b>"), (1, 2, "a b"), (None, 1, None)], "doc_id long, page int, text string")
+    joined = P.repaired_separators(pages, pages.selectExpr("doc_id", "page", "array(text) as passages"))
+    assert {(r.page, r.text, r.n_repaired) for r in joined.collect()} == {(1, "a <b>c</b>", 0), (2, "a b", 0), (1, None, 0)}
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
