@@ -340,3 +340,34 @@ def test_cuts_of_texts_without_signs(spark):
     assert split.first().text == "# 1. Um\n\n# B. Dois C. Três\n## 2.\n\n## B. Dois\n# **2.** <b>x</b>\n\n# B. Dois\n# B. Dois\n# 3. x\tB. Dois"
     plan = split._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(lines") == 3 and "RLIKE(lines" not in plan
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_texts_in_python_equal_column_expressions(spark, seed):
+    """Cuts, visible texts, open styles and kinds of collections of odd texts are what the column expressions say."""
+    from quirework.functions import signs as G
+    from quirework.functions.text import canonical, canonical_py
+    from quirework.operators import exams as E
+    from quirework.operators.documents import alternatives
+
+    random_ = random.Random(seed)
+    atoms = ["(A) um", " (B) dois", " C) x", "\na) y", "**", "****", "__", "*", "_", "<b>", "</b>", "<u", "</em>", "<em x='1'>", "<B>", "<br>", "<br />", "<!-- x -->", "<!--", " ", "\n", "\r", "\x85", " ", "\xa0", "é", "²", "́", "x", "Palavra", ".", "1. "]
+    titles = ["Quest", "ões", "QUESTOES", "exercícios", "Gabarito", " comentado", "s", " ", "1. ", "2.3 ", "(x)", "\t", "́", " de prova", "respostas comentadas"]
+    rows = [("".join(random_.choice(atoms) for _ in range(random_.randrange(14))), random_.randrange(-1, 30), "".join(random_.choice(titles) for _ in range(random_.randrange(5)))) for _ in range(1_500)]
+    table = spark.createDataFrame(rows, "t string, p int, title string").repartition(4).cache()
+    t = F.col("t")
+    shown = table.select("t", "p", "title", M.plain(t).alias("plain"), M.open_styles(t).alias("open"), M.clean_styles(t).alias("clean"), M.split_visible(t, F.col("p")).alias("cut"))
+    for r in shown.collect():
+        assert (r.plain, [tuple(x) for x in r.open], r.clean, tuple(r.cut)) == (G.plain(r.t), G.open_styles(r.t), G.clean_styles(r.t), G.split_visible(r.t, r.p)), (r.t, r.p)
+    said = table.select("t", "title", E.collection_kind(F.col("title")).alias("kind"), canonical(F.col("title")).alias("canonical"), F.coalesce(F.size(alternatives(t)[0]), F.lit(0)).alias("n"))
+    for r in said.collect():
+        assert (r.kind, r.canonical, max(r.n, 0)) == (E.collection_kind_of(r.title), canonical_py(r.title), len(S._alternative_places(r.t))), r
+    assert {E.collection_kind_of(x) for x in ("2. QUESTÕES (x)", "Gabaritos comentados", "Questao")} == {"questions", "answers", None}
+
+
+def test_exams_take_no_shuffle(spark):
+    """A text is gone through where it is, and says itself whether a second pass leaves it."""
+    text = "# QUESTÕES\n**1. (P)** x (A) um (B) dois\n# GABARITO\n**1. B**"
+    made = S.exam_boundaries(spark.createDataFrame([(1, text), (2, None), (None, "")], "doc_id long, text string"), settled="settled")
+    assert {(r.doc_id, r.text, r.settled) for r in made.collect()} == {(1, "# QUESTÕES\n\n## **1. (P)**\n\nx\n\n(A) um\n\n(B) dois\n# GABARITO\n\n## **1. B**\n", True), (2, "", True), (None, "", True)}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
